@@ -66,3 +66,72 @@ FROM n"""
 ORACLES: dict[str, str] = {
     "cumulative_split_summary": SPLIT_SUMMARY,
 }
+
+_OBS_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+             "discount", "tax", "l_returnflag", "l_linestatus", "l_shipdate", "obs_date", "target"]
+
+
+def _null_profile() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM obs"
+        for c in _OBS_COLS)
+    return "WITH " + SQL_OBS + "\n" + parts
+
+
+def _missing_share() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS s FROM obs"
+        for c in _OBS_COLS)
+    return ("WITH " + SQL_OBS + ",\nm AS (" + parts + ")\n"
+            "SELECT column_name, round(s, 6) AS null_share, s > 0.30 AS drop_column FROM m")
+
+
+def _column_profile() -> str:
+    cols = ["l_quantity", "l_extendedprice", "discount", "tax"]
+    parts = " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count({c}) AS n_values, count(*) - count({c}) AS n_nulls,
+                  count(DISTINCT {c}) AS n_distinct, min({c}) AS min_value, max({c}) AS max_value,
+                  round(avg({c}), 6) AS mean_value, round(stddev_samp({c}), 6) AS std_value FROM obs"""
+        for c in cols)
+    return "WITH " + SQL_OBS + "\n" + parts
+
+
+_CATALOG_CTE = """,
+yc AS (SELECT year, count(*) AS n_rows FROM split WHERE NOT is_test AND year BETWEEN 1995 AND 2000 GROUP BY year),
+cat AS (SELECT CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS split_id,
+               CAST(min(year) OVER () AS INTEGER) AS start_year, CAST(year AS INTEGER) AS end_year FROM yc)"""
+
+ORACLES.update({
+    "interim_obs": "WITH " + SQL_OBS + ",\n" + _interim("obs") + "\nSELECT * FROM interim",
+    "split_class_quotas": with_split().split(",\nsplit AS (")[0] + """
+SELECT q3.target, q3.n_class, CAST(fl + CASE WHEN rk <= need THEN 1 ELSE 0 END AS BIGINT) AS train_quota,
+       quota.test_quota FROM q3 JOIN quota ON q3.target = quota.target""",
+    "stratified_test_rows": with_split() + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, target FROM split WHERE is_test""",
+    "rows_per_year": with_split() + """
+SELECT CAST(round_even(year, 0) AS INTEGER) AS year, count(*) AS n_rows FROM split WHERE NOT is_test GROUP BY 1""",
+    "class_distribution": with_split() + """
+SELECT target, count(*) AS n_rows, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS share
+FROM split WHERE NOT is_test GROUP BY target""",
+    "year_range": "WITH " + SQL_OBS + ",\n" + _interim("obs") + """
+SELECT min(year) AS min_value, max(year) AS max_value FROM interim""",
+    "distinct_years": "WITH " + SQL_OBS + ",\n" + _interim("obs") + """
+SELECT DISTINCT year FROM interim WHERE year BETWEEN 1995 AND 2000""",
+    "null_profile": _null_profile(),
+    "missing_share_columns": _missing_share(),
+    "column_profile": _column_profile(),
+    "duplicate_documents": """
+SELECT md5(text) AS text_md5, count(*) AS n_copies FROM documents GROUP BY 1 HAVING count(*) > 1""",
+    "split_members": with_split() + _CATALOG_CTE + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, split.year, target
+FROM split, cat WHERE NOT is_test AND cat.split_id = 3 AND split.year BETWEEN cat.start_year AND cat.end_year""",
+    "next_split": with_split() + _CATALOG_CTE + """,
+have AS (SELECT max(split_id) AS last_id, max(end_year) AS last_end FROM cat WHERE split_id <= 3),
+yrs AS (SELECT DISTINCT year AS y FROM interim WHERE year BETWEEN 1995 AND 2000),
+r AS (SELECT min(y) AS first_year, min(y) FILTER (WHERE y > (SELECT last_end FROM have)) AS next_year FROM yrs)
+SELECT CASE WHEN next_year IS NULL THEN 'complete' ELSE 'created' END AS status,
+       CAST((SELECT last_id FROM have) + 1 AS INTEGER) AS split_id,
+       CAST(first_year AS INTEGER) AS start_year, CAST(next_year AS INTEGER) AS end_year,
+       CAST(first_year AS VARCHAR) || '-' || CAST(next_year AS VARCHAR) AS years
+FROM r""",
+})

@@ -21,3 +21,112 @@ def q_cumulative_split_summary(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "cumulative_split_summary": q_cumulative_split_summary,
 }
+
+
+# ------------------------------------------------------------ clean / profile
+from tidemark.operators import clean as cl  # noqa: E402
+from tidemark.operators import profile as pf  # noqa: E402
+
+
+def q_interim_obs(spark, root):
+    """The interim observation table."""
+    return pp.interim_obs(spark, root)
+
+
+def q_split_class_quotas(spark, root):
+    """F1 allocation: per-class sizes of the exact stratified split."""
+    return sp.class_quotas(pp.interim_obs(spark, root), fx.OBS_LABEL, fx.TEST_SIZE)
+
+
+def q_stratified_test_rows(spark, root):
+    """F1 membership: the keys of every test row."""
+    return pp.split_obs(spark, root).where(F.col("is_test")).select(*fx.OBS_KEY, fx.OBS_LABEL)
+
+
+def q_rows_per_year(spark, root):
+    """A2 + P9: training rows per (rounded) year, sorted."""
+    from tidemark.functions.columns import round_key
+    train = pp.split_obs(spark, root).where(~F.col("is_test"))
+    return pf.counts_by(train.withColumn("year", round_key(F.col("year"))), "year")
+
+
+def q_class_distribution(spark, root):
+    """A3: class counts and shares of the training rows."""
+    train = pp.split_obs(spark, root).where(~F.col("is_test"))
+    return pf.class_distribution(train, fx.OBS_LABEL).withColumn("share", F.round("share", 6))
+
+
+def q_year_range(spark, root):
+    """A5 + P20: min/max of the year key."""
+    return pf.key_range(pp.interim_obs(spark, root), "year")
+
+
+def q_distinct_years(spark, root):
+    """Sorted distinct years inside the closed range (P10)."""
+    df = pp.interim_obs(spark, root).where(F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    return pf.distinct_sorted(df, "year")
+
+
+def q_null_profile(spark, root):
+    """A1: NULL count per column of the observation view."""
+    return pf.null_counts(fx.obs(spark, root))
+
+
+def q_missing_share_columns(spark, root):
+    """NULL share per column and the drop decision at the 0.30 limit."""
+    s = cl.missing_shares(fx.obs(spark, root))
+    return s.select("column_name", F.round("null_share", 6).alias("null_share"),
+                    (F.col("null_share") > 0.30).alias("drop_column"))
+
+
+def q_column_profile(spark, root):
+    """Numeric column profile of the observation view."""
+    p = pf.column_profile(fx.obs(spark, root), fx.OBS_NUMERIC)
+    return p.select("column_name", "n_values", "n_nulls", "n_distinct", "min_value", "max_value",
+                    F.round("mean_value", 6).alias("mean_value"), F.round("std_value", 6).alias("std_value"))
+
+
+def q_duplicate_documents(spark, root):
+    """Groups of byte-identical document texts (exact copies)."""
+    from tidemark.sources.tables import read_table
+    docs = read_table(spark, root, "documents").select(F.md5("text").alias("text_md5"))
+    return pf.duplicate_rows(docs, ["text_md5"])
+
+
+def _catalog(spark, root):
+    split = pp.split_obs(spark, root)
+    train = split.where(~F.col("is_test"))
+    return sp.cumulative_split_summary(train, pp.test_count(split), "year", fx.OBS_LABEL,
+                                       fx.YEAR_START, fx.YEAR_END)
+
+
+def q_split_members(spark, root):
+    """S3: the training rows of split 3 (years first..first+2) as a range view."""
+    split = pp.split_obs(spark, root)
+    train = split.where(~F.col("is_test"))
+    cat = _catalog(spark, root)
+    return sp.split_rows(train, cat, 3, "year").select(*fx.OBS_KEY, "year", fx.OBS_LABEL)
+
+
+def q_next_split(spark, root):
+    """With splits 1-3 already in the catalog, the split to create next."""
+    cat = _catalog(spark, root).where(F.col("split_id") <= 3)
+    years = pp.interim_obs(spark, root).where(F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    return sp.next_split(cat, years, "year")
+
+
+QUERIES.update({
+    "interim_obs": q_interim_obs,
+    "split_class_quotas": q_split_class_quotas,
+    "stratified_test_rows": q_stratified_test_rows,
+    "rows_per_year": q_rows_per_year,
+    "class_distribution": q_class_distribution,
+    "year_range": q_year_range,
+    "distinct_years": q_distinct_years,
+    "null_profile": q_null_profile,
+    "missing_share_columns": q_missing_share_columns,
+    "column_profile": q_column_profile,
+    "duplicate_documents": q_duplicate_documents,
+    "split_members": q_split_members,
+    "next_split": q_next_split,
+})
