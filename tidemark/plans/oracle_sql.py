@@ -135,3 +135,59 @@ SELECT CASE WHEN next_year IS NULL THEN 'complete' ELSE 'created' END AS status,
        CAST(first_year AS VARCHAR) || '-' || CAST(next_year AS VARCHAR) AS years
 FROM r""",
 })
+
+_NUM = ["l_quantity", "l_extendedprice", "discount", "tax"]
+_CAT = ["l_linestatus", "o_orderpriority", "c_mktsegment", "season"]
+# The category domains of the driver tables, sorted; the first is dropped.
+_DOMAINS = {
+    "l_linestatus": ["F", "O"],
+    "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+    "c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "season": ["Autumn", "Spring", "Summer", "Winter"],
+}
+
+
+def _dummy(c, v):
+    import re
+    return f"{c}_" + re.sub(r"[^0-9A-Za-z]+", "_", v).strip("_")
+
+
+def _medians_sql():
+    return ", ".join(f"median({c}) AS {c}" for c in _NUM)
+
+
+def _modes_sql(src):
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS c FROM {src} "
+        f"WHERE {c} IS NOT NULL GROUP BY 2" for c in _CAT)
+    return parts
+
+
+_FEAT = with_split(wide=True) + f""",
+tr AS (SELECT * FROM split WHERE NOT is_test),
+med AS (SELECT {_medians_sql()} FROM tr),
+imp AS (SELECT s.* REPLACE ({", ".join(f"coalesce(s.{c}, med.{c}) AS {c}" for c in _NUM)}) FROM split s, med),
+sc AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUM)} FROM imp WHERE NOT is_test)"""
+
+ORACLES.update({
+    "train_medians": with_split() + ",\ntr AS (SELECT * FROM split WHERE NOT is_test)\n" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(median({c}), 6) AS median FROM tr" for c in _NUM),
+    "train_modes": with_split(wide=True) + ",\ntr AS (SELECT * FROM split WHERE NOT is_test),\n"
+        "vc AS (" + _modes_sql("tr") + ")\n"
+        "SELECT column_name, value AS mode FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY column_name ORDER BY c DESC, value) AS rn FROM vc) WHERE rn = 1",
+    "onehot_vocabulary": with_split(wide=True) + ",\ntr AS (SELECT * FROM split WHERE NOT is_test),\n"
+        "vc AS (" + _modes_sql("tr") + ")\n"
+        "SELECT column_name, value, CAST(row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS INTEGER) AS position,\n"
+        "  CASE WHEN row_number() OVER (PARTITION BY column_name ORDER BY value) > 1 THEN column_name || '_' ||\n"
+        "    regexp_replace(regexp_replace(value, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g') END AS dummy_column\n"
+        "FROM vc",
+    "scaler_params": _FEAT + "\n" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(m_{c}, 6) AS mean, round(s_{c}, 6) AS std FROM sc" for c in _NUM),
+    "encoded_features": _FEAT + "\nSELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, target, year, is_test, " +
+        ", ".join(f"round((imp.{c} - m_{c}) / CASE WHEN s_{c} < {10 * 2.220446049250313e-16!r} THEN 1.0 ELSE s_{c} END, 6) AS {c}"
+                  for c in _NUM) + ", " +
+        ", ".join(f"CAST(coalesce(imp.{c} = '{v}', false) AS INTEGER) AS \"{_dummy(c, v)}\""
+                  for c in _CAT for v in _DOMAINS[c][1:]) +
+        "\nFROM imp, sc",
+})

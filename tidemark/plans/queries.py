@@ -130,3 +130,66 @@ QUERIES.update({
     "split_members": q_split_members,
     "next_split": q_next_split,
 })
+
+
+# ------------------------------------------------------------------ features
+from tidemark.operators import features as ft  # noqa: E402
+
+FEATURE_CATEGORICAL = [*fx.WIDE_CATEGORICAL, "season"]
+
+
+def _fitted(spark, root):
+    split = pp.split_obs_wide(spark, root)
+    train = split.where(~F.col("is_test"))
+    return split, train, ft.fit(train, fx.OBS_NUMERIC, FEATURE_CATEGORICAL)
+
+
+def q_train_medians(spark, root):
+    """F2 fit: exact median of each numeric column over the training rows."""
+    train = pp.split_obs(spark, root).where(~F.col("is_test"))
+    m = ft.fit_medians(train, fx.OBS_NUMERIC)
+    return m.select("column_name", F.round("median", 6).alias("median"))
+
+
+def q_train_modes(spark, root):
+    """F3 fit: most frequent category per column, ties to the smallest."""
+    train = pp.split_obs_wide(spark, root).where(~F.col("is_test"))
+    return ft.fit_modes(train, FEATURE_CATEGORICAL)
+
+
+def q_onehot_vocabulary(spark, root):
+    """sorted vocabulary per category column and the dummy each value maps to."""
+    train = pp.split_obs_wide(spark, root).where(~F.col("is_test"))
+    v = ft.fit_vocabulary(train, FEATURE_CATEGORICAL)
+    name = F.concat(F.col("column_name"), F.lit("_"),
+                    F.regexp_replace(F.regexp_replace(F.col("value"), "[^0-9A-Za-z]+", "_"), "^_+|_+$", ""))
+    return v.select("column_name", "value", "position",
+                    F.when(F.col("position") > 0, name).alias("dummy_column"))
+
+
+def q_scaler_params(spark, root):
+    """F5 fit: mean and population std of the imputed training columns."""
+    _, _, model = _fitted(spark, root)
+    s = model.scaler
+    parts = [s.select(F.lit(c).alias("column_name"), F.round(f"mean_{c}", 6).alias("mean"),
+                      F.round(f"std_{c}", 6).alias("std")) for c in fx.OBS_NUMERIC]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_encoded_features(spark, root):
+    """F2-F5 apply + P8 + P11 + J2: the model-ready matrix for train and test rows."""
+    split, _, model = _fitted(spark, root)
+    out = model.transform(split)
+    return out.select(*[F.round(c, 6).alias(c) if c in fx.OBS_NUMERIC else F.col(c) for c in out.columns])
+
+
+QUERIES.update({
+    "train_medians": q_train_medians,
+    "train_modes": q_train_modes,
+    "onehot_vocabulary": q_onehot_vocabulary,
+    "scaler_params": q_scaler_params,
+    "encoded_features": q_encoded_features,
+})

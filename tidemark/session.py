@@ -18,6 +18,7 @@ _DEFAULTS = {
     # R4 needs last-writer-wins when map_concat sees a key twice.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
