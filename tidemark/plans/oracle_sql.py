@@ -191,3 +191,58 @@ ORACLES.update({
                   for c in _CAT for v in _DOMAINS[c][1:]) +
         "\nFROM imp, sc",
 })
+
+_PRED = "WITH " + SQL_SCORED + ",\np AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS prediction, " \
+        "CAST(year(o_orderdate) AS INTEGER) AS year FROM scored)"
+
+
+def _metrics_sql(group: str = "") -> str:
+    gsel = f"{group}, " if group else ""
+    gby = f"GROUP BY {group}" if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    on = f"USING ({group})" if group else "ON TRUE"
+    return _PRED + f""",
+c AS (SELECT {gsel}count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+             count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+             count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM p {gby}),
+g AS (SELECT {gsel}score, sum(label) AS pos, sum(1 - label) AS neg FROM p {gby}{', ' if group else 'GROUP BY '}score),
+cum AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+auc AS (SELECT {gsel}sum(CAST(pos AS DOUBLE) * (CAST(below AS DOUBLE) + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS roc_auc
+        FROM cum {gby})
+SELECT {gsel}tp, fp, fn, tn,
+       round(CASE WHEN tp + fp + fn + tn = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) END, 9) AS accuracy,
+       round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 9) AS precision,
+       round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 9) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 9) AS f1_score,
+       round(roc_auc, 9) AS roc_auc
+FROM c JOIN auc {on}"""
+
+
+ORACLES.update({
+    "confusion_matrix": _PRED + """
+SELECT a.v AS actual, b.v AS predicted, count(p.label) AS n_rows
+FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v)
+LEFT JOIN p ON p.label = a.v AND p.prediction = b.v GROUP BY 1, 2""",
+    "binary_metrics": _metrics_sql(),
+    "metrics_by_year": _metrics_sql("year"),
+    "classification_report": _PRED + """,
+k AS (SELECT v AS cls, CASE v WHEN 0 THEN 'No' ELSE 'Yes' END AS row_name FROM (VALUES (0), (1)) t(v)),
+pc AS (SELECT row_name,
+              count(*) FILTER (WHERE label = cls AND prediction = cls) AS tp,
+              count(*) FILTER (WHERE prediction = cls) AS pp,
+              count(*) FILTER (WHERE label = cls) AS sup
+       FROM k, p GROUP BY row_name),
+m AS (SELECT row_name,
+             CASE WHEN pp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / pp END AS precision,
+             CASE WHEN sup = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / sup END AS recall,
+             CASE WHEN pp + sup = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (pp + sup) END AS f1_score,
+             sup AS support FROM pc),
+tot AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS correct FROM p)
+SELECT row_name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1_score, 9) AS f1_score, support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(correct AS DOUBLE) / n, 9), n FROM tot
+UNION ALL SELECT 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1_score), 9), (SELECT n FROM tot) FROM m
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / (SELECT n FROM tot), 9),
+                 round(sum(recall * support) / (SELECT n FROM tot), 9),
+                 round(sum(f1_score * support) / (SELECT n FROM tot), 9), (SELECT n FROM tot) FROM m""",
+})

@@ -193,3 +193,45 @@ QUERIES.update({
     "scaler_params": q_scaler_params,
     "encoded_features": q_encoded_features,
 })
+
+
+# ---------------------------------------------------------------- evaluation
+from tidemark.operators import evaluate as ev  # noqa: E402
+
+
+def _scored_pred(spark, root):
+    return ev.threshold_predictions(fx.scored(spark, root), "score", 0.5)
+
+
+def q_confusion_matrix(spark, root):
+    """2x2 confusion grid of the rule-based scorer."""
+    return ev.confusion_matrix(_scored_pred(spark, root), "label", "prediction")
+
+
+def q_binary_metrics(spark, root):
+    """A9 + A10: accuracy, precision, recall, F1 and exact ROC-AUC."""
+    m = ev.binary_metrics(_scored_pred(spark, root), "label", "prediction", "score")
+    return m.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in
+                                              ("accuracy", "precision", "recall", "f1_score", "roc_auc")])
+
+
+def q_classification_report(spark, root):
+    """Per-class report with accuracy, macro and weighted rows."""
+    r = ev.classification_report(_scored_pred(spark, root), "label", "prediction", (0, 1), ("No", "Yes"))
+    return r.select("row_name", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1_score")], "support")
+
+
+def q_metrics_by_year(spark, root):
+    """A9 + A10 per order year -- one pass evaluates every group."""
+    df = _scored_pred(spark, root).withColumn("year", F.year("o_orderdate").cast("int"))
+    m = ev.binary_metrics(df, "label", "prediction", "score", group_cols=["year"])
+    return m.select("year", "tp", "fp", "fn", "tn",
+                    *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1_score", "roc_auc")])
+
+
+QUERIES.update({
+    "confusion_matrix": q_confusion_matrix,
+    "binary_metrics": q_binary_metrics,
+    "classification_report": q_classification_report,
+    "metrics_by_year": q_metrics_by_year,
+})
