@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import param_struct
 from tidemark.operators.ordered import exact_quantiles
 
 # sklearn treats a scale below ten machine epsilons as zero and divides by 1.
@@ -78,27 +77,27 @@ def _one_row(long: DataFrame, key: str, val: str, names) -> DataFrame:
 
 @dataclass
 class FeatureModel:
+    """Fitted parameters: a few scalars per column, held on the driver and
+    applied as literals (constant-folded by Catalyst), like a Spark ML model."""
     numeric: list
     categorical: list
     scale: list
-    medians: DataFrame            # one row: a column per numeric feature
-    modes: DataFrame              # one row: a column per categorical feature
+    medians: dict                 # column -> median
+    modes: dict                   # column -> most frequent value
     vocabulary: dict              # column -> sorted list of categories
-    scaler: DataFrame | None      # one row: mean_<c>, std_<c>
+    scaler: dict                  # column -> (mean, population std)
     drop_first: bool = True
     dummy_columns: list = field(default_factory=list)
 
     # ---- apply ------------------------------------------------------------
     def impute(self, df: DataFrame) -> DataFrame:
         """F2/F3 apply (P16): only NULL is filled -- a supplied 0 stays 0."""
-        med = param_struct(self.medians) if self.numeric else None
-        mod = param_struct(self.modes) if self.categorical else None
         out = []
         for c in df.columns:
-            if c in self.numeric:
-                out.append(F.coalesce(F.col(c), med.getField(c)).alias(c))
-            elif c in self.categorical:
-                out.append(F.coalesce(F.col(c), mod.getField(c)).alias(c))
+            if c in self.medians and self.medians[c] is not None:
+                out.append(F.coalesce(F.col(c), F.lit(float(self.medians[c]))).alias(c))
+            elif c in self.modes and self.modes[c] is not None:
+                out.append(F.coalesce(F.col(c), F.lit(self.modes[c]).cast(df.schema[c].dataType)).alias(c))
             else:
                 out.append(F.col(c))
         return df.select(*out)
@@ -110,20 +109,18 @@ class FeatureModel:
         for c in self.categorical:
             vocab = self.vocabulary.get(c, [])
             for v in (vocab[1:] if self.drop_first else vocab):
-                dummies.append(F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(dummy_name(c, v)))
+                dummies.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
+                               .alias(dummy_name(c, v)))
         return df.select(*keep, *dummies)
 
     def scale_frame(self, df: DataFrame) -> DataFrame:
         """F5 apply: ``(x - mean) / std`` with zero std -> divide by 1."""
-        if not self.scale:
-            return df
-        s = param_struct(self.scaler)
         cols = []
         for c in df.columns:
-            if c in self.scale:
-                std = s.getField(f"std_{c}")
-                cols.append(((F.col(c) - s.getField(f"mean_{c}")) /
-                             F.when(std < _ZERO_SCALE, F.lit(1.0)).otherwise(std)).alias(c))
+            if c in self.scaler:
+                mean, std = self.scaler[c]
+                std = 1.0 if std is None or std < _ZERO_SCALE else float(std)
+                cols.append(((F.col(c) - F.lit(float(mean))) / F.lit(std)).alias(c))
             else:
                 cols.append(F.col(c))
         return df.select(*cols)
@@ -132,38 +129,62 @@ class FeatureModel:
         return self.scale_frame(self.encode(self.impute(df)))
 
     # ---- fitted parameters as tables (F8 / S5) ----------------------------
-    def params_long(self) -> DataFrame:
-        med = self.medians.unpivot([], self.numeric, "column_name", "value") \
-            .select("column_name", F.lit("median").alias("kind"), F.col("value").cast("string").alias("value"))
-        mod = self.modes.unpivot([], self.categorical, "column_name", "value") \
-            .select("column_name", F.lit("mode").alias("kind"), F.col("value").cast("string").alias("value"))
-        return med.unionByName(mod)
+    def params_frame(self, spark) -> DataFrame:
+        """One row: ``train_medians map<string,double>``, ``train_modes map<string,string>``,
+        ``vocabulary map<string,array<string>>`` -- the scorer's defaults file."""
+        from pyspark.sql import types as T
+        schema = T.StructType([
+            T.StructField("train_medians", T.MapType(T.StringType(), T.DoubleType())),
+            T.StructField("train_modes", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("vocabulary", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+            T.StructField("scaler", T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))])
+        row = ({k: (None if v is None else float(v)) for k, v in self.medians.items()},
+               {k: (None if v is None else str(v)) for k, v in self.modes.items()},
+               {k: list(v) for k, v in self.vocabulary.items()},
+               {k: [float(a) if a is not None else None for a in v] for k, v in self.scaler.items()})
+        return spark.createDataFrame([row], schema)
+
+    @classmethod
+    def from_params(cls, row, numeric, categorical, drop_first: bool = True) -> "FeatureModel":
+        """Rebuild a model from a ``params_frame`` row (read back with S5)."""
+        vocab = {k: list(v) for k, v in (row["vocabulary"] or {}).items()}
+        scaler = {k: tuple(v) for k, v in (row["scaler"] or {}).items()}
+        m = cls(list(numeric), list(categorical), list(scaler), dict(row["train_medians"] or {}),
+                dict(row["train_modes"] or {}), vocab, scaler, drop_first)
+        m.dummy_columns = [dummy_name(c, v) for c in categorical for v in (vocab[c][1:] if drop_first else vocab[c])]
+        return m
 
 
 def fit(train: DataFrame, numeric, categorical, scale=None, drop_first: bool = True,
         exact_median: bool = True, max_dummies: int = MAX_DUMMIES) -> FeatureModel:
-    """Fit F2-F6 on ``train``; returns a model whose frames are cached one-row tables."""
+    """Fit F2-F6 on ``train``.
+
+    Job 1: medians, modes and vocabulary (aggregates, one row per column or
+    category).  Job 2: mean / population std of the imputed scale columns.
+    Only these aggregates reach the driver; their size is the schema width
+    plus the vocabulary, which is checked against ``max_dummies``.
+    """
     numeric, categorical = list(numeric), list(categorical)
     scale = list(numeric if scale is None else scale)
-    medians = _one_row(fit_medians(train, numeric, exact_median), "column_name", "median", numeric).cache() \
-        if numeric else None
-    modes = _one_row(fit_modes(train, categorical), "column_name", "mode", categorical).cache() \
-        if categorical else None
+    medians = ({r["column_name"]: r["median"] for r in fit_medians(train, numeric, exact_median).collect()}
+               if numeric else {})
+    modes = ({r["column_name"]: r["mode"] for r in fit_modes(train, categorical).collect()}
+             if categorical else {})
     vocab: dict = {c: [] for c in categorical}
     if categorical:
-        voc = fit_vocabulary(train, categorical)
-        rows = voc.limit(max_dummies + 1).collect()   # bounded: refuse data-sized vocabularies
+        rows = fit_vocabulary(train, categorical).limit(max_dummies + 1).collect()
         if len(rows) > max_dummies:
-            raise ValueError("vocabulary too large for a dense one-hot layout; use the sparse encoder")
+            raise ValueError("vocabulary too large for a dense one-hot layout; use sparse_encoder")
         for r in sorted(rows, key=lambda r: (r["column_name"], r["position"])):
             vocab[r["column_name"]].append(r["value"])
-    model = FeatureModel(numeric, categorical, scale, medians, modes, vocab, None, drop_first)
+    model = FeatureModel(numeric, categorical, scale, medians, modes, vocab, {}, drop_first)
     if scale:
         imputed = model.impute(train.select(*scale))
         aggs = []
         for c in scale:
             aggs += [F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}")]
-        model.scaler = imputed.agg(*aggs).cache()
+        r = imputed.agg(*aggs).first()
+        model.scaler = {c: (r[f"mean_{c}"], r[f"std_{c}"]) for c in scale}
     model.dummy_columns = [dummy_name(c, v) for c in categorical
                            for v in (vocab[c][1:] if drop_first else vocab[c])]
     return model

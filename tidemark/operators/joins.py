@@ -23,8 +23,16 @@ def bounded_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with ``small``; broadcast ``small`` only when its row count is bounded."""
+               max_rows: int = BROADCAST_MAX_ROWS, bound: int | None = None) -> DataFrame:
+    """Join ``big`` with ``small``; broadcast ``small`` only when its row count is bounded.
+
+    ``bound`` is a row bound known by construction (e.g. columns x buckets);
+    when it is within ``max_rows`` no counting job is needed.  Otherwise the
+    small side is counted (it is an aggregate, so this is cheap) and joined
+    by shuffle if it turns out large.
+    """
+    if bound is not None and bound <= max_rows:
+        return big.join(F.broadcast(small), on=on, how=how)
     small, ok = bounded_small(small, max_rows)
     return big.join(F.broadcast(small) if ok else small, on=on, how=how)
 

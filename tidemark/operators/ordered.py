@@ -124,3 +124,35 @@ def _search(vc, stats, g, value_col, n_buckets, refine_above):
 def _cache_small(df: DataFrame, max_rows: int = 200_000):
     df = df.cache()
     return df, df.limit(max_rows + 1).count() <= max_rows
+
+
+def ordered_prefix(df: DataFrame, group_cols, order_col: str, measures, n_buckets: int = DEFAULT_BUCKETS,
+                   n_groups: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``measures`` and the next ``order_col`` value,
+    per group in ``order_col`` order -- exact, without an unpartitioned window.
+
+    ``df`` must hold one row per (group, order value), e.g. value counts.
+    Adds ``cum_<m>`` for each measure and ``next_value`` (NULL on the last row).
+    """
+    g = list(group_cols)
+    if g:
+        rng = df.groupBy(*g).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+        d = join_small(df, rng, on=g, bound=n_groups)
+    else:
+        rng = df.agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+        d = df.withColumn("_lo", rng.select("_lo").scalar()).withColumn("_hi", rng.select("_hi").scalar())
+    d = d.withColumn("_b", _equal_width_bucket(F.col(order_col).cast("double"), F.col("_lo").cast("double"),
+                                               F.col("_hi").cast("double"), n_buckets))
+    bt = d.groupBy(*g, "_b").agg(*[F.sum(m).alias(f"_bs_{m}") for m in measures],
+                                 F.min(order_col).alias("_bmin"))
+    wb = Window.partitionBy(*g).orderBy("_b")
+    prev = wb.rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*g, "_b", *[F.coalesce(F.sum(f"_bs_{m}").over(prev), F.lit(0)).alias(f"_off_{m}") for m in measures],
+                   F.lead("_bmin").over(wb).alias("_next_bmin"))
+    d = join_small(d, bt, on=[*g, "_b"], bound=None if n_groups is None else n_groups * n_buckets)
+    wi = Window.partitionBy(*g, "_b").orderBy(order_col)
+    upto = wi.rowsBetween(Window.unboundedPreceding, 0)
+    for m in measures:
+        d = d.withColumn(f"cum_{m}", F.col(f"_off_{m}") + F.sum(m).over(upto))
+    d = d.withColumn("next_value", F.coalesce(F.lead(order_col).over(wi), F.col("_next_bmin")))
+    return d.drop("_lo", "_hi", "_b", "_next_bmin", *[f"_off_{m}" for m in measures])

@@ -135,3 +135,21 @@ def next_split(catalog: DataFrame, years: DataFrame, year_col: str) -> DataFrame
         F.when(status == "created", F.col("first_year")).cast("int").alias("start_year"),
         F.when(status == "created", F.col("next_year")).cast("int").alias("end_year"),
         F.when(status == "created", split_name(F.col("first_year"), F.col("next_year"))).alias("years"))
+
+
+def positional_cut(df: DataFrame, key_cols, share: float = 0.8, seed: int = 42,
+                   flag_col: str = "first_part", hash_prefix: int = 3) -> DataFrame:
+    """The first ``floor(share * n)`` rows in a seeded order vs the rest.
+
+    The row order is an explicit parameter (seeded hash of the key), and the
+    cut is exact: ranks come from ``bucketed_rank``, the total from a
+    scalar subquery.
+    """
+    key_cols = list(key_cols)
+    d = (df.withColumn("_g", F.lit(0))
+           .withColumn("_h", seeded_hash(seed, key_cols))
+           .withColumn("_hb", F.substring("_h", 1, hash_prefix)))
+    ranked = bucketed_rank(d, ["_g"], "_hb", ["_h", *key_cols], "_r")
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    cut = F.floor(n.cast("double") * F.lit(float(share)))
+    return ranked.withColumn(flag_col, F.col("_r") <= cut).drop("_g", "_h", "_hb", "_r")

@@ -246,3 +246,105 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / (SELECT n FROM
                  round(sum(recall * support) / (SELECT n FROM tot), 9),
                  round(sum(f1_score * support) / (SELECT n FROM tot), 9), (SELECT n FROM tot) FROM m""",
 })
+
+
+# ---------------------------------------------------------------- drift SQL
+def _enc_cte() -> str:
+    cols = ", ".join(f"(imp.{c} - m_{c}) / CASE WHEN s_{c} < {10 * 2.220446049250313e-16!r} THEN 1.0 ELSE s_{c} END AS {c}"
+                     for c in _NUM)
+    dums = ", ".join(f"CAST(coalesce(imp.{c} = '{v}', false) AS INTEGER) AS \"{_dummy(c, v)}\""
+                     for c in _CAT for v in _DOMAINS[c][1:])
+    return _FEAT + f""",
+enc AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, target, year, is_test, {cols}, {dums} FROM imp, sc)"""
+
+
+_ENC_COLS = [*_NUM, "year"] + [_dummy(c, v) for c in _CAT for v in _DOMAINS[c][1:]]
+
+
+def _long_cte(ref: str, cur: str, cols, vtype: str = "DOUBLE") -> str:
+    sel = ", ".join(f'CAST("{c}" AS {vtype}) AS "{c}"' for c in cols)
+    on = ", ".join(f'"{c}"' for c in cols)
+    return f"""long AS (
+  SELECT 0 AS side, column_name, value FROM (UNPIVOT (SELECT {sel} FROM {ref}) ON {on} INTO NAME column_name VALUE value)
+  UNION ALL
+  SELECT 1 AS side, column_name, value FROM (UNPIVOT (SELECT {sel} FROM {cur}) ON {on} INTO NAME column_name VALUE value)),
+vc AS (SELECT column_name, value, count(*) FILTER (WHERE side = 0) AS n_ref, count(*) FILTER (WHERE side = 1) AS n_cur
+       FROM long WHERE value IS NOT NULL GROUP BY ALL),
+tot AS (SELECT column_name, sum(n_ref) AS tot_ref, sum(n_cur) AS tot_cur, count(*) AS n_unique FROM vc GROUP BY 1)"""
+
+
+_NUM_STATS = """,
+cum AS (SELECT vc.*, tot_ref, tot_cur, n_unique,
+               CAST(sum(n_ref) OVER w AS DOUBLE) / tot_ref AS fr, CAST(sum(n_cur) OVER w AS DOUBLE) / tot_cur AS fc,
+               lead(value) OVER (PARTITION BY column_name ORDER BY value) AS nxt
+        FROM vc JOIN tot USING (column_name)
+        WINDOW w AS (PARTITION BY column_name ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+mu AS (SELECT column_name, sum(value * n_ref) / sum(n_ref) AS mu FROM vc GROUP BY 1),
+num AS (SELECT column_name, CAST(any_value(tot_ref) AS BIGINT) AS n_ref, CAST(any_value(tot_cur) AS BIGINT) AS n_cur,
+               CAST(any_value(n_unique) AS BIGINT) AS n_unique,
+               sum(abs(fr - fc) * coalesce(nxt - value, 0))
+                 / greatest(sqrt(sum(n_ref * (value - mu) * (value - mu)) / sum(n_ref)), 0.001) AS wasserstein_norm,
+               max(abs(fr - fc)) AS ks_statistic
+        FROM cum JOIN mu USING (column_name) GROUP BY 1),
+numz AS (SELECT *, sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) * ks_statistic AS z FROM num),
+nump AS (SELECT *, CASE WHEN z < 0.18 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101),
+                lambda k: 2.0 * pow(-1.0, k - 1) * exp(-2.0 * k * k * z * z))), 0.0), 1.0) END AS ks_pvalue FROM numz)"""
+
+_CAT_STATS = """,
+pq AS (SELECT vc.*, tot_ref, tot_cur, n_unique,
+              CASE WHEN n_ref = 0 THEN 0.0001 ELSE CAST(n_ref AS DOUBLE) / tot_ref END AS p,
+              CASE WHEN n_cur = 0 THEN 0.0001 ELSE CAST(n_cur AS DOUBLE) / tot_cur END AS q,
+              CAST(n_ref * tot_cur AS DOUBLE) / tot_ref AS e
+       FROM vc JOIN tot USING (column_name)),
+pn AS (SELECT *, p / sum(p) OVER (PARTITION BY column_name) AS pn, q / sum(q) OVER (PARTITION BY column_name) AS qn FROM pq),
+cat AS (SELECT column_name, CAST(any_value(tot_ref) AS BIGINT) AS n_ref, CAST(any_value(tot_cur) AS BIGINT) AS n_cur,
+               CAST(any_value(n_unique) AS BIGINT) AS n_unique, CAST(any_value(n_unique) - 1 AS INTEGER) AS chi_dof,
+               sqrt(greatest(0.0, 0.5 * sum(pn * ln(pn / ((pn + qn) / 2))) + 0.5 * sum(qn * ln(qn / ((pn + qn) / 2))))) AS jensen_shannon,
+               sum(CASE WHEN e = 0 THEN CASE WHEN n_cur = 0 THEN 0.0 ELSE CAST('inf' AS DOUBLE) END
+                        ELSE (n_cur - e) * (n_cur - e) / e END) AS chi_square
+        FROM pn GROUP BY 1)"""
+
+_SELECT_TEST = """,
+sel AS (SELECT num.column_name,
+               CASE WHEN num.n_unique <= 5 THEN 'jensenshannon' ELSE 'wasserstein' END AS stattest,
+               CASE WHEN num.n_unique <= 5 THEN cat.jensen_shannon ELSE num.wasserstein_norm END AS score
+        FROM num LEFT JOIN cat USING (column_name))"""
+
+_REFCUR = """,
+ref AS (SELECT * FROM {src} WHERE NOT is_test AND year BETWEEN 1995 AND 1995),
+cur AS (SELECT * FROM {src} WHERE NOT is_test AND year BETWEEN 1995 AND 2000)"""
+
+_DRIFT_COLUMNS = (_enc_cte() + _REFCUR.format(src="enc") + ",\n" + _long_cte("ref", "cur", _ENC_COLS)
+                  + _NUM_STATS + _CAT_STATS + _SELECT_TEST)
+
+_BASELINE = (_enc_cte() + _REFCUR.format(src="enc") + """,
+cutr AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+                                      l_orderkey, l_linenumber, l_partkey, l_suppkey)
+                   <= floor(CAST(count(*) OVER () AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS first_part FROM ref),
+a AS (SELECT * FROM cutr WHERE first_part),
+b AS (SELECT * FROM cutr WHERE NOT first_part),\n""" + _long_cte("a", "b", _ENC_COLS)
+             + _NUM_STATS + _CAT_STATS + _SELECT_TEST)
+
+ORACLES.update({
+    "drift_numeric_tests": with_split() + _REFCUR.format(src="split") + ",\n" + _long_cte("ref", "cur", _NUM)
+        + _NUM_STATS + """
+SELECT column_name, n_ref, n_cur, n_unique, round(wasserstein_norm, 6) AS wasserstein_norm,
+       round(ks_statistic, 9) AS ks_statistic, round(ks_pvalue, 6) AS ks_pvalue FROM nump""",
+    "drift_categorical_tests": with_split(wide=True) + _REFCUR.format(src="split") + ",\n"
+        + _long_cte("ref", "cur", _CAT, "VARCHAR") + _CAT_STATS + """
+SELECT column_name, n_ref, n_cur, n_unique, chi_dof, round(jensen_shannon, 9) AS jensen_shannon,
+       round(chi_square, 6) AS chi_square FROM cat""",
+    "drift_columns": _DRIFT_COLUMNS + """
+SELECT column_name, stattest, round(score, 6) AS drift_score, score >= 0.1 AS drift_detected FROM sel""",
+    "drift_baseline": _BASELINE + """
+SELECT column_name, stattest, round(score, 6) AS drift_score, score >= 0.1 AS drift_detected FROM sel""",
+    "drift_report": _DRIFT_COLUMNS + """,
+s AS (SELECT count(*) AS number_of_columns, count(*) FILTER (WHERE score >= 0.1) AS number_of_drifted_columns,
+             CAST(count(*) FILTER (WHERE score >= 0.1) AS DOUBLE) / count(*) AS share FROM sel)
+SELECT 1 AS reference_split, 6 AS current_split, number_of_columns, number_of_drifted_columns,
+       round(share, 9) AS share_of_drifted_columns, share > 0 AS dataset_drift,
+       CASE WHEN NOT share > 0 THEN 'OK' WHEN share >= 0.04 THEN 'CRITICAL' WHEN share >= 0.02 THEN 'WARNING' ELSE 'INFO' END AS severity,
+       NOT share < 0.02 AS retrain,
+       CASE WHEN share < 0.02 THEN 'drift_below_threshold' ELSE 'drift_above_threshold' END AS decision_reason
+FROM s""",
+})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.clean import interim
 from tidemark.operators.splits import stratified_split
 from tidemark.plans import fixtures as fx
+from tidemark.session import cut_lineage
 
 
 def interim_obs(spark: SparkSession, root: str) -> DataFrame:
@@ -23,15 +24,15 @@ def interim_obs(spark: SparkSession, root: str) -> DataFrame:
 
 def split_obs(spark: SparkSession, root: str) -> DataFrame:
     """Interim rows with the F1 ``is_test`` flag."""
-    return stratified_split(interim_obs(spark, root), fx.OBS_LABEL, fx.OBS_KEY,
-                            test_size=fx.TEST_SIZE, seed=fx.SEED)
+    return cut_lineage(stratified_split(interim_obs(spark, root), fx.OBS_LABEL, fx.OBS_KEY,
+                                        test_size=fx.TEST_SIZE, seed=fx.SEED))
 
 
 def split_obs_wide(spark: SparkSession, root: str) -> DataFrame:
     """obs_wide through the same steps (adds two categorical columns)."""
     df = interim(fx.obs_wide(spark, root), label_col=fx.OBS_LABEL, date_col=fx.OBS_DATE,
                  drop=("l_returnflag", "l_shipdate"), missing_limit=0.30)
-    return stratified_split(df, fx.OBS_LABEL, fx.OBS_KEY, test_size=fx.TEST_SIZE, seed=fx.SEED)
+    return cut_lineage(stratified_split(df, fx.OBS_LABEL, fx.OBS_KEY, test_size=fx.TEST_SIZE, seed=fx.SEED))
 
 
 def test_count(split: DataFrame) -> F.Column:

@@ -169,14 +169,13 @@ def q_onehot_vocabulary(spark, root):
 
 def q_scaler_params(spark, root):
     """F5 fit: mean and population std of the imputed training columns."""
-    _, _, model = _fitted(spark, root)
-    s = model.scaler
-    parts = [s.select(F.lit(c).alias("column_name"), F.round(f"mean_{c}", 6).alias("mean"),
-                      F.round(f"std_{c}", 6).alias("std")) for c in fx.OBS_NUMERIC]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    split = pp.split_obs_wide(spark, root)
+    train = split.where(~F.col("is_test"))
+    med = {r["column_name"]: r["median"] for r in ft.fit_medians(train, fx.OBS_NUMERIC).collect()}
+    imputed = train.select(*[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c) for c in fx.OBS_NUMERIC])
+    long = imputed.unpivot([], fx.OBS_NUMERIC, "column_name", "value")
+    return long.groupBy("column_name").agg(F.round(F.avg("value"), 6).alias("mean"),
+                                           F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
 def q_encoded_features(spark, root):
@@ -235,3 +234,88 @@ QUERIES.update({
     "classification_report": q_classification_report,
     "metrics_by_year": q_metrics_by_year,
 })
+
+
+# --------------------------------------------------------------------- drift
+from tidemark.operators import drift as dr  # noqa: E402
+
+
+def _encoded(spark, root):
+    split, _, model = _fitted(spark, root)
+    return model.transform(split), model
+
+
+def _drift_cols(model):
+    return [*fx.OBS_NUMERIC, "year", *model.dummy_columns]
+
+
+def _ref_cur(df, ref_end=fx.YEAR_START, cur_end=fx.YEAR_END):
+    """Reference = split 1 training rows, current = the last cumulative split (Q11)."""
+    train = df.where(~F.col("is_test"))
+    return (train.where(F.col("year").between(fx.YEAR_START, ref_end)),
+            train.where(F.col("year").between(fx.YEAR_START, cur_end)))
+
+
+def q_drift_numeric_tests(spark, root):
+    """D3 + D5: normalised Wasserstein and KS (statistic, asymptotic p) per numeric column."""
+    ref, cur = _ref_cur(pp.split_obs(spark, root))
+    vc = dr.value_counts_by_side(ref, cur, fx.OBS_NUMERIC, "double")
+    t = dr.numeric_tests(vc)
+    return t.select("column_name", "n_ref", "n_cur", "n_unique",
+                    F.round("wasserstein_norm", 6).alias("wasserstein_norm"),
+                    F.round("ks_statistic", 9).alias("ks_statistic"), F.round("ks_pvalue", 6).alias("ks_pvalue"))
+
+
+def q_drift_categorical_tests(spark, root):
+    """D4 + D6 statistics: Jensen-Shannon distance and chi-square per category column."""
+    ref, cur = _ref_cur(pp.split_obs_wide(spark, root))
+    vc = dr.value_counts_by_side(ref, cur, FEATURE_CATEGORICAL, "string")
+    t = dr.categorical_tests(vc, with_pvalues=False)
+    return t.select("column_name", "n_ref", "n_cur", "n_unique", "chi_dof",
+                    F.round("jensen_shannon", 9).alias("jensen_shannon"), F.round("chi_square", 6).alias("chi_square"))
+
+
+def q_drift_pvalues(spark, root):
+    """D5 + D6 p-values (KS series, chi-square and z tails) per column."""
+    ref, cur = _ref_cur(pp.split_obs_wide(spark, root))
+    per = dr.column_drift(ref, cur, fx.OBS_NUMERIC, FEATURE_CATEGORICAL, with_pvalues=True)
+    return per.select("column_name", "kind", "ks_pvalue", "chi_pvalue", "z_pvalue")
+
+
+def q_drift_columns(spark, root):
+    """The default test per feature column of the encoded matrix, split 1 vs split 6."""
+    enc, model = _encoded(spark, root)
+    ref, cur = _ref_cur(enc)
+    per = dr.column_drift(ref, cur, _drift_cols(model), [], with_pvalues=False)
+    return per.select("column_name", "stattest", F.round("drift_score", 6).alias("drift_score"), "drift_detected")
+
+
+def q_drift_report(spark, root):
+    """D2 + D7 + D8 + D9 + D11: dataset drift summary, alert level and retrain decision."""
+    enc, model = _encoded(spark, root)
+    ref, cur = _ref_cur(enc)
+    rep = dr.drift_report(ref, cur, _drift_cols(model), [], with_pvalues=False)
+    return rep.select(F.lit(1).alias("reference_split"), F.lit(fx.YEAR_END - fx.YEAR_START + 1).alias("current_split"),
+                      "number_of_columns", "number_of_drifted_columns",
+                      F.round("share_of_drifted_columns", 9).alias("share_of_drifted_columns"),
+                      "dataset_drift", "severity", "retrain", "decision_reason")
+
+
+def q_drift_baseline(spark, root):
+    """D10 + W7: the reference split against itself, first 80% vs last 20% (seeded order)."""
+    enc, model = _encoded(spark, root)
+    ref, _ = _ref_cur(enc)
+    cut = sp.positional_cut(ref, fx.OBS_KEY, 0.8, fx.SEED)
+    a, b = cut.where(F.col("first_part")), cut.where(~F.col("first_part"))
+    per = dr.column_drift(a, b, _drift_cols(model), [], with_pvalues=False)
+    return per.select("column_name", "stattest", F.round("drift_score", 6).alias("drift_score"), "drift_detected")
+
+
+QUERIES.update({
+    "drift_numeric_tests": q_drift_numeric_tests,
+    "drift_categorical_tests": q_drift_categorical_tests,
+    "drift_pvalues": q_drift_pvalues,
+    "drift_columns": q_drift_columns,
+    "drift_report": q_drift_report,
+    "drift_baseline": q_drift_baseline,
+})

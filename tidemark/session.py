@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins and coalesces small
 # shuffle partitions at runtime; skew-join splits hot partitions.
@@ -30,6 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
+    # Only takes effect when this call starts the JVM (local runs, tests).
+    builder = builder.config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -70,3 +72,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and return a frame
+    that reads it back.  Used after expensive, reused steps (the exact split)
+    so later plans neither recompute nor re-analyse them; a reliable
+    checkpoint survives executor loss, unlike a local one.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
