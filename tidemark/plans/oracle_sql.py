@@ -348,3 +348,35 @@ SELECT 1 AS reference_split, 6 AS current_split, number_of_columns, number_of_dr
        CASE WHEN share < 0.02 THEN 'drift_below_threshold' ELSE 'drift_above_threshold' END AS decision_reason
 FROM s""",
 })
+
+
+# ------------------------------------------------------------- registry SQL
+_REG = _metrics_sql("year").replace("SELECT year, tp, fp, fn, tn,", "SELECT year, tp, fp, fn, tn, roc_auc AS auc_raw, "
+                                    "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1_raw,", 1)
+_REG = _REG.replace("FROM c JOIN auc USING (year)", "FROM c JOIN auc USING (year)),\nruns AS (SELECT *, "
+                    "CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS version FROM m0)")
+_REG = _REG.replace(",\nc AS (SELECT year,", ",\nc AS (SELECT year,", 1)
+_REG = _REG.replace("SELECT year, tp, fp, fn, tn, roc_auc AS auc_raw", "m0 AS (SELECT year, tp, fp, fn, tn, roc_auc AS auc_raw", 1)
+_REG = _REG.replace("auc AS (SELECT year,", "auc AS (SELECT year,", 1)
+_REG = _REG.replace("\nm0 AS (", ",\nm0 AS (", 1)
+_REG += """,
+dec AS (SELECT *, max(f1_raw) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM runs),
+dec2 AS (SELECT *, prev IS NULL OR f1_raw > prev AS is_better,
+                CASE WHEN prev IS NULL THEN NULL WHEN prev > 0 THEN (f1_raw - prev) / prev * 100 ELSE 100.0 END AS imp FROM dec),
+last_prod AS (SELECT max(version) AS v FROM dec2 WHERE is_better),
+st AS (SELECT dec2.*, CASE WHEN version = (SELECT v FROM last_prod) THEN 'Production'
+                           WHEN is_better THEN 'Archived' ELSE 'None' END AS final_stage FROM dec2)"""
+
+ORACLES.update({
+    "registry_promotions": _REG + """
+SELECT version, printf('run_rain_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score,
+       round(prev, 9) AS production_f1_before, is_better, round(imp, 6) AS improvement_pct, final_stage FROM st""",
+    "production_model": _REG + """
+SELECT version, printf('run_rain_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score, accuracy, precision,
+       recall, round(auc_raw, 9) AS roc_auc, f1_raw < 0.6 AS f1_alert FROM st WHERE final_stage = 'Production'""",
+    "registry_archive_all": _REG + """
+SELECT version, 'Archived' AS stage, 'true' AS tag_archived,
+       strftime((SELECT max(o_orderdate) FROM orders), '%Y-%m-%dT%H:%M:%S') AS tag_archived_at,
+       CASE WHEN final_stage = 'Production' THEN 'True' ELSE 'False' END AS tag_is_production,
+       printf('%.4f', f1_raw) AS tag_f1_score FROM st""",
+})

@@ -319,3 +319,65 @@ QUERIES.update({
     "drift_report": q_drift_report,
     "drift_baseline": q_drift_baseline,
 })
+
+
+# ------------------------------------------------------------------ registry
+from tidemark.operators import registry as rg  # noqa: E402
+
+MODEL_NAME = "rain_model"
+
+
+def _runs(spark, root):
+    df = _scored_pred(spark, root).withColumn("year", F.year("o_orderdate").cast("int"))
+    m = ev.binary_metrics(df, "label", "prediction", "score", group_cols=["year"])
+    return rg.runs_from_metrics(m, "year", MODEL_NAME, param_cols=("year",))
+
+
+def _registry(spark, root):
+    runs = _runs(spark, root)
+    dec = rg.champion_challenger(runs)
+    events = rg.promotion_events(dec, {"years": F.col("year"),
+                                       "f1_score": F.format_string("%.4f", F.col("metrics")["f1_score"])})
+    return runs, dec, events
+
+
+def q_registry_promotions(spark, root):
+    """R1 + M4 + R3: champion/challenger over yearly runs and the resulting stages."""
+    runs, dec, events = _registry(spark, root)
+    state = rg.current_state(events)
+    return dec.join(state.select("model_name", "version", F.col("stage").alias("final_stage")),
+                    ["model_name", "version"]).select(
+        "version", "run_id", F.round(F.col("metrics")["f1_score"], 9).alias("f1_score"),
+        F.round("production_metric_before", 9).alias("production_f1_before"),
+        "is_better", F.round("improvement_pct", 6).alias("improvement_pct"), "final_stage")
+
+
+def q_production_model(spark, root):
+    """R2 + W3 + J4 + A19 + R5: the production version, its metrics and the F1 alert."""
+    runs, _, events = _registry(spark, root)
+    p = rg.production_model(rg.current_state(events), runs)
+    f1 = F.col("metrics")["f1_score"]
+    return p.select("version", "run_id",
+                    *[F.round(F.col("metrics")[k], 9).alias(k) for k in
+                      ("f1_score", "accuracy", "precision", "recall", "roc_auc")],
+                    (f1 < 0.6).alias("f1_alert"))
+
+
+def q_registry_archive_all(spark, root):
+    """Archive every version; existing tags kept, absent ones added."""
+    runs, _, events = _registry(spark, root)
+    state = rg.current_state(events)
+    as_of = F.date_format(fx.scored(spark, root).agg(F.max("o_orderdate")).scalar(), "yyyy-MM-dd'T'HH:mm:ss")
+    arch = rg.archive_all(state, as_of, F.lit(1_000_000))
+    final = rg.current_state(events.unionByName(arch))
+    return final.select("version", "stage", F.col("tags")["archived"].alias("tag_archived"),
+                        F.col("tags")["archived_at"].alias("tag_archived_at"),
+                        F.col("tags")["is_production"].alias("tag_is_production"),
+                        F.col("tags")["f1_score"].alias("tag_f1_score"))
+
+
+QUERIES.update({
+    "registry_promotions": q_registry_promotions,
+    "production_model": q_production_model,
+    "registry_archive_all": q_registry_archive_all,
+})
