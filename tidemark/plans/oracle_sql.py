@@ -380,3 +380,61 @@ SELECT version, 'Archived' AS stage, 'true' AS tag_archived,
        CASE WHEN final_stage = 'Production' THEN 'True' ELSE 'False' END AS tag_is_production,
        printf('%.4f', f1_raw) AS tag_f1_score FROM st""",
 })
+
+
+# ------------------------------------------------------------ telemetry SQL
+_BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+_LES = "(VALUES " + ", ".join(f"(CAST({b} AS DOUBLE))" for b in _BOUNDS) + ", (CAST('inf' AS DOUBLE))) b(le)"
+_ALLOWED = "('click', 'view', 'purchase', 'signup')"
+
+
+def _quantile_sql(src: str, keys: str) -> str:
+    """A18 over cumulative buckets in ``src`` (columns keys..., le, cum_count)."""
+    return f"""h AS (SELECT *, lag(le) OVER w AS prev_le, coalesce(lag(cum_count) OVER w, 0) AS prev_cum,
+              max(cum_count) OVER (PARTITION BY {keys}) AS total,
+              CAST(0.95 AS DOUBLE) * max(cum_count) OVER (PARTITION BY {keys}) AS rnk
+       FROM {src} WINDOW w AS (PARTITION BY {keys} ORDER BY le)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY le) AS rn FROM h WHERE cum_count >= rnk AND total > 0),
+qv AS (SELECT {keys}, CASE WHEN isinf(le) THEN prev_le WHEN cum_count - prev_cum = 0 THEN le
+                   ELSE coalesce(prev_le, 0.0) + (le - coalesce(prev_le, 0.0)) * (rnk - prev_cum) / (cum_count - prev_cum) END AS quantile
+       FROM hit WHERE rn = 1)"""
+
+
+_WINDOWED = "WITH " + SQL_LOG + f""",
+al AS (SELECT * FROM log WHERE endpoint IN {_ALLOWED}),
+ex AS (SELECT al.*, time_bucket(INTERVAL 1 minute, ts) - to_minutes(k) AS window_start FROM al, range(0, 5) t(k)),
+hist AS (SELECT window_start, endpoint, le, count(*) FILTER (WHERE duration <= le) AS cum_count FROM ex, {_LES} GROUP BY ALL),
+rate AS (SELECT window_start, endpoint, count(*) / 300.0 AS rate FROM ex GROUP BY ALL),
+""" + _quantile_sql("hist", "window_start, endpoint") + """,
+wl AS (SELECT rate.window_start, rate.window_start + INTERVAL 5 minute AS window_end, rate.endpoint, rate.rate, qv.quantile
+       FROM rate JOIN qv USING (window_start, endpoint))"""
+
+ORACLES.update({
+    "request_totals": "WITH " + SQL_LOG + "\nSELECT endpoint, method, status_code, count(*) AS n_requests FROM log GROUP BY ALL",
+    "average_latency": "WITH " + SQL_LOG + """
+SELECT endpoint, round(avg(a), 9) AS avg_latency
+FROM (SELECT endpoint, method, sum(duration) / count(*) AS a FROM log GROUP BY ALL) GROUP BY endpoint""",
+    "latency_histogram": "WITH " + SQL_LOG + f"""
+SELECT endpoint, le, count(*) FILTER (WHERE duration <= le) AS cum_count FROM log, {_LES} GROUP BY ALL""",
+    "latency_p95": "WITH " + SQL_LOG + f""",
+al AS (SELECT * FROM log WHERE endpoint IN {_ALLOWED}),
+hist AS (SELECT endpoint, le, count(*) FILTER (WHERE duration <= le) AS cum_count FROM al, {_LES} GROUP BY ALL),
+""" + _quantile_sql("hist", "endpoint") + """
+SELECT endpoint, round(quantile, 9) AS quantile FROM qv""",
+    "windowed_latency": _WINDOWED + """
+SELECT window_start, window_end, endpoint, round(rate, 9) AS rate, round(quantile, 9) AS p_quantile FROM wl""",
+    "instant_rate": "WITH " + SQL_LOG + """,
+per AS (SELECT endpoint, CAST(floor((epoch_us(ts) // 1000000) / 60) * 60 + 60 AS BIGINT) AS sample_ts, count(*) AS n
+        FROM log GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY endpoint ORDER BY sample_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS counter FROM per),
+l AS (SELECT *, lag(counter) OVER w AS pv, lag(sample_ts) OVER w AS pt FROM c WINDOW w AS (PARTITION BY endpoint ORDER BY sample_ts)),
+r AS (SELECT endpoint, sample_ts, CAST(CASE WHEN counter < pv THEN counter ELSE counter - pv END AS DOUBLE) / (sample_ts - pt) AS irate
+      FROM l WHERE pv IS NOT NULL)
+SELECT endpoint, max(sample_ts) AS last_sample_ts, round(arg_max(irate, sample_ts), 9) AS irate FROM r GROUP BY endpoint""",
+    "latency_alerts": _WINDOWED + """,
+cond AS (SELECT endpoint, epoch_us(window_end) // 1000000 AS step_ts FROM wl WHERE quantile > 100.0),
+isl AS (SELECT *, step_ts // 60 - row_number() OVER (PARTITION BY endpoint ORDER BY step_ts) AS island FROM cond),
+g AS (SELECT endpoint, min(step_ts) AS start_ts, max(step_ts) AS end_ts, count(*) AS n_steps FROM isl GROUP BY endpoint, island)
+SELECT endpoint, start_ts, end_ts, n_steps, end_ts - start_ts AS held_seconds, end_ts - start_ts >= 120 AS fired,
+       CASE WHEN end_ts - start_ts >= 120 THEN start_ts + 120 END AS first_firing_ts FROM g""",
+})

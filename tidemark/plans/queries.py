@@ -381,3 +381,72 @@ QUERIES.update({
     "production_model": q_production_model,
     "registry_archive_all": q_registry_archive_all,
 })
+
+
+# ----------------------------------------------------------------- telemetry
+from tidemark.operators import telemetry as tm  # noqa: E402
+
+# The request log's durations span 0.01..490 instead of seconds, so the
+# fixed bucket bounds and the 2-second threshold are scaled by 50.
+LATENCY_SCALE = 50.0
+SCALED_BUCKETS = tuple(b * LATENCY_SCALE for b in tm.LATENCY_BUCKETS)
+LATENCY_THRESHOLD = 2.0 * LATENCY_SCALE
+ALERT_HOLD_SECONDS = 120
+ALLOWED_ENDPOINTS = ("click", "view", "purchase", "signup")
+
+
+def _log(spark, root):
+    return fx.request_log(spark, root)
+
+
+def q_request_totals(spark, root):
+    """Requests per endpoint, method and status."""
+    return tm.request_totals(_log(spark, root))
+
+
+def q_average_latency(spark, root):
+    """Average latency per endpoint (sum/count per series, averaged)."""
+    return tm.average_latency(_log(spark, root)).select("endpoint", F.round("avg_latency", 9).alias("avg_latency"))
+
+
+def q_latency_histogram(spark, root):
+    """Cumulative latency buckets per endpoint."""
+    return tm.latency_histogram(_log(spark, root), SCALED_BUCKETS)
+
+
+def q_latency_p95(spark, root):
+    """A18 + P21: p95 from the histogram per allowed endpoint."""
+    log = tm.allow_endpoints(_log(spark, root), ALLOWED_ENDPOINTS)
+    h = tm.latency_histogram(log, SCALED_BUCKETS)
+    return tm.histogram_quantile(h, 0.95).select("endpoint", F.round("quantile", 9).alias("quantile"))
+
+
+def q_windowed_latency(spark, root):
+    """W5 + A17 + A18: 5-minute windows sliding by 1 minute: rate and p95 per endpoint."""
+    log = tm.allow_endpoints(_log(spark, root), ALLOWED_ENDPOINTS)
+    w = tm.windowed_latency(log, 0.95, "5 minutes", "1 minute", SCALED_BUCKETS, 300)
+    return w.select("window_start", "window_end", "endpoint", F.round("rate", 9).alias("rate"),
+                    F.round("p_quantile", 9).alias("p_quantile"))
+
+
+def q_instant_rate(spark, root):
+    """Per-second request rate from the last two counter samples per endpoint."""
+    s = tm.counter_samples(_log(spark, root), 60)
+    return tm.instant_rate(s).select("endpoint", "last_sample_ts", F.round("irate", 9).alias("irate"))
+
+
+def q_latency_alerts(spark, root):
+    """W5 + A18 + W6: p95 above the threshold held for 2 minutes -> alert runs per endpoint."""
+    log = tm.allow_endpoints(_log(spark, root), ALLOWED_ENDPOINTS)
+    return tm.latency_alerts(log, LATENCY_THRESHOLD, ALERT_HOLD_SECONDS, bounds=SCALED_BUCKETS)
+
+
+QUERIES.update({
+    "request_totals": q_request_totals,
+    "average_latency": q_average_latency,
+    "latency_histogram": q_latency_histogram,
+    "latency_p95": q_latency_p95,
+    "windowed_latency": q_windowed_latency,
+    "instant_rate": q_instant_rate,
+    "latency_alerts": q_latency_alerts,
+})
