@@ -438,3 +438,21 @@ g AS (SELECT endpoint, min(step_ts) AS start_ts, max(step_ts) AS end_ts, count(*
 SELECT endpoint, start_ts, end_ts, n_steps, end_ts - start_ts AS held_seconds, end_ts - start_ts >= 120 AS fired,
        CASE WHEN end_ts - start_ts >= 120 THEN start_ts + 120 END AS first_firing_ts FROM g""",
 })
+
+
+# -------------------------------------------------------------- sources SQL
+ORACLES.update({
+    "csv_roundtrip": ORACLES["interim_obs"],
+    "params_json_roundtrip": with_split(wide=True) + ",\ntr AS (SELECT * FROM split WHERE NOT is_test),\n"
+        "vc AS (" + _modes_sql("tr") + ")\n" + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, round(median({c}), 6) AS median, CAST(NULL AS VARCHAR) AS mode FROM tr"
+            for c in _NUM) + """
+UNION ALL SELECT column_name, CAST(NULL AS DOUBLE) AS median, value AS mode FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY c DESC, value) AS rn FROM vc) WHERE rn = 1""",
+    "split_catalog_append": "SELECT * FROM (" + SPLIT_SUMMARY + ") WHERE split_id <= 4",
+    "split_snapshot_fingerprint": with_split() + _CATALOG_CTE + """,
+r AS (SELECT split.* FROM split, cat WHERE NOT is_test AND cat.split_id = 3 AND split.year BETWEEN cat.start_year AND cat.end_year)
+SELECT 3 AS split_id, count(*) AS n_rows,
+       CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target)), 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS fingerprint
+FROM r""",
+})

@@ -450,3 +450,61 @@ QUERIES.update({
     "instant_rate": q_instant_rate,
     "latency_alerts": q_latency_alerts,
 })
+
+
+# ------------------------------------------------------------ sources/sinks
+from tidemark.sources import io as sio  # noqa: E402
+from tidemark.session import scratch_path  # noqa: E402
+
+
+def q_csv_roundtrip(spark, root):
+    """S7 + S1: the interim table written as CSV (NULL as NA) and read back with its schema."""
+    df = pp.interim_obs(spark, root)
+    path = scratch_path(spark, "interim-csv")
+    sio.write_csv(df, path)
+    return sio.read_csv(spark, path, df.schema)
+
+
+def q_params_json_roundtrip(spark, root):
+    """F8 + S5: fitted medians and modes written as a JSON parameter file and read back."""
+    train = pp.split_obs_wide(spark, root).where(~F.col("is_test"))
+    model = ft.fit(train, fx.OBS_NUMERIC, FEATURE_CATEGORICAL, scale=[])
+    path = scratch_path(spark, "params-json")
+    sio.write_json(model.params_frame(spark), path)
+    schema = model.params_frame(spark).schema
+    back = sio.read_json(spark, path, schema)
+    med = back.select(F.explode("train_medians").alias("column_name", "median")) \
+        .select("column_name", F.round("median", 6).alias("median"), F.lit(None).cast("string").alias("mode"))
+    mod = back.select(F.explode("train_modes").alias("column_name", "mode")) \
+        .select("column_name", F.lit(None).cast("double").alias("median"), "mode")
+    return med.unionByName(mod)
+
+
+def q_split_catalog_append(spark, root):
+    """S6 + W2: catalog with splits 1-3, then the next split appended, read back."""
+    split = pp.split_obs(spark, root)
+    cat = _catalog(spark, root)
+    path = scratch_path(spark, "split-catalog")
+    sio.append_catalog(cat.where(F.col("split_id") <= 3), path)
+    have = sio.read_catalog(spark, path)
+    nxt = sp.next_split(have, split.where(F.col("year").between(fx.YEAR_START, fx.YEAR_END)), "year").first()
+    if nxt["status"] == "created":
+        sio.append_catalog(cat.where(F.col("split_id") == nxt["split_id"]), path)
+    return sio.read_catalog(spark, path)
+
+
+def q_split_snapshot_fingerprint(spark, root):
+    """S12 + S3: immutable snapshot of split 3's training rows and its content fingerprint."""
+    split = pp.split_obs(spark, root)
+    rows = sp.split_rows(split.where(~F.col("is_test")), _catalog(spark, root), 3, "year")
+    fp = sio.write_snapshot(rows.select(*fx.OBS_KEY, "year", fx.OBS_LABEL),
+                            scratch_path(spark, "split-03"), [*fx.OBS_KEY, "year", fx.OBS_LABEL], method="md5")
+    return fp.select(F.lit(3).alias("split_id"), "n_rows", "fingerprint")
+
+
+QUERIES.update({
+    "csv_roundtrip": q_csv_roundtrip,
+    "params_json_roundtrip": q_params_json_roundtrip,
+    "split_catalog_append": q_split_catalog_append,
+    "split_snapshot_fingerprint": q_split_snapshot_fingerprint,
+})
