@@ -456,3 +456,30 @@ SELECT 3 AS split_id, count(*) AS n_rows,
        CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target)), 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS fingerprint
 FROM r""",
 })
+
+
+# ----------------------------------------------------------- validation SQL
+_DIRS = "('N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW')"
+ORACLES.update({
+    "request_validation": f"""WITH r AS (
+  SELECT o_orderkey AS request_id, n_name AS location, o_totalprice / 10000 AS min_temp, c_acctbal / 100 AS max_temp,
+         CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 ELSE 2 END AS rain_today, c_acctbal / 1000 AS rainfall,
+         NULLIF(CASE o_orderpriority WHEN '1-URGENT' THEN 'N' WHEN '2-HIGH' THEN 'NE' WHEN '3-MEDIUM' THEN 'E'
+                WHEN '4-NOT SPECIFIED' THEN '' ELSE 'LOW' END, '') AS wind_gust_dir,
+         o_totalprice / 5000 AS humidity_9am, c_acctbal / 50 AS wind_gust_speed
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+e AS (SELECT request_id, concat_ws(';',
+         CASE WHEN rain_today NOT IN (0, 1) THEN 'rain_today' END,
+         CASE WHEN rainfall < 0 THEN 'rainfall' END,
+         CASE WHEN min_temp >= max_temp THEN 'temp_order' END,
+         CASE WHEN wind_gust_dir IS NOT NULL AND wind_gust_dir NOT IN {_DIRS} THEN 'wind_gust_dir' END,
+         CASE WHEN NOT humidity_9am BETWEEN 0 AND 100 THEN 'humidity_9am' END,
+         CASE WHEN wind_gust_speed < 0 THEN 'wind_gust_speed' END,
+         CASE WHEN location NOT IN (SELECT n_name FROM nation WHERE n_regionkey <> 0) THEN 'unknown_location' END) AS errors
+      FROM r)
+SELECT request_id, errors = '' AS is_valid, errors FROM e""",
+    "request_features": _enc_cte() + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year, """ + ", ".join(
+        f"round({c}, 6) AS {c}" for c in _NUM) + ", " + ", ".join(f'"{c}"' for c in _ENC_COLS[5:]) + """
+FROM enc WHERE is_test""",
+})

@@ -508,3 +508,94 @@ QUERIES.update({
     "split_catalog_append": q_split_catalog_append,
     "split_snapshot_fingerprint": q_split_snapshot_fingerprint,
 })
+
+
+# ------------------------------------------------------- validation / scoring
+from tidemark.operators import model as ml  # noqa: E402
+from tidemark.operators import validation as vl  # noqa: E402
+from tidemark.sources.tables import read_table  # noqa: E402
+
+# Lighter boosted-tree settings for the registered scoring queries; the
+# library default (ml.REFERENCE_GBT) is the reference's 200 trees of depth 9.
+QUERY_GBT = dict(maxIter=20, maxDepth=5)
+
+
+def _requests_json(spark, root):
+    """Scoring requests as JSON text, one per order (fields mapped from order,
+    customer and nation columns; NULL fields are omitted from the JSON)."""
+    o = read_table(spark, root, "orders")
+    c = read_table(spark, root, "customer")
+    n = read_table(spark, root, "nation")
+    r = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    wind = (F.when(F.col("o_orderpriority") == "1-URGENT", "N").when(F.col("o_orderpriority") == "2-HIGH", "NE")
+            .when(F.col("o_orderpriority") == "3-MEDIUM", "E").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "")
+            .otherwise("LOW"))
+    body = F.struct(
+        F.col("n_name").alias("location"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        (F.col("o_totalprice") / 10000).alias("min_temp"), (F.col("c_acctbal") / 100).alias("max_temp"),
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).otherwise(2).alias("rain_today"),
+        (F.col("c_acctbal") / 1000).alias("rainfall"), wind.alias("wind_gust_dir"),
+        (F.col("o_totalprice") / 5000).alias("humidity_9am"), (F.col("c_acctbal") / 50).alias("wind_gust_speed"))
+    return r.select(F.col("o_orderkey").alias("request_id"), F.to_json(body).alias("value"))
+
+
+def _location_vocab(spark, root):
+    """Known locations: nations outside region 0."""
+    return read_table(spark, root, "nation").where(F.col("n_regionkey") != 0).select(F.col("n_name").alias("value"))
+
+
+def q_request_validation(spark, root):
+    """S9 + P14 + P15 + J3: decode JSON requests, apply every rule, check the location vocabulary."""
+    req = vl.parse_requests(_requests_json(spark, root), keep=["request_id"])
+    v = vl.validate(req, _location_vocab(spark, root))
+    return v.select("request_id", "is_valid", F.array_join("errors", ";").alias("errors"))
+
+
+def _obs_requests(split):
+    """Observation rows as JSON requests (test rows), parsed back with the same schema."""
+    cols = [c for c in split.columns if c not in ("is_test", fx.OBS_LABEL)]
+    schema = split.select(*cols).schema
+    js = split.where(F.col("is_test")).select(*fx.OBS_KEY, F.to_json(F.struct(*cols)).alias("value"))
+    parsed = js.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return parsed
+
+
+def q_request_features(spark, root):
+    """M3 feature part (S9 + P16 + F4 + P11 + F5): JSON requests -> model-ready rows."""
+    split, _, model = _fitted(spark, root)
+    feats = model.transform(_obs_requests(split))
+    expected = [*fx.OBS_KEY, "year", *fx.OBS_NUMERIC, *model.dummy_columns]
+    out = cl.align_to_schema(feats, expected)
+    return out.select(*[F.round(c, 6).alias(c) if c in fx.OBS_NUMERIC else F.col(c) for c in out.columns])
+
+
+def _feature_cols(model):
+    return [*fx.OBS_NUMERIC, "year", *model.dummy_columns]
+
+
+def q_gbt_test_metrics(spark, root):
+    """M1 + M2 + A9 + A10: boosted trees fitted on the training rows, scored on the test rows."""
+    split, _, model = _fitted(spark, root)
+    enc = model.transform(split)
+    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, **QUERY_GBT)
+    scored_test = ml.score(fitted, enc.where(F.col("is_test")), keep=[fx.OBS_LABEL])
+    m = ev.binary_metrics(scored_test, fx.OBS_LABEL, "prediction", "probability")
+    return m.select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1_score", "roc_auc")
+
+
+def q_simple_scoring(spark, root):
+    """M3: requests -> validate -> derive -> fill -> encode -> align -> scale -> score -> label."""
+    split, _, model = _fitted(spark, root)
+    enc = model.transform(split)
+    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, **QUERY_GBT)
+    feats = cl.align_to_schema(model.transform(_obs_requests(split)), [*fx.OBS_KEY, *_feature_cols(model)])
+    s = ml.score(fitted, feats, keep=fx.OBS_KEY)
+    return s.withColumn("label", F.when(F.col("prediction") == 1, "Returned").otherwise("Not returned"))
+
+
+QUERIES.update({
+    "request_validation": q_request_validation,
+    "request_features": q_request_features,
+    "gbt_test_metrics": q_gbt_test_metrics,
+    "simple_scoring": q_simple_scoring,
+})
