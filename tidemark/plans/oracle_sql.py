@@ -483,3 +483,15 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year, """ + ", ".join(
         f"round({c}, 6) AS {c}" for c in _NUM) + ", " + ", ".join(f'"{c}"' for c in _ENC_COLS[5:]) + """
 FROM enc WHERE is_test""",
 })
+
+
+# ------------------------------------------------------------ streaming SQL
+ORACLES.update({
+    "stream_windowed_latency": _WINDOWED + """
+SELECT window_start, window_end, endpoint, round(rate, 9) AS rate, round(quantile, 9) AS p_quantile FROM wl
+WHERE window_end <= (SELECT max(ts) FROM al) - INTERVAL 10 minute""",
+})
+
+ORACLES.update({
+    "stream_request_validation": ORACLES["request_validation"],
+})

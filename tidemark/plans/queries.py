@@ -599,3 +599,82 @@ QUERIES.update({
     "gbt_test_metrics": q_gbt_test_metrics,
     "simple_scoring": q_simple_scoring,
 })
+
+
+# ----------------------------------------------------------------- streaming
+from tidemark.streaming import common as stc  # noqa: E402
+from tidemark.streaming import latency as stl  # noqa: E402
+from tidemark.streaming import scoring as sts  # noqa: E402
+
+STREAM_DELAY = "10 minutes"
+
+
+def q_stream_windowed_latency(spark, root):
+    """The windowed p95/rate job as a stream (watermark 10 min, append mode, file sink)."""
+    log = tm.allow_endpoints(_log(spark, root), ALLOWED_ENDPOINTS)
+    landing = stc.land_files(log, "events")
+    src = stc.to_event_time(spark.readStream.schema(log.schema).parquet(landing))
+    agg = stl.windowed_latency_stream(src, 0.95, "5 minutes", "1 minute", STREAM_DELAY, SCALED_BUCKETS, 300)
+    paths = stc.run_available_now(
+        lambda out, ck: agg.writeStream.outputMode("append").format("parquet")
+        .option("path", out).option("checkpointLocation", ck), "latency", spark)
+    res = spark.read.parquet(paths["sink"])
+    return res.select("window_start", "window_end", "endpoint", F.round("rate", 9).alias("rate"),
+                      F.round("p_quantile", 9).alias("p_quantile"))
+
+
+QUERIES.update({
+    "stream_windowed_latency": q_stream_windowed_latency,
+})
+
+
+def q_stream_request_validation(spark, root):
+    """T4 + S9 + P14 + P15: JSON requests arriving as files, validated per micro-batch,
+    valid rows and rejects written to two sinks."""
+    landing = stc.land_files(_requests_json(spark, root), "requests")
+    src = spark.readStream.schema("request_id long, value string").parquet(landing)
+    vocab = _location_vocab(spark, root)
+    checked = sts.validated_batches(src, vocab).select("request_id", "errors", "is_valid")
+    base = scratch_path(spark, "requests-out")
+    paths = stc.run_available_now(
+        lambda out, ck: checked.writeStream.foreachBatch(sts.write_two_sinks(f"{base}/valid", f"{base}/rejected"))
+        .option("checkpointLocation", ck), "requests", spark)
+    parts = []
+    for side in ("valid", "rejected"):
+        try:
+            parts.append(spark.read.parquet(f"{base}/{side}"))
+        except Exception:  # noqa: BLE001 -- a side with no rows writes no folder
+            pass
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("request_id", "is_valid", F.array_join("errors", ";").alias("errors"))
+
+
+def q_stream_split_decisions(spark, root):
+    """Yearly arrivals -> next cumulative split -> drift vs split 1 -> retrain decision."""
+    from tidemark.streaming.arrivals import SplitDecisionWriter
+    split = pp.split_obs(spark, root)
+    n_test = split.where(F.col("is_test")).count()
+    train = split.where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END)) \
+        .drop("is_test")
+    landing = scratch_path(spark, "landing-train")
+    for y in range(fx.YEAR_START, fx.YEAR_END + 1):      # arrivals in year order
+        train.where(F.col("year") == y).write.mode("append").parquet(landing)
+    src = spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    base = scratch_path(spark, "arrivals")
+    fn = SplitDecisionWriter(base, "year", fx.OBS_LABEL, fx.OBS_NUMERIC, ["l_linestatus", "season"], n_test)
+    stc.run_available_now(lambda out, ck: src.writeStream.foreachBatch(fn).option("checkpointLocation", ck),
+                          "arrivals", spark)
+    fn.flush(spark)                                       # end of input completes the last year
+    cat = sio.read_catalog(spark, f"{base}/catalog")
+    dec = spark.read.parquet(f"{base}/decisions").drop("batch_id")
+    return cat.join(dec.drop("years", "end_year"), "split_id").select(
+        "split_id", "years", "start_year", "end_year", "train_samples", "test_samples",
+        "share_positive", "number_of_drifted_columns",
+        F.round("share_of_drifted_columns", 9).alias("share_of_drifted_columns"),
+        "severity", "retrain", "decision_reason")
+
+
+QUERIES.update({
+    "stream_request_validation": q_stream_request_validation,
+    "stream_split_decisions": q_stream_split_decisions,
+})
