@@ -495,3 +495,23 @@ WHERE window_end <= (SELECT max(ts) FROM al) - INTERVAL 10 minute""",
 ORACLES.update({
     "stream_request_validation": ORACLES["request_validation"],
 })
+
+
+# ------------------------------------------------------------- sampling SQL
+ORACLES.update({
+    "knn_neighbors": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d
+      FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS rk FROM p)
+SELECT vec_id, CAST(rk AS INTEGER) AS rank, neighbor_id, round(d, 6) AS distance FROM r WHERE rk <= 5""",
+    "oversampled_class_counts": """SELECT label, count(*) AS n_before, max(count(*)) OVER () AS n_after
+FROM embeddings GROUP BY label""",
+    "seeded_sample": with_split() + """,
+t AS (SELECT * FROM split WHERE NOT is_test AND year BETWEEN 1995 AND 2000),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+                                   l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target FROM r WHERE rn <= 5000""",
+    "input_example": with_split() + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target FROM split WHERE NOT is_test
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5""",
+})

@@ -678,3 +678,44 @@ QUERIES.update({
     "stream_request_validation": q_stream_request_validation,
     "stream_split_decisions": q_stream_split_decisions,
 })
+
+
+# ------------------------------------------------------------------ sampling
+from tidemark.operators import sampling as sm  # noqa: E402
+
+KNN_K = 5
+
+
+def q_knn_neighbors(spark, root):
+    """J6 / F7 step: exact 5 nearest same-label neighbours of every embedding."""
+    emb = read_table(spark, root, "embeddings")
+    nn = sm.exact_knn(emb, "vec_id", "embedding", "label", KNN_K, block_size=64)
+    return nn.select(F.col("id").alias("vec_id"), "rank", "neighbor_id", F.round("distance", 6).alias("distance"))
+
+
+def q_oversampled_class_counts(spark, root):
+    """F7 + A4 + U3: class counts before and after interpolation oversampling."""
+    emb = read_table(spark, root, "embeddings")
+    out = sm.oversample(emb, "vec_id", "embedding", "label", KNN_K, block_size=64)
+    return out.groupBy("label").agg(F.count_if(~F.col("synthetic")).alias("n_before"),
+                                    F.count(F.lit(1)).alias("n_after"))
+
+
+def q_seeded_sample(spark, root):
+    """An exact-size seeded sample (5,000 rows) of the last cumulative split."""
+    train = pp.split_obs(spark, root).where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    return sm.seeded_sample(train, 5000, fx.OBS_KEY, fx.SEED).select(*fx.OBS_KEY, "year", fx.OBS_LABEL)
+
+
+def q_input_example(spark, root):
+    """W9 + R6: the 5-row input example stored with a model (first rows in key order)."""
+    train = pp.split_obs(spark, root).where(~F.col("is_test"))
+    return sm.head(train, 5, fx.OBS_KEY).select(*fx.OBS_KEY, "year", fx.OBS_LABEL)
+
+
+QUERIES.update({
+    "knn_neighbors": q_knn_neighbors,
+    "oversampled_class_counts": q_oversampled_class_counts,
+    "seeded_sample": q_seeded_sample,
+    "input_example": q_input_example,
+})
