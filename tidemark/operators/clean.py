@@ -111,3 +111,14 @@ def interim(df: DataFrame, label_col: str, date_col: str, require=(), drop=(),
         out = drop_sparse_columns(out, missing_limit)
     out = add_calendar(out, date_col)
     return encode_yes_no(out, [label_col, *yes_no])
+
+
+def join_labels(features: DataFrame, labels: DataFrame, row_id: str) -> DataFrame:
+    """Features and labels that arrive as separate tables are aligned by an
+    explicit row id, never by position."""
+    return features.join(labels, on=row_id, how="inner")
+
+
+def features_and_label(df: DataFrame, label: str) -> tuple[list, str]:
+    """The feature columns (everything but the label) and the label."""
+    return [c for c in df.columns if c != label], label

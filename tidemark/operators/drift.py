@@ -208,3 +208,29 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric, categorical,
     return s.select("*", alert_level(F.col("share_of_drifted_columns"), F.col("dataset_drift"),
                                      opts.drift_share).alias("severity"),
                     train.alias("retrain"), reason.alias("decision_reason"))
+
+
+def reference_split_id(state: DataFrame, runs: DataFrame, default: int = 1) -> int:
+    """Split id of the current production model (highest Production
+    version, Q5); ``default`` when the registry has no production model."""
+    from tidemark.operators.registry import production_model
+    r = production_model(state, runs).select(F.col("params")["split_id"].cast("int").alias("s")).first()
+    return default if r is None or r["s"] is None else int(r["s"])
+
+
+def check_drift_for_split(df: DataFrame, catalog: DataFrame, reference_split: int, current_split: int,
+                          year_col: str, numeric, categorical, opts: DriftOptions = DriftOptions(),
+                          with_pvalues: bool = True) -> DataFrame:
+    """Drift report of split ``current_split`` against ``reference_split``
+    (both read as year-range views of ``df`` through the catalog)."""
+    from tidemark.operators.splits import split_rows
+    ref = split_rows(df, catalog, reference_split, year_col)
+    cur = split_rows(df, catalog, current_split, year_col)
+    return drift_report(ref, cur, numeric, categorical, opts, with_pvalues) \
+        .withColumn("reference_split", F.lit(reference_split)).withColumn("current_split", F.lit(current_split))
+
+
+def write_drift_result(per_column: DataFrame, summary: DataFrame, path: str, run_ts) -> None:
+    """The drift result as tables (per column + summary), appended by run timestamp."""
+    per_column.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(f"{path}/columns")
+    summary.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(f"{path}/summary")

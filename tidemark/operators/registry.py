@@ -126,3 +126,18 @@ def archive_all(state: DataFrame, as_of: F.Column, start_seq: F.Column) -> DataF
     return state.select("model_name", "version",
                         (start_seq + F.col("version")).cast("long").alias("seq"),
                         F.lit("Archived").alias("stage"), tags.alias("tags"))
+
+
+def input_signature(df: DataFrame, n: int = 5, order_cols=None) -> dict:
+    """The model's input schema (JSON) and an ``n``-row example (JSON lines).
+
+    Only ``n`` rows reach the driver (a top-n in an explicit order)."""
+    ex = df.orderBy(*(order_cols or df.columns[:1])).limit(n)
+    rows = [r[0] for r in ex.select(F.to_json(F.struct(*df.columns))).collect()]
+    return {"schema_json": df.schema.json(), "input_example": rows}
+
+
+def check_signature(df: DataFrame, schema_json: str) -> list:
+    """R6 at scoring time: expected columns missing from ``df`` (P11 fills them)."""
+    expected = [f.name for f in T.StructType.fromJson(__import__("json").loads(schema_json)).fields]
+    return [c for c in expected if c not in df.columns]

@@ -515,3 +515,13 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target FROM r WHERE
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target FROM split WHERE NOT is_test
 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5""",
 })
+
+ORACLES.update({
+    "stream_latency_alerts": _WINDOWED + """,
+wlc AS (SELECT * FROM wl WHERE window_end <= (SELECT max(ts) FROM al) - INTERVAL 10 minute),
+cond AS (SELECT endpoint, epoch_us(window_end) // 1000000 AS step_ts FROM wlc WHERE quantile > 100.0),
+isl AS (SELECT *, step_ts // 60 - row_number() OVER (PARTITION BY endpoint ORDER BY step_ts) AS island FROM cond),
+g AS (SELECT endpoint, min(step_ts) AS start_ts, max(step_ts) AS end_ts, count(*) AS n_steps FROM isl GROUP BY endpoint, island)
+SELECT endpoint, start_ts, end_ts, n_steps, end_ts - start_ts AS held_seconds, end_ts - start_ts >= 120 AS fired,
+       CASE WHEN end_ts - start_ts >= 120 THEN start_ts + 120 END AS first_firing_ts FROM g""",
+})

@@ -719,3 +719,47 @@ QUERIES.update({
     "seeded_sample": q_seeded_sample,
     "input_example": q_input_example,
 })
+
+
+def q_stream_latency_alerts(spark, root):
+    """T2 -> T3: windowed p95 stream, then a stateful alert-duration stream over its output."""
+    from tidemark.streaming import alerts as sta
+    log = tm.allow_endpoints(_log(spark, root), ALLOWED_ENDPOINTS)
+    landing = stc.land_files(log, "events-alerts")
+    src = stc.to_event_time(spark.readStream.schema(log.schema).parquet(landing))
+    agg = stl.windowed_latency_stream(src, 0.95, "5 minutes", "1 minute", STREAM_DELAY, SCALED_BUCKETS, 300)
+    p = stc.run_available_now(
+        lambda out, ck: agg.writeStream.outputMode("append").format("parquet")
+        .option("path", out).option("checkpointLocation", ck), "latency-a", spark)
+    win = spark.readStream.schema(spark.read.parquet(p["sink"]).schema).parquet(p["sink"])
+    cond = win.select("endpoint", (F.unix_micros(F.col("window_end").cast("timestamp")) / 1_000_000).cast("long")
+                      .alias("step_ts"), (F.col("p_quantile") > LATENCY_THRESHOLD).alias("firing_cond"))
+    runs = sta.alert_runs_stream(cond, 60)
+    base = scratch_path(spark, "alert-runs")
+
+    def _write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+    stc.run_available_now(lambda out, ck: runs.writeStream.outputMode("update").foreachBatch(_write)
+                          .option("checkpointLocation", ck), "alerts", spark)
+    return sta.latest_runs(spark.read.parquet(base).drop("batch_id"), ALERT_HOLD_SECONDS)
+
+
+def q_train_and_promote(spark, root):
+    """M5: split 3 -> oversample -> fit -> score test -> metrics -> compare -> register/promote."""
+    from tidemark.plans.training import train_and_promote
+    split, _, model = _fitted(spark, root)
+    enc = model.transform(split)
+    cat = _catalog(spark, root)
+    train = sp.split_rows(enc.where(~F.col("is_test")), cat, 3, "year")
+    res = train_and_promote(train, enc.where(F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, 3,
+                            MODEL_NAME, None, None, oversample=True, **QUERY_GBT)
+    state = rg.current_state(res["events"])
+    return res["run"].join(state, ["model_name", "version"]).select(
+        "version", "run_id", F.col("params")["split_id"].alias("split_id"),
+        F.col("metrics")["f1_score"].alias("f1_score"), F.col("metrics")["roc_auc"].alias("roc_auc"), "stage")
+
+
+QUERIES.update({
+    "stream_latency_alerts": q_stream_latency_alerts,
+    "train_and_promote": q_train_and_promote,
+})
