@@ -62,9 +62,16 @@ def fit_modes(train: DataFrame, cols) -> DataFrame:
         F.min_by("value", F.struct((-F.col("_c")).alias("a"), F.col("value").alias("b"))).alias("mode"))
 
 
-def fit_vocabulary(train: DataFrame, cols) -> DataFrame:
-    """sorted distinct values per column (long form, with 0-based position)."""
-    long = unpivot_long(train, cols, "string").where(F.col("value").isNotNull()).distinct()
+def fit_vocabulary(train: DataFrame, cols, max_values: int = MAX_DUMMIES) -> DataFrame:
+    """sorted distinct values per column (long form, with 0-based position).
+
+    The distinct set is counted first; a vocabulary above ``max_values``
+    is refused before any per-column ordering runs, so the position window
+    only ever sorts a bounded number of rows.
+    """
+    long = unpivot_long(train, cols, "string").where(F.col("value").isNotNull()).distinct().cache()
+    if long.limit(max_values + 1).count() > max_values:
+        raise ValueError("vocabulary too large for a dense one-hot layout; use sparse_encoder")
     from pyspark.sql.window import Window
     w = Window.partitionBy("column_name").orderBy("value")
     return long.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
@@ -172,9 +179,7 @@ def fit(train: DataFrame, numeric, categorical, scale=None, drop_first: bool = T
              if categorical else {})
     vocab: dict = {c: [] for c in categorical}
     if categorical:
-        rows = fit_vocabulary(train, categorical).limit(max_dummies + 1).collect()
-        if len(rows) > max_dummies:
-            raise ValueError("vocabulary too large for a dense one-hot layout; use sparse_encoder")
+        rows = fit_vocabulary(train, categorical, max_dummies).collect()
         for r in sorted(rows, key=lambda r: (r["column_name"], r["position"])):
             vocab[r["column_name"]].append(r["value"])
     model = FeatureModel(numeric, categorical, scale, medians, modes, vocab, {}, drop_first)
