@@ -66,15 +66,16 @@ def histogram_quantile(hist: DataFrame, q: float, by=("endpoint",), le: str = "l
              .withColumn("_prev_cum", F.coalesce(F.lag(cum).over(w), F.lit(0)))
              .withColumn("_total", F.max(cum).over(Window.partitionBy(*by))))
     h = h.withColumn("_rank", F.lit(float(q)) * F.col("_total"))
-    hit = h.where((F.col(cum) >= F.col("_rank")) & (F.col("_total") > 0))
-    first = hit.groupBy(*by).agg(F.min_by(F.struct(le, cum, "_prev_le", "_prev_cum", "_rank"), F.col(le)).alias("b"))
+    hit = (F.col(cum) >= F.col("_rank")) & (F.col("_total") > 0)
+    # one aggregate per series: the first bucket reaching the rank (min_by skips NULL keys)
+    first = h.groupBy(*by).agg(F.min_by(F.struct(le, cum, "_prev_le", "_prev_cum", "_rank"),
+                                        F.when(hit, F.col(le))).alias("b"))
     lo = F.coalesce(F.col("b._prev_le"), F.lit(0.0))
     hi = F.col(f"b.{le}")
     n = F.col(f"b.{cum}") - F.col("b._prev_cum")
     val = F.when(F.isnan(hi) | (hi == F.lit(INF)), F.col("b._prev_le")) \
         .when(n == 0, hi).otherwise(lo + (hi - lo) * (F.col("b._rank") - F.col("b._prev_cum")) / n)
-    totals = hist.groupBy(*by).agg(F.max(cum).alias("_t"))
-    return totals.join(first.select(*by, val.alias("quantile")), on=by, how="left").drop("_t")
+    return first.select(*by, val.alias("quantile"))
 
 
 def windowed_latency(log: DataFrame, q: float = 0.95, window: str = "5 minutes", slide: str = "1 minute",

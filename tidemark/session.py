@@ -74,11 +74,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return a frame
-    that reads it back.  Used after expensive, reused steps (the exact split)
-    so later plans neither recompute nor re-analyse them; a reliable
-    checkpoint survives executor loss, unlike a local one.
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and return a frame that reads it back.
+
+    Used after expensive, reused steps (the exact split) so later plans
+    neither recompute nor re-analyse them.  The files live on the shared
+    file system named by ``spark.checkpoint.dir``, so losing an executor
+    loses nothing; reading Parquet (unlike an RDD checkpoint) keeps column
+    pruning and filter pushdown for the later steps.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
