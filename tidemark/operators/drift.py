@@ -66,15 +66,17 @@ def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: in
     ``n_cols`` (number of tested columns) bounds the per-column tables, so
     they are broadcast without a counting job.
     """
-    tot = _totals(vc)
-    d = join_small(vc, tot, on=["column_name"], bound=n_cols)
-    d = ordered_prefix(d, ["column_name"], "value", ["n_ref", "n_cur"], n_groups=n_cols)
+    # one pass over the value counts: totals, range and reference mean per column
+    stats = vc.groupBy("column_name").agg(
+        F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"), F.count(F.lit(1)).alias("n_unique"),
+        F.min("value").alias("_vlo"), F.max("value").alias("_vhi"),
+        (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"))
+    d = join_small(vc, stats, on=["column_name"], bound=n_cols)
+    d = ordered_prefix(d, ["column_name"], "value", ["n_ref", "n_cur"], n_groups=n_cols,
+                       range_cols=("_vlo", "_vhi"))
     fr = F.col("cum_n_ref") / F.col("tot_ref")
     fc = F.col("cum_n_cur") / F.col("tot_cur")
     gap = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    # population std of the reference from its value counts (two-stage)
-    mean = d.groupBy("column_name").agg((F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"))
-    d = join_small(d, mean, on=["column_name"], bound=n_cols)
     agg = d.groupBy("column_name").agg(
         F.sum(F.abs(fr - fc) * gap).alias("wasserstein"),
         F.max(F.abs(fr - fc)).alias("ks_statistic"),

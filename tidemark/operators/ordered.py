@@ -127,7 +127,7 @@ def _cache_small(df: DataFrame, max_rows: int = 200_000):
 
 
 def ordered_prefix(df: DataFrame, group_cols, order_col: str, measures, n_buckets: int = DEFAULT_BUCKETS,
-                   n_groups: int | None = None) -> DataFrame:
+                   n_groups: int | None = None, range_cols: tuple | None = None) -> DataFrame:
     """Inclusive running sums of ``measures`` and the next ``order_col`` value,
     per group in ``order_col`` order -- exact, without an unpartitioned window.
 
@@ -135,7 +135,9 @@ def ordered_prefix(df: DataFrame, group_cols, order_col: str, measures, n_bucket
     Adds ``cum_<m>`` for each measure and ``next_value`` (NULL on the last row).
     """
     g = list(group_cols)
-    if g:
+    if range_cols:                      # per-group min / max already attached by the caller
+        d = df.withColumn("_lo", F.col(range_cols[0])).withColumn("_hi", F.col(range_cols[1]))
+    elif g:
         rng = df.groupBy(*g).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
         d = join_small(df, rng, on=g, bound=n_groups)
     else:
