@@ -525,3 +525,67 @@ g AS (SELECT endpoint, min(step_ts) AS start_ts, max(step_ts) AS end_ts, count(*
 SELECT endpoint, start_ts, end_ts, n_steps, end_ts - start_ts AS held_seconds, end_ts - start_ts >= 120 AS fired,
        CASE WHEN end_ts - start_ts >= 120 THEN start_ts + 120 END AS first_firing_ts FROM g""",
 })
+
+
+def _t1_sql() -> str:
+    num, cat = _NUM, ["l_linestatus", "season"]
+    nsel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in num)
+    csel = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cat)
+    return with_split() + f""",
+tr AS (SELECT * FROM split WHERE NOT is_test AND year BETWEEN 1995 AND 2000),
+yc AS (SELECT year, count(*) AS n_rows, count(*) FILTER (WHERE target = 1) AS n_pos FROM tr GROUP BY year),
+cat AS (SELECT CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS split_id,
+               CAST(min(year) OVER () AS INTEGER) AS start_year, CAST(year AS INTEGER) AS end_year,
+               CAST(sum(n_rows) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS train_samples,
+               CAST(sum(n_pos) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS pos
+        FROM yc),
+cur AS (SELECT c.split_id, t.* FROM cat c JOIN tr t ON t.year BETWEEN c.start_year AND c.end_year),
+ref AS (SELECT c.split_id, t.* FROM cat c, tr t WHERE t.year BETWEEN 1995 AND 1995),
+nl AS (SELECT split_id, 0 AS side, column_name, value FROM (UNPIVOT (SELECT split_id, {nsel} FROM ref) ON {", ".join(num)} INTO NAME column_name VALUE value)
+       UNION ALL
+       SELECT split_id, 1 AS side, column_name, value FROM (UNPIVOT (SELECT split_id, {nsel} FROM cur) ON {", ".join(num)} INTO NAME column_name VALUE value)),
+cl AS (SELECT split_id, 0 AS side, column_name, value FROM (UNPIVOT (SELECT split_id, {csel} FROM ref) ON {", ".join(cat)} INTO NAME column_name VALUE value)
+       UNION ALL
+       SELECT split_id, 1 AS side, column_name, value FROM (UNPIVOT (SELECT split_id, {csel} FROM cur) ON {", ".join(cat)} INTO NAME column_name VALUE value)),
+nvc AS (SELECT split_id, column_name, value, count(*) FILTER (WHERE side = 0) AS n_ref, count(*) FILTER (WHERE side = 1) AS n_cur
+        FROM nl WHERE value IS NOT NULL GROUP BY ALL),
+ntot AS (SELECT split_id, column_name, sum(n_ref) AS tot_ref, sum(n_cur) AS tot_cur, count(*) AS n_unique,
+                sum(value * n_ref) / sum(n_ref) AS mu FROM nvc GROUP BY ALL),
+ncum AS (SELECT nvc.*, tot_ref, tot_cur, n_unique, mu,
+                CAST(sum(n_ref) OVER w AS DOUBLE) / tot_ref AS fr, CAST(sum(n_cur) OVER w AS DOUBLE) / tot_cur AS fc,
+                lead(value) OVER (PARTITION BY split_id, column_name ORDER BY value) AS nxt
+         FROM nvc JOIN ntot USING (split_id, column_name)
+         WINDOW w AS (PARTITION BY split_id, column_name ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+nsc AS (SELECT split_id, column_name, any_value(n_unique) AS n_unique,
+               sum(abs(fr - fc) * coalesce(nxt - value, 0))
+                 / greatest(sqrt(sum(n_ref * (value - mu) * (value - mu)) / sum(n_ref)), 0.001) AS score
+        FROM ncum GROUP BY ALL),
+cvc AS (SELECT split_id, column_name, value, count(*) FILTER (WHERE side = 0) AS n_ref, count(*) FILTER (WHERE side = 1) AS n_cur
+        FROM cl WHERE value IS NOT NULL GROUP BY ALL),
+ctot AS (SELECT split_id, column_name, sum(n_ref) AS tot_ref, sum(n_cur) AS tot_cur FROM cvc GROUP BY ALL),
+cpq AS (SELECT cvc.split_id, cvc.column_name,
+               CASE WHEN n_ref = 0 THEN 0.0001 ELSE CAST(n_ref AS DOUBLE) / tot_ref END AS p,
+               CASE WHEN n_cur = 0 THEN 0.0001 ELSE CAST(n_cur AS DOUBLE) / tot_cur END AS q
+        FROM cvc JOIN ctot USING (split_id, column_name)),
+cpn AS (SELECT *, p / sum(p) OVER (PARTITION BY split_id, column_name) AS pn,
+                  q / sum(q) OVER (PARTITION BY split_id, column_name) AS qn FROM cpq),
+csc AS (SELECT split_id, column_name,
+               sqrt(greatest(0.0, 0.5 * sum(pn * ln(pn / ((pn + qn) / 2))) + 0.5 * sum(qn * ln(qn / ((pn + qn) / 2))))) AS score
+        FROM cpn GROUP BY ALL),
+allsc AS (SELECT split_id, score FROM nsc WHERE n_unique > 5 UNION ALL SELECT split_id, score FROM csc),
+d AS (SELECT split_id, count(*) FILTER (WHERE score >= 0.1) AS n_drift,
+             CAST(count(*) FILTER (WHERE score >= 0.1) AS DOUBLE) / count(*) AS share FROM allsc GROUP BY split_id)
+SELECT cat.split_id,
+       CASE WHEN start_year = end_year THEN CAST(end_year AS VARCHAR)
+            ELSE CAST(start_year AS VARCHAR) || '-' || CAST(end_year AS VARCHAR) END AS years,
+       start_year, end_year, train_samples, (SELECT count(*) FROM split WHERE is_test) AS test_samples,
+       round(pos / train_samples, 6) AS share_positive, n_drift AS number_of_drifted_columns,
+       round(share, 9) AS share_of_drifted_columns,
+       CASE WHEN NOT share > 0 THEN 'OK' WHEN share >= 0.04 THEN 'CRITICAL' WHEN share >= 0.02 THEN 'WARNING' ELSE 'INFO' END AS severity,
+       CASE WHEN cat.split_id = 1 THEN true ELSE NOT share < 0.02 END AS retrain,
+       CASE WHEN cat.split_id = 1 THEN 'first_split' WHEN share < 0.02 THEN 'drift_below_threshold'
+            ELSE 'drift_above_threshold' END AS decision_reason
+FROM cat JOIN d USING (split_id)"""
+
+
+ORACLES["stream_split_decisions"] = _t1_sql()
