@@ -34,7 +34,7 @@ def bucket_offsets(df: DataFrame, group_cols, bucket_col: str, weight: str | Non
 
 
 def bucketed_rank(df: DataFrame, group_cols, bucket_col: str, order_cols,
-                  rank_col: str = "_rank") -> DataFrame:
+                  rank_col: str = "_rank", n_groups: int | None = None, n_buckets: int | None = None) -> DataFrame:
     """Exact 1-based ``row_number`` within ``group_cols`` ordered by ``(bucket_col, *order_cols)``.
 
     ``bucket_col`` must be monotone in the ordering (e.g. a prefix of a hash
@@ -44,7 +44,8 @@ def bucketed_rank(df: DataFrame, group_cols, bucket_col: str, order_cols,
     offsets = bucket_offsets(df, group_cols, bucket_col).select(*group_cols, bucket_col, "_offset")
     wr = Window.partitionBy(*group_cols, bucket_col).orderBy(*order_cols)
     ranked = df.withColumn("_rn", F.row_number().over(wr))
-    out = join_small(ranked, offsets, on=[*group_cols, bucket_col])
+    bound = None if n_groups is None or n_buckets is None else n_groups * n_buckets
+    out = join_small(ranked, offsets, on=[*group_cols, bucket_col], bound=bound)
     return out.withColumn(rank_col, (F.col("_offset") + F.col("_rn")).cast("long")).drop("_offset", "_rn")
 
 

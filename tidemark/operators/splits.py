@@ -56,11 +56,15 @@ def stratified_split(df: DataFrame, label: str, key_cols, test_size: float = 0.2
     broken by the key itself, so identical keys give identical rows).
     """
     key_cols = list(key_cols)
+    # one pruned scan (label only) sizes the quota table; both small joins
+    # below are then broadcast by that bound without further counting jobs
+    q = class_quotas(df, label, test_size).select(label, "test_quota").cache()
+    n_classes = q.count()
     d = (df.withColumn("_h", seeded_hash(seed, key_cols))
            .withColumn("_hb", F.substring("_h", 1, hash_prefix)))
-    ranked = bucketed_rank(d, [label], "_hb", ["_h", *key_cols], "_r")
-    q = class_quotas(df, label, test_size).select(label, "test_quota")
-    out = join_small(ranked, q, on=[label])
+    ranked = bucketed_rank(d, [label], "_hb", ["_h", *key_cols], "_r", n_groups=n_classes,
+                           n_buckets=16 ** hash_prefix)
+    out = join_small(ranked, q, on=[label], bound=n_classes)
     return out.withColumn(flag_col, F.col("_r") <= F.col("test_quota")).drop("_h", "_hb", "_r", "test_quota")
 
 
@@ -149,7 +153,7 @@ def positional_cut(df: DataFrame, key_cols, share: float = 0.8, seed: int = 42,
     d = (df.withColumn("_g", F.lit(0))
            .withColumn("_h", seeded_hash(seed, key_cols))
            .withColumn("_hb", F.substring("_h", 1, hash_prefix)))
-    ranked = bucketed_rank(d, ["_g"], "_hb", ["_h", *key_cols], "_r")
+    ranked = bucketed_rank(d, ["_g"], "_hb", ["_h", *key_cols], "_r", n_groups=1, n_buckets=16 ** hash_prefix)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     cut = F.floor(n.cast("double") * F.lit(float(share)))
     return ranked.withColumn(flag_col, F.col("_r") <= cut).drop("_g", "_h", "_hb", "_r")

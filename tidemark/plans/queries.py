@@ -93,8 +93,8 @@ def q_duplicate_documents(spark, root):
     return pf.duplicate_rows(docs, ["text_md5"])
 
 
-def _catalog(spark, root):
-    split = pp.split_obs(spark, root)
+def _catalog(spark, root, split=None):
+    split = pp.split_obs(spark, root) if split is None else split
     train = split.where(~F.col("is_test"))
     return sp.cumulative_split_summary(train, pp.test_count(split), "year", fx.OBS_LABEL,
                                        fx.YEAR_START, fx.YEAR_END)
@@ -104,14 +104,15 @@ def q_split_members(spark, root):
     """S3: the training rows of split 3 (years first..first+2) as a range view."""
     split = pp.split_obs(spark, root)
     train = split.where(~F.col("is_test"))
-    cat = _catalog(spark, root)
+    cat = _catalog(spark, root, split)
     return sp.split_rows(train, cat, 3, "year").select(*fx.OBS_KEY, "year", fx.OBS_LABEL)
 
 
 def q_next_split(spark, root):
     """With splits 1-3 already in the catalog, the split to create next."""
-    cat = _catalog(spark, root).where(F.col("split_id") <= 3)
-    years = pp.interim_obs(spark, root).where(F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    split = pp.split_obs(spark, root)
+    cat = _catalog(spark, root, split).where(F.col("split_id") <= 3)
+    years = split.where(F.col("year").between(fx.YEAR_START, fx.YEAR_END))
     return sp.next_split(cat, years, "year")
 
 
@@ -483,7 +484,7 @@ def q_params_json_roundtrip(spark, root):
 def q_split_catalog_append(spark, root):
     """S6 + W2: catalog with splits 1-3, then the next split appended, read back."""
     split = pp.split_obs(spark, root)
-    cat = _catalog(spark, root)
+    cat = _catalog(spark, root, split)
     path = scratch_path(spark, "split-catalog")
     sio.append_catalog(cat.where(F.col("split_id") <= 3), path)
     have = sio.read_catalog(spark, path)
@@ -496,7 +497,7 @@ def q_split_catalog_append(spark, root):
 def q_split_snapshot_fingerprint(spark, root):
     """S12 + S3: immutable snapshot of split 3's training rows and its content fingerprint."""
     split = pp.split_obs(spark, root)
-    rows = sp.split_rows(split.where(~F.col("is_test")), _catalog(spark, root), 3, "year")
+    rows = sp.split_rows(split.where(~F.col("is_test")), _catalog(spark, root, split), 3, "year")
     fp = sio.write_snapshot(rows.select(*fx.OBS_KEY, "year", fx.OBS_LABEL),
                             scratch_path(spark, "split-03"), [*fx.OBS_KEY, "year", fx.OBS_LABEL], method="md5")
     return fp.select(F.lit(3).alias("split_id"), "n_rows", "fingerprint")
@@ -749,7 +750,7 @@ def q_train_and_promote(spark, root):
     from tidemark.plans.training import train_and_promote
     split, _, model = _fitted(spark, root)
     enc = model.transform(split)
-    cat = _catalog(spark, root)
+    cat = _catalog(spark, root, split)
     train = sp.split_rows(enc.where(~F.col("is_test")), cat, 3, "year")
     res = train_and_promote(train, enc.where(F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, 3,
                             MODEL_NAME, None, None, oversample=True, **QUERY_GBT)
