@@ -29,6 +29,10 @@ from tidemark.operators.joins import join_small
 from tidemark.operators.ordered import ordered_prefix
 
 
+# Distinct values per ordered-prefix window partition at most (on average).
+ROWS_PER_BUCKET = 200_000
+
+
 @dataclass(frozen=True)
 class DriftOptions:
     num_threshold: float = 0.1          # Wasserstein (normalised)
@@ -70,9 +74,12 @@ def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: in
     stats = vc.groupBy("column_name").agg(
         F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"), F.count(F.lit(1)).alias("n_unique"),
         F.min("value").alias("_vlo"), F.max("value").alias("_vhi"),
-        (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"))
+        (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean")).cache()
+    # buckets grow with the widest column: ~ROWS_PER_BUCKET distinct values per window partition
+    widest = stats.agg(F.max("n_unique")).first()[0] or 0
+    n_buckets = max(4096, -(-int(widest) // ROWS_PER_BUCKET))
     d = join_small(vc, stats, on=["column_name"], bound=n_cols)
-    d = ordered_prefix(d, ["column_name"], "value", ["n_ref", "n_cur"], n_groups=n_cols,
+    d = ordered_prefix(d, ["column_name"], "value", ["n_ref", "n_cur"], n_buckets=n_buckets, n_groups=n_cols,
                        range_cols=("_vlo", "_vhi"))
     fr = F.col("cum_n_ref") / F.col("tot_ref")
     fc = F.col("cum_n_cur") / F.col("tot_cur")
