@@ -175,13 +175,21 @@ def fit(train: DataFrame, numeric, categorical, scale=None, drop_first: bool = T
     scale = list(numeric if scale is None else scale)
     medians = ({r["column_name"]: r["median"] for r in fit_medians(train, numeric, exact_median).collect()}
                if numeric else {})
-    modes = ({r["column_name"]: r["mode"] for r in fit_modes(train, categorical).collect()}
-             if categorical else {})
+    # modes and vocabulary from one aggregate: counts per (column, value),
+    # brought to the driver only when within the dense-layout bound
+    modes: dict = {}
     vocab: dict = {c: [] for c in categorical}
     if categorical:
-        rows = fit_vocabulary(train, categorical, max_dummies).collect()
-        for r in sorted(rows, key=lambda r: (r["column_name"], r["position"])):
+        vc = (unpivot_long(train, categorical, "string").where(F.col("value").isNotNull())
+              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+        rows = vc.limit(max_dummies + 1).collect()
+        if len(rows) > max_dummies:
+            raise ValueError("vocabulary too large for a dense one-hot layout; use sparse_encoder")
+        for r in sorted(rows, key=lambda r: (r["column_name"], r["value"])):
             vocab[r["column_name"]].append(r["value"])
+        for c in categorical:
+            counts = [(-r["n"], r["value"]) for r in rows if r["column_name"] == c]
+            modes[c] = min(counts)[1] if counts else None
     model = FeatureModel(numeric, categorical, scale, medians, modes, vocab, {}, drop_first)
     if scale:
         imputed = model.impute(train.select(*scale))
