@@ -660,7 +660,9 @@ def q_stream_split_decisions(spark, root):
     landing = scratch_path(spark, "landing-train")
     for y in range(fx.YEAR_START, fx.YEAR_END + 1):      # arrivals in year order
         train.where(F.col("year") == y).write.mode("append").parquet(landing)
-    src = spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 2).parquet(landing)
+    # about one year per micro-batch (results do not depend on it: a year is
+    # complete only once a later year has arrived, or at end of input)
+    src = spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 8).parquet(landing)
     base = scratch_path(spark, "arrivals")
     fn = SplitDecisionWriter(base, "year", fx.OBS_LABEL, fx.OBS_NUMERIC, ["l_linestatus", "season"], n_test)
     stc.run_available_now(lambda out, ck: src.writeStream.foreachBatch(fn).option("checkpointLocation", ck),
