@@ -18,7 +18,10 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", ["cumulative_split_summary", "encoded_features", "drift_report",
-                                  "binary_metrics", "windowed_latency", "registry_promotions"])
+                                  "binary_metrics", "windowed_latency", "registry_promotions",
+                                  # batch equals stream (T2, T3, T4) and exact kNN vs brute force
+                                  "stream_windowed_latency", "stream_latency_alerts",
+                                  "stream_request_validation", "knn_neighbors", "request_validation"])
 def test_query_matches_oracle_small(spark, name):
     con = duckdb.connect()
     for t in TABLES:
