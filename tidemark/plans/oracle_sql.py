@@ -351,14 +351,23 @@ FROM s""",
 
 
 # ------------------------------------------------------------- registry SQL
-_REG = _metrics_sql("year").replace("SELECT year, tp, fp, fn, tn,", "SELECT year, tp, fp, fn, tn, roc_auc AS auc_raw, "
-                                    "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1_raw,", 1)
-_REG = _REG.replace("FROM c JOIN auc USING (year)", "FROM c JOIN auc USING (year)),\nruns AS (SELECT *, "
-                    "CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS version FROM m0)")
-_REG = _REG.replace(",\nc AS (SELECT year,", ",\nc AS (SELECT year,", 1)
-_REG = _REG.replace("SELECT year, tp, fp, fn, tn, roc_auc AS auc_raw", "m0 AS (SELECT year, tp, fp, fn, tn, roc_auc AS auc_raw", 1)
-_REG = _REG.replace("auc AS (SELECT year,", "auc AS (SELECT year,", 1)
-_REG = _REG.replace("\nm0 AS (", ",\nm0 AS (", 1)
+_REG = _PRED + """,
+c AS (SELECT year, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+             count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+             count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM p GROUP BY year),
+g AS (SELECT year, score, sum(label) AS pos, sum(1 - label) AS neg FROM p GROUP BY year, score),
+cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY year ORDER BY score
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+auc AS (SELECT year, sum(CAST(pos AS DOUBLE) * (CAST(below AS DOUBLE) + 0.5 * neg))
+                     / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc_raw FROM cum GROUP BY year),
+runs AS (SELECT c.year, auc_raw,
+                CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1_raw,
+                round(CASE WHEN tp + fp + fn + tn = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) END, 9) AS accuracy,
+                round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 9) AS precision,
+                round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 9) AS recall,
+                CAST(row_number() OVER (ORDER BY c.year) AS INTEGER) AS version
+         FROM c JOIN auc ON c.year = auc.year)"""
 _REG += """,
 dec AS (SELECT *, max(f1_raw) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM runs),
 dec2 AS (SELECT *, prev IS NULL OR f1_raw > prev AS is_better,

@@ -62,7 +62,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        root = os.path.join("/tmp", "tidemark-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on the "
+                               "cluster file system) for lineage cuts and stream checkpoints")
+        root = os.path.join("/tmp", "tidemark-checkpoints")   # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
