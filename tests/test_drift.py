@@ -78,3 +78,23 @@ def test_retrain_decisions(spark):
     out = [(r[0], r[1]) for r in df.select(train, reason).collect()]
     assert out == [(True, "first_split"), (False, "drift_below_threshold"),
                    (True, "drift_above_threshold"), (True, "drift_check_failed")]
+
+
+def test_drift_by_split_equals_per_split_runs(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for y in range(2010, 2014):
+        for i in range(300):
+            rows.append((y, float(rng.normal(y - 2010, 1.0)), ["a", "b", "c"][(i + y) % 3 if y < 2012 else i % 2]))
+    df = spark.createDataFrame(rows, "year int, x double, c string")
+    cat = spark.createDataFrame([(k + 1, 2010, 2010 + k) for k in range(4)], "split_id int, start_year int, end_year int")
+    per = {(r["split_id"], r["column_name"]): r for r in
+           dr.drift_by_split(df, cat, "year", ["x"], ["c"], 1).collect()}
+    ref = df.where("year = 2010")
+    for k in range(1, 5):
+        cur = df.where(f"year between 2010 and {2009 + k}")
+        single = {r["column_name"]: r for r in dr.column_drift(ref, cur, ["x"], ["c"], with_pvalues=False).collect()}
+        for c in ("x", "c"):
+            assert per[(k, c)]["drift_score"] == pytest.approx(single[c]["drift_score"], rel=1e-9, abs=1e-12)
+            assert per[(k, c)]["drift_detected"] == single[c]["drift_detected"]
+    assert per[(4, "x")]["drift_detected"]                       # the mean moves by a std per year

@@ -243,3 +243,74 @@ def write_drift_result(per_column: DataFrame, summary: DataFrame, path: str, run
     """The drift result as tables (per column + summary), appended by run timestamp."""
     per_column.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(f"{path}/columns")
     summary.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(f"{path}/summary")
+
+
+def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, categorical,
+                   reference_split: int = 1, opts: DriftOptions = DriftOptions()) -> DataFrame:
+    """D11 for every split of the catalog in one pass (no per-split jobs).
+
+    Values are counted once per (year, column, value); each count row is
+    then credited to the cumulative splits whose year range contains it
+    (membership from the catalog's bounds as a literal array -- the catalog
+    has one row per year), for the current side, and to the reference side
+    when its year lies in the reference split.  Data rows are never copied
+    per split.  The two-sample tests then run with ``split|column`` as the
+    group key.  Returns one row per (split_id, column_name).
+    """
+    cat_rows = catalog.select("split_id", "start_year", "end_year").collect()   # one row per split
+    ref = [r for r in cat_rows if r["split_id"] == reference_split]
+    if not ref:
+        raise ValueError(f"reference split {reference_split} not in catalog")
+    r_lo, r_hi = ref[0]["start_year"], ref[0]["end_year"]
+    bounds = F.array(*[F.struct(F.lit(r["split_id"]).alias("s"), F.lit(r["start_year"]).alias("a"),
+                                F.lit(r["end_year"]).alias("b")) for r in cat_rows])
+    n_groups = len(cat_rows)
+
+    def counts(cols, vtype):
+        long = df.select(F.col(year_col).alias("_y"), *[F.col(c).cast(vtype).alias(c) for c in cols]) \
+            .unpivot(["_y"], list(cols), "column_name", "value").where(F.col("value").isNotNull())
+        yc = long.groupBy("_y", "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
+        member = F.filter(bounds, lambda s: (F.col("_y") >= s["a"]) & (F.col("_y") <= s["b"]))
+        cur = yc.select(F.explode(member).alias("_sp"), "column_name", "value", "_n") \
+            .select(F.col("_sp.s").alias("_split"), "column_name", "value",
+                    F.lit(0).cast("long").alias("n_ref"), F.col("_n").cast("long").alias("n_cur"))
+        in_ref = F.when(F.col("_y").between(r_lo, r_hi), F.array(*[F.lit(r["split_id"]) for r in cat_rows])) \
+            .otherwise(F.array().cast("array<int>"))
+        refs = yc.select(F.explode(in_ref).alias("_split"), "column_name", "value",
+                         F.col("_n").cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n_cur"))
+        both = cur.unionByName(refs)
+        return both.groupBy(F.concat_ws("|", F.col("_split").cast("string"), F.col("column_name")).alias("column_name"),
+                            "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+
+    parts = []
+    if numeric:
+        nvc = counts(numeric, "double").cache()
+        nt = numeric_tests(nvc, opts, n_groups * len(numeric))
+        few = _totals(nvc).where(F.col("n_unique") <= opts.few_values).select("column_name")
+        ncat = categorical_tests(nvc.join(few, "column_name", "left_semi")
+                                 .withColumn("value", F.col("value").cast("string")), opts, False,
+                                 n_groups * len(numeric)).select("column_name", "jensen_shannon")
+        parts.append(nt.join(ncat, "column_name", "left").withColumn("kind", F.lit("num")))
+    if categorical:
+        ct = categorical_tests(counts(categorical, "string"), opts, False, n_groups * len(categorical))
+        parts.append(ct.select("column_name", "n_unique", "jensen_shannon", F.lit("cat").alias("kind")))
+    allc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    as_cat = (F.col("kind") == "cat") | (F.col("n_unique") <= opts.few_values)
+    score = F.when(as_cat, F.col("jensen_shannon")).otherwise(F.col("wasserstein_norm"))
+    thr = F.when(as_cat, F.lit(opts.cat_threshold)).otherwise(F.lit(opts.num_threshold))
+    key = F.split(F.col("column_name"), r"\|", 2)
+    return allc.select(key[0].cast("int").alias("split_id"), key[1].alias("column_name"),
+                       F.when(as_cat, "jensenshannon").otherwise("wasserstein").alias("stattest"),
+                       score.alias("drift_score"), (score >= thr).alias("drift_detected"))
+
+
+def split_decisions(per_split_column: DataFrame, reference_split: int = 1,
+                    opts: DriftOptions = DriftOptions()) -> DataFrame:
+    """D7-D9 per split from ``drift_by_split`` output."""
+    s = per_split_column.groupBy("split_id").agg(
+        F.count_if(F.col("drift_detected")).alias("number_of_drifted_columns"),
+        (F.count_if(F.col("drift_detected")) / F.count(F.lit(1))).alias("share_of_drifted_columns"))
+    share = F.col("share_of_drifted_columns")
+    train, reason = retrain_decision(share, opts.drift_share, F.col("split_id") == reference_split)
+    return s.select("*", alert_level(share, share > 0, opts.drift_share).alias("severity"),
+                    train.alias("retrain"), reason.alias("decision_reason"))

@@ -598,3 +598,6 @@ FROM cat JOIN d USING (split_id)"""
 
 
 ORACLES["stream_split_decisions"] = _t1_sql()
+
+ORACLES["drift_all_splits"] = ("SELECT split_id, number_of_drifted_columns, share_of_drifted_columns, severity, "
+                               "retrain, decision_reason FROM (" + _t1_sql() + ")")

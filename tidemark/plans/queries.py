@@ -766,3 +766,18 @@ QUERIES.update({
     "stream_latency_alerts": q_stream_latency_alerts,
     "train_and_promote": q_train_and_promote,
 })
+
+
+def q_drift_all_splits(spark, root):
+    """D11 for every cumulative split against split 1 in one pass."""
+    split = pp.split_obs(spark, root)
+    cat = _catalog(spark, root, split)
+    train = split.where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    per = dr.drift_by_split(train, cat, "year", fx.OBS_NUMERIC, ["l_linestatus", "season"], 1)
+    dec = dr.split_decisions(per, 1)
+    return dec.select("split_id", "number_of_drifted_columns",
+                      F.round("share_of_drifted_columns", 9).alias("share_of_drifted_columns"),
+                      "severity", "retrain", "decision_reason")
+
+
+QUERIES["drift_all_splits"] = q_drift_all_splits

@@ -1,9 +1,9 @@
 """Incremental arrival -> next cumulative split -> drift -> retrain decision.
 
 New training rows land in a folder; each micro-batch appends them to the
-cumulative table, then -- for every new year in the batch, in order --
-creates the next split (W2, A13), checks drift against the reference
-split (D2-D8) and records the retrain decision (D9).  All outputs are
+cumulative table, then creates the splits for every newly complete year
+(W2, A13), checks their drift against the reference split in one pass
+(D2-D8, ``drift_by_split``) and records the retrain decisions (D9).  All outputs are
 written into ``batch_id=N`` folders with overwrite, so a replayed batch
 (after a failure) rewrites the same rows instead of duplicating them.
 """
@@ -40,6 +40,9 @@ class SplitDecisionWriter:
         self._advance(spark, "final", final=True)
 
     def _advance(self, spark, tag: str, final: bool) -> None:
+        """Create every newly complete split and decide on it: one job for the
+        catalog rows (W2/A13 over per-year counts) and one drift pass for all
+        new splits together (``drift_by_split``)."""
         y_col = self.year_col
         try:
             cum = spark.read.parquet(self.cum_path).drop("batch_id")
@@ -47,30 +50,21 @@ class SplitDecisionWriter:
             return
         years = sorted(r[0] for r in cum.select(y_col).distinct().collect())   # bounded: one row per year
         complete = years if final else years[:-1]
-        decisions = []
-        for y in complete:
-            cat = sio.read_catalog(spark, self.cat_path)
-            if cat.where(F.col("end_year") == y).limit(1).count():
-                continue
-            nxt = sp.next_split(cat, cum.where(F.col(y_col) <= y), y_col).first()
-            if nxt["status"] != "created" or nxt["end_year"] != y:
-                continue
-            rows = cum.where(F.col(y_col).between(nxt["start_year"], y))
-            summ = sp.cumulative_split_summary(rows, self.n_test, y_col, self.label, nxt["start_year"], y) \
-                .where(F.col("end_year") == y).withColumn("split_id", F.lit(nxt["split_id"]).cast("int"))
-            sio.append_catalog(summ, self.cat_path)
-            first = nxt["split_id"] == self.reference_split
-            ref_row = sio.read_catalog(spark, self.cat_path).where(F.col("split_id") == self.reference_split).first()
-            ref = cum.where(F.col(y_col).between(ref_row["start_year"], ref_row["end_year"]))
-            rep = dr.drift_report(ref, rows, self.numeric, self.categorical, self.opts, with_pvalues=False)
-            train, reason = dr.retrain_decision(F.col("share_of_drifted_columns"), self.opts.drift_share, F.lit(first))
-            decisions.append(rep.select(
-                F.lit(nxt["split_id"]).cast("int").alias("split_id"), F.lit(nxt["years"]).alias("years"),
-                F.lit(y).cast("int").alias("end_year"), F.lit(self.reference_split).alias("reference_split"),
-                "number_of_drifted_columns", "share_of_drifted_columns", "severity",
-                train.alias("retrain"), reason.alias("decision_reason")))
-        if decisions:
-            out = decisions[0]
-            for d in decisions[1:]:
-                out = out.unionByName(d)
-            out.write.mode("overwrite").parquet(f"{self.dec_path}/batch_id={tag}")
+        have = {r["end_year"] for r in sio.read_catalog(spark, self.cat_path).select("end_year").collect()}
+        new = [y for y in complete if y not in have]
+        if not new:
+            return
+        upto = max(new)
+        rows = cum.where(F.col(y_col) <= upto)
+        summ = sp.cumulative_split_summary(rows, self.n_test, y_col, self.label, years[0], upto) \
+            .where(F.col("end_year").isin(*new))
+        sio.append_catalog(summ, self.cat_path)
+        cat = sio.read_catalog(spark, self.cat_path)
+        new_ids = [r["split_id"] for r in cat.where(F.col("end_year").isin(*new)).select("split_id").collect()]
+        per = dr.drift_by_split(rows, cat, y_col, self.numeric, self.categorical, self.reference_split, self.opts)
+        dec = dr.split_decisions(per.where(F.col("split_id").isin(*new_ids)), self.reference_split, self.opts)
+        out = dec.join(cat.select("split_id", "years", "end_year"), "split_id") \
+            .withColumn("reference_split", F.lit(self.reference_split))
+        out.select("split_id", "years", "end_year", "reference_split", "number_of_drifted_columns",
+                   "share_of_drifted_columns", "severity", "retrain", "decision_reason") \
+            .write.mode("overwrite").parquet(f"{self.dec_path}/batch_id={tag}")
