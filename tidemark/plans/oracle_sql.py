@@ -378,10 +378,10 @@ st AS (SELECT dec2.*, CASE WHEN version = (SELECT v FROM last_prod) THEN 'Produc
 
 ORACLES.update({
     "registry_promotions": _REG + """
-SELECT version, printf('run_rain_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score,
+SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score,
        round(prev, 9) AS production_f1_before, is_better, round(imp, 6) AS improvement_pct, final_stage FROM st""",
     "production_model": _REG + """
-SELECT version, printf('run_rain_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score, accuracy, precision,
+SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score, accuracy, precision,
        recall, round(auc_raw, 9) AS roc_auc, f1_raw < 0.6 AS f1_alert FROM st WHERE final_stage = 'Production'""",
     "registry_archive_all": _REG + """
 SELECT version, 'Archived' AS stage, 'true' AS tag_archived,

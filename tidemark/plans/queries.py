@@ -325,7 +325,7 @@ QUERIES.update({
 # ------------------------------------------------------------------ registry
 from tidemark.operators import registry as rg  # noqa: E402
 
-MODEL_NAME = "rain_model"
+MODEL_NAME = "obs_model"
 
 
 def _runs(spark, root):
