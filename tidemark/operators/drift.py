@@ -143,7 +143,6 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric, categorical,
     columns (from the same counts) and the rule picks one.
     """
     numeric, categorical = list(numeric), list(categorical)
-    small_ref = None
     parts = []
     if numeric:
         nvc = value_counts_by_side(ref, cur, numeric, "double").cache()

@@ -46,7 +46,8 @@ def fit_medians(train: DataFrame, cols, exact: bool = True, accuracy: int = 100_
     """
     long = unpivot_long(train, cols, "double")
     if exact:
-        return exact_quantiles(long, ["column_name"], "value", 0.5).withColumnRenamed("value", "median")
+        return exact_quantiles(long, ["column_name"], "value", 0.5, n_groups=len(list(cols))) \
+            .withColumnRenamed("value", "median")
     return long.groupBy("column_name").agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
 
 

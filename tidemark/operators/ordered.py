@@ -63,7 +63,8 @@ def _equal_width_bucket(v, lo, hi, n_buckets: int):
 
 
 def exact_quantiles(long: DataFrame, group_cols, value_col: str, q: float = 0.5,
-                    n_buckets: int = DEFAULT_BUCKETS, refine_above: int = REFINE_ABOVE) -> DataFrame:
+                    n_buckets: int = DEFAULT_BUCKETS, refine_above: int = REFINE_ABOVE,
+                    n_groups: int | None = None) -> DataFrame:
     """Exact interpolated quantile (``percentile``/``quantile_cont`` semantics) per group.
 
     Returns ``group_cols + [value_col]``.  Work: one aggregation to distinct
@@ -80,16 +81,19 @@ def exact_quantiles(long: DataFrame, group_cols, value_col: str, q: float = 0.5,
     stats = (stats.withColumn("_r_lo", F.floor(pos).cast("long"))
              .withColumn("_r_hi", F.ceil(pos).cast("long"))
              .withColumn("_frac", pos - F.floor(pos)))
-    return _search(vc, stats, g, value_col, n_buckets, refine_above)
+    return _search(vc, stats, g, value_col, n_buckets, refine_above, n_groups)
 
 
-def _search(vc, stats, g, value_col, n_buckets, refine_above):
+def _search(vc, stats, g, value_col, n_buckets, refine_above, n_groups=None):
     # Rows below the current window are counted in _below; the window is
     # [_lo, _hi] inclusive and holds the target ranks.
     win = stats.select(*g, "_lo", "_hi", "_r_lo", "_r_hi", "_frac",
                        F.lit(0).cast("long").alias("_below"))
     for _ in range(6):
-        win, win_ok = _cache_small(win)
+        if n_groups is not None and n_groups <= 200_000:
+            win, win_ok = win.cache(), True          # one row per group: bounded by construction
+        else:
+            win, win_ok = _cache_small(win)
         cand = (vc.join(F.broadcast(win) if win_ok else win, on=g)
                 .where((F.col(value_col) >= F.col("_lo")) & (F.col(value_col) <= F.col("_hi")))
                 .withColumn("_b", _equal_width_bucket(F.col(value_col), F.col("_lo"), F.col("_hi"), n_buckets)))
