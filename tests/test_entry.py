@@ -33,3 +33,11 @@ def test_query_matches_oracle_small(spark, name):
     a = sorted((tuple(r[c] for c in sorted(cols)) for r in df.collect()), key=repr)
     b = sorted((tuple(dict(zip(cols, r))[c] for c in sorted(cols)) for r in cur.fetchall()), key=repr)
     assert a == b
+
+
+def test_stream_scoring_equals_batch_scoring(spark):
+    q = E.queries()
+    key = lambda r: tuple(r[c] for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    a = {key(r): (r["prediction"], round(r["probability"], 9)) for r in q["stream_scoring"](spark, SF).collect()}
+    b = {key(r): (r["prediction"], round(r["probability"], 9)) for r in q["simple_scoring"](spark, SF).collect()}
+    assert len(a) > 0 and a == b

@@ -781,3 +781,35 @@ def q_drift_all_splits(spark, root):
 
 
 QUERIES["drift_all_splits"] = q_drift_all_splits
+
+
+def q_stream_scoring(spark, root):
+    """T4 + M3: JSON observation requests as a stream -> parse -> vocabulary check ->
+    encode with the fitted parameters -> boosted-tree score; rejects to a side sink."""
+    split, _, model = _fitted(spark, root)
+    enc = model.transform(split)
+    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, **QUERY_GBT)
+    cols = [c for c in split.columns if c not in ("is_test", fx.OBS_LABEL)]
+    schema = split.select(*cols).schema
+    reqs = split.where(F.col("is_test")).select(F.to_json(F.struct(*cols)).alias("value"))
+    landing = stc.land_files(reqs, "obs-requests")
+    src = spark.readStream.schema("value string").parquet(landing)
+    parsed = src.select(F.from_json("value", schema).alias("r")).select("r.*")
+    vocab = spark.createDataFrame([(v,) for v in model.vocabulary["c_mktsegment"]], "value string")
+    checked = vl.check_vocabulary(parsed, vocab, "c_mktsegment") \
+        .withColumn("is_valid", F.col("_known") & F.col("l_quantity").isNotNull()).drop("_known")
+    feats = _feature_cols(model)
+
+    def score(batch):
+        x = cl.align_to_schema(model.transform(batch.drop("is_valid")), [*fx.OBS_KEY, *feats])
+        return ml.score(fitted, x, keep=fx.OBS_KEY)
+
+    base = scratch_path(spark, "scoring-out")
+    stc.run_available_now(
+        lambda out, ck: checked.writeStream.foreachBatch(
+            sts.write_two_sinks(f"{base}/valid", f"{base}/rejected", score_fn=score))
+        .option("checkpointLocation", ck), "scoring", spark)
+    return spark.read.parquet(f"{base}/valid").drop("batch_id")
+
+
+QUERIES["stream_scoring"] = q_stream_scoring
