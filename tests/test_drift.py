@@ -98,3 +98,25 @@ def test_drift_by_split_equals_per_split_runs(spark):
             assert per[(k, c)]["drift_score"] == pytest.approx(single[c]["drift_score"], rel=1e-9, abs=1e-12)
             assert per[(k, c)]["drift_detected"] == single[c]["drift_detected"]
     assert per[(4, "x")]["drift_detected"]                       # the mean moves by a std per year
+
+
+def test_drift_by_split_subset_and_categorical_only(spark):
+    rng = np.random.default_rng(9)
+    rows = [(y, float(rng.normal(y - 2010, 1.0)), ["a", "b", "c"][i % (2 + (y % 2))])
+            for y in range(2010, 2014) for i in range(200)]
+    df = spark.createDataFrame(rows, "year int, x double, c string")
+    cat = spark.createDataFrame([(k + 1, 2010, 2010 + k) for k in range(4)], "split_id int, start_year int, end_year int")
+    full = {(r["split_id"], r["column_name"]): r["drift_score"] for r in
+            dr.drift_by_split(df, cat, "year", ["x"], ["c"], 1).collect()}
+    # only the new splits (the reference split is not among them)
+    sub = {(r["split_id"], r["column_name"]): r["drift_score"] for r in
+           dr.drift_by_split(df, cat, "year", ["x"], ["c"], 1, splits=[3, 4]).collect()}
+    assert set(sub) == {(s, c) for s in (3, 4) for c in ("x", "c")}
+    for key, v in sub.items():
+        assert v == pytest.approx(full[key], rel=1e-12, abs=1e-15)
+    cat_only = {(r["split_id"], r["column_name"]): r for r in
+                dr.drift_by_split(df, cat, "year", [], ["c"], 1).collect()}
+    assert len(cat_only) == 4
+    for (s, c), r in cat_only.items():
+        assert r["stattest"] == "jensenshannon"
+        assert r["drift_score"] == pytest.approx(full[(s, c)], rel=1e-12, abs=1e-15)

@@ -245,7 +245,8 @@ def write_drift_result(per_column: DataFrame, summary: DataFrame, path: str, run
 
 
 def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, categorical,
-                   reference_split: int = 1, opts: DriftOptions = DriftOptions()) -> DataFrame:
+                   reference_split: int = 1, opts: DriftOptions = DriftOptions(),
+                   splits=None) -> DataFrame:
     """D11 for every split of the catalog in one pass (no per-split jobs).
 
     Values are counted once per (year, column, value); each count row is
@@ -255,12 +256,20 @@ def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, ca
     when its year lies in the reference split.  Data rows are never copied
     per split.  The two-sample tests then run with ``split|column`` as the
     group key.  Returns one row per (split_id, column_name).
+
+    ``splits`` (optional split ids) limits the work to those splits, e.g. the
+    ones an incremental job has just created; earlier splits are not redone.
     """
     cat_rows = catalog.select("split_id", "start_year", "end_year").collect()   # one row per split
     ref = [r for r in cat_rows if r["split_id"] == reference_split]
     if not ref:
         raise ValueError(f"reference split {reference_split} not in catalog")
     r_lo, r_hi = ref[0]["start_year"], ref[0]["end_year"]
+    if splits is not None:
+        wanted = set(splits)
+        cat_rows = [r for r in cat_rows if r["split_id"] in wanted]
+        if not cat_rows:
+            raise ValueError(f"none of the splits {sorted(wanted)} is in the catalog")
     bounds = F.array(*[F.struct(F.lit(r["split_id"]).alias("s"), F.lit(r["start_year"]).alias("a"),
                                 F.lit(r["end_year"]).alias("b")) for r in cat_rows])
     n_groups = len(cat_rows)
@@ -292,7 +301,8 @@ def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, ca
         parts.append(nt.join(ncat, "column_name", "left").withColumn("kind", F.lit("num")))
     if categorical:
         ct = categorical_tests(counts(categorical, "string"), opts, False, n_groups * len(categorical))
-        parts.append(ct.select("column_name", "n_unique", "jensen_shannon", F.lit("cat").alias("kind")))
+        parts.append(ct.select("column_name", "n_unique", "jensen_shannon", F.lit("cat").alias("kind"),
+                               F.lit(None).cast("double").alias("wasserstein_norm")))
     allc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     as_cat = (F.col("kind") == "cat") | (F.col("n_unique") <= opts.few_values)
     score = F.when(as_cat, F.col("jensen_shannon")).otherwise(F.col("wasserstein_norm"))

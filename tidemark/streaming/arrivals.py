@@ -3,7 +3,7 @@
 New training rows land in a folder; each micro-batch appends them to the
 cumulative table, then creates the splits for every newly complete year
 (W2, A13), checks their drift against the reference split in one pass
-(D2-D8, ``drift_by_split``) and records the retrain decisions (D9).  All outputs are
+(D2-D8, ``drift_by_split`` restricted to the new splits) and records the retrain decisions (D9).  All outputs are
 written into ``batch_id=N`` folders with overwrite, so a replayed batch
 (after a failure) rewrites the same rows instead of duplicating them.
 """
@@ -61,8 +61,9 @@ class SplitDecisionWriter:
         sio.append_catalog(summ, self.cat_path)
         cat = sio.read_catalog(spark, self.cat_path)
         new_ids = [r["split_id"] for r in cat.where(F.col("end_year").isin(*new)).select("split_id").collect()]
-        per = dr.drift_by_split(rows, cat, y_col, self.numeric, self.categorical, self.reference_split, self.opts)
-        dec = dr.split_decisions(per.where(F.col("split_id").isin(*new_ids)), self.reference_split, self.opts)
+        per = dr.drift_by_split(rows, cat, y_col, self.numeric, self.categorical, self.reference_split, self.opts,
+                                splits=new_ids)
+        dec = dr.split_decisions(per, self.reference_split, self.opts)
         out = dec.join(cat.select("split_id", "years", "end_year"), "split_id") \
             .withColumn("reference_split", F.lit(self.reference_split))
         out.select("split_id", "years", "end_year", "reference_split", "number_of_drifted_columns",
