@@ -31,9 +31,15 @@ class SplitDecisionWriter:
         self.numeric, self.categorical, self.n_test = list(numeric), list(categorical), n_test
         self.reference_split, self.opts = reference_split, opts
         self.cum_path, self.cat_path, self.dec_path = f"{base}/cum", f"{base}/catalog", f"{base}/decisions"
+        self.years_path = f"{base}/years"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.cum_path}/batch_id={batch_id}")
+        out = f"{self.cum_path}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(out)
+        # the years each batch brought, read back from what was written: a few
+        # rows per batch, so the completeness check never rescans the cumulative table
+        batch.sparkSession.read.parquet(out).select(self.year_col).distinct() \
+            .write.mode("overwrite").parquet(f"{self.years_path}/batch_id={batch_id}")
         self._advance(batch.sparkSession, str(batch_id), final=False)
 
     def flush(self, spark) -> None:
@@ -46,9 +52,10 @@ class SplitDecisionWriter:
         y_col = self.year_col
         try:
             cum = spark.read.parquet(self.cum_path).drop("batch_id")
+            seen = spark.read.parquet(self.years_path).select(y_col).distinct()
         except Exception:  # noqa: BLE001 -- nothing arrived yet
             return
-        years = sorted(r[0] for r in cum.select(y_col).distinct().collect())   # bounded: one row per year
+        years = sorted(r[0] for r in seen.collect())   # bounded: one row per year
         complete = years if final else years[:-1]
         have = {r["end_year"] for r in sio.read_catalog(spark, self.cat_path).select("end_year").collect()}
         new = [y for y in complete if y not in have]
