@@ -29,12 +29,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op8_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.covering_lsh import near_duplicate_components
+    return near_duplicate_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2).select(
+        "doc_id", "fingerprint", "component_id")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.spec_bpe import bpe_round_trip
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_token_id_files, op7_token_counts, op9_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op2_token_id_files, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
