@@ -40,7 +40,13 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_token_id_files, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip)}
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_ledger import digest, secret_findings
+    found, _ = secret_findings(read_table(spark, sf_dir, "documents"))
+    return digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_token_id_files, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
