@@ -24,6 +24,12 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import source_mix
+    return source_mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3).select(
+        "doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
@@ -46,7 +52,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_id_files, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op2_token_id_files, op5_source_mix, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
