@@ -7,6 +7,7 @@ parameters; the digest columns come from the operator's own output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table
 
@@ -30,6 +31,13 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.kd_shards import kd_shards
+    return kd_shards(read_table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
@@ -52,7 +60,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_id_files, op5_source_mix, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op2_token_id_files, op5_source_mix, op6_kd_shards, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
