@@ -20,11 +20,21 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann_partitions import nearest_by_partitions
+    return nearest_by_partitions(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pfor import token_id_files
     return token_id_files(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op4_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.impact_topk import impact_top_k
+    return impact_top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import source_mix
     return source_mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3).select(
@@ -60,7 +70,8 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_id_files, op5_source_mix, op6_kd_shards, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (
+    op1_learned_partitions, op2_token_id_files, op4_impact_top_k, op5_source_mix, op6_kd_shards, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
