@@ -30,6 +30,12 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxic_segments import toxicity
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op4_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.impact_topk import impact_top_k
     return impact_top_k(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
@@ -71,7 +77,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_learned_partitions, op2_token_id_files, op4_impact_top_k, op5_source_mix, op6_kd_shards, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
+    op1_learned_partitions, op2_token_id_files, op3_toxic_segments, op4_impact_top_k, op5_source_mix, op6_kd_shards, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
