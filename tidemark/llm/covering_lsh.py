@@ -139,3 +139,16 @@ def near_duplicate_components(docs: DataFrame, shingle: int = 3, radius: int = 2
     named = member.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_per_component(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
+                           text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id.
+
+    A null id ranks after all others, by a hash of its text; of rows that
+    repeat the kept id one stays."""
+    null_id = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_or_empty(text_col)), 3)
+    keyed = docs.withColumn("_key", F.coalesce(F.col(f"`{id_col}`").cast("long"), null_id))
+    kept = near_duplicate_components(keyed, shingle, radius, "_key", text_col).select(
+        F.col("component_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

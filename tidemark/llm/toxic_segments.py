@@ -55,7 +55,6 @@ ALPHA = 0.01
 #: (pseudo-documents per fit row, standard errors) to choose from.
 SETTINGS = ((0.001, 1.6), (0.02, 3.0), (0.02, 4.0), (0.125, 3.0), (0.125, 4.0), (0.125, 5.0))
 WORDS = re.compile(r"\w{1,64}")
-EULER = 0.5772156649
 
 
 def features(word: str) -> list[int]:
@@ -124,11 +123,12 @@ class Model:
     coef: tuple = (0.0, 0.0, 0.0, 0.0)                    # intercept and slopes; see evidence()
 
     def evidence(self, n_words: int, found: list[tuple[int, int, float]]) -> tuple[float, float, float]:
-        """(best calibrated score, best raw score, sum over significant segments)."""
+        """(best calibrated score, best raw score, sum over significant segments),
+        on logarithmic scales: scores have long tails."""
         base = self.log_k + np.log(max(n_words, 1))
         best = max((s for *_, s in found), default=0.0)
         excess = [x for x in (self.rate * s - base for *_, s in found) if x > -np.log(ALPHA)]
-        return self.rate * best - base, best, float(np.log1p(sum(excess)))
+        return float(np.arcsinh(self.rate * best - base)), float(np.log1p(best)), float(np.log1p(sum(excess)))
 
     def probability(self, evidence) -> np.ndarray:
         x = np.asarray(evidence, float).reshape(-1, 3)
@@ -136,16 +136,18 @@ class Model:
 
 
 def extreme_value(best: np.ndarray, n_words: np.ndarray) -> tuple[float, float]:
-    """(lambda, log K) of E = K n exp(-lambda best), by moments."""
+    """(lambda, log K) of E = K n exp(-lambda best), by quartiles (a few wrongly
+    labelled texts with high scores must not widen the law)."""
     some = best > 0
     if some.sum() < 30:
         return 1.0, 0.0
     s, ln = best[some], np.log(np.maximum(n_words[some], 1))
+    at = {p: -np.log(-np.log(p)) for p in (0.25, 0.75)}  # standard quantiles of the law
     rate = 1.0
     for _ in range(30):
-        t = s - ln / rate
-        rate = float(np.clip(np.pi / (np.sqrt(6) * max(t.std(), 1e-6)), 0.05, 20))
-    return rate, rate * (float((s - ln / rate).mean()) - EULER / rate)
+        low, high = np.quantile(s - ln / rate, (0.25, 0.75))
+        rate = 0.5 * rate + 0.5 * float(np.clip((at[0.75] - at[0.25]) / max(high - low, 1e-6), 0.05, 20))
+    return rate, rate * float(np.quantile(s - ln / rate, 0.25)) - at[0.25]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -154,11 +156,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
     a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
     w = np.zeros(a.shape[1])
     damp = ridge * np.diag([0, *[1] * x.shape[1]]) + 1e-9 * np.eye(a.shape[1])
-    for _ in range(40):
+
+    def cost(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ damp @ w)
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + damp, a.T @ (y - p) - damp @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
+        size, now = 1.0, cost(w)
+        while size > 1e-6 and cost(w + size * step) > now:
+            size /= 2
+        w += size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(a @ w, -30, 30))), 1e-12, 1 - 1e-12)
     slopes = w[1:] / sd
@@ -299,3 +309,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, id_col:
     return score_texts(docs, model, id_col, text_col).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "segments")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, id_col: str = "doc_id",
+               text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``docs`` without the rows scored 0.5 or more; rows are judged where they are read."""
+    model = fit(docs, labels, fit_rows, id_col=id_col, text_col=text_col, label_col=label_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = None if isinstance(model, float) else WordWeights(model.table[None, :])
+        for b in batches:
+            if cache is None:
+                score = np.full(b.num_rows, model)
+            else:
+                score = model.probability([model.evidence(n, found_in(v[:, 0])) for n, v in (
+                    scan(t or "", cache) for t in b.column(at).to_pylist())])
+            yield b.filter(pa.array(score < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
