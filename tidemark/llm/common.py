@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, scratch_path
 
-__all__ = ["WHITE", "WORD", "read_table", "cut_lineage", "scratch_path", "text_or_empty", "only"]
+__all__ = ["WHITE", "WORD", "read_table", "cut_lineage", "scratch_path", "text_or_empty", "only", "unused"]
 
 #: Fixed values of the query contracts: ASCII white space, and a word.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -31,3 +31,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     columns of the caller's table impossible: ``only(df, id="doc_id")``.
     """
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until the frame has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, only, text_or_empty
+from tidemark.llm.common import cut_lineage, only, text_or_empty, unused
 from tidemark.llm.components import components
 
 BITS = 64
@@ -147,8 +147,9 @@ def keep_one_per_component(docs: DataFrame, shingle: int = 3, radius: int = 2, i
 
     A null id ranks after all others, by a hash of its text; of rows that
     repeat the kept id one stays."""
+    key = unused(docs, "key")
     null_id = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_or_empty(text_col)), 3)
-    keyed = docs.withColumn("_key", F.coalesce(F.col(f"`{id_col}`").cast("long"), null_id))
-    kept = near_duplicate_components(keyed, shingle, radius, "_key", text_col).select(
-        F.col("component_id").alias("_key")).distinct()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), null_id))
+    kept = near_duplicate_components(keyed, shingle, radius, key, text_col).select(
+        F.col("component_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

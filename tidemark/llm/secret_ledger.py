@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, only, text_or_empty
+from tidemark.llm.common import cut_lineage, only, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -159,16 +159,17 @@ def redact(docs: DataFrame, found: DataFrame, mask: str = "[REDACTED]", text_col
     """``docs`` with every found span replaced by ``mask`` (overlapping spans by one).
 
     ``found`` gives the blob's spans; rows are matched by content address."""
+    key, blob, marks = (unused(docs, c) for c in ("key", "blob", "found"))
     spans = found.filter(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]).select(
-        F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+        F.col("blob").alias(blob), F.col("found").alias(marks))
     text = F.col(f"`{text_col}`")
     cut = F.aggregate(
-        "_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             s["end"].alias("at"),
             F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"),
         )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return (docs.withColumn("_key", blob_address(text_or_empty(text_col)))
-            .join(spans, F.col("_key") == F.col("_blob"), "left")
-            .withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(cut)).select(*docs.columns))
+    return (docs.withColumn(key, blob_address(text_or_empty(text_col))).join(spans, F.col(key) == F.col(blob), "left")
+            .withColumn(text_col, F.when(F.col(marks).isNull(), text).otherwise(cut))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
