@@ -19,8 +19,9 @@ clean labelled rows.  A segment with E < ALPHA is significant.  The text's
 probability is a logistic curve over its best calibrated score, the best
 raw score and the sum over its significant segments.  The prior's strength
 and z are those with the least log loss.  All of this uses weights from the
-half of the fit rows (halves by text hash) that the scored row is not in,
-so rows are never judged by counts they are part of.
+half of the fit rows (halves by text hash) that the judged row is not in,
+so no row is judged by counts it is part of.  A text's score is the mean
+of what the two halves' weights say, for which that calibration holds.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0;
 label, lang, source and doc_id are never inputs of a score.
@@ -70,23 +71,33 @@ def weights(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: float
     pseudo = prior * n
     share = (clean + toxic + 0.01) / (n + 0.02)
     a, b = toxic + pseudo * share, clean + pseudo * share
-    odds = np.log(a / np.maximum(n_toxic + pseudo - a, 1e-9)) - np.log(b / np.maximum(n_clean + pseudo - b, 1e-9))
-    return np.maximum(0, odds - z * np.sqrt(1 / a + 1 / b)).astype(np.float32)
+    not_a, not_b = np.maximum(n_toxic + pseudo - a, 1e-9), np.maximum(n_clean + pseudo - b, 1e-9)
+    odds = np.log(a / not_a) - np.log(b / not_b)
+    return np.maximum(0, odds - z * np.sqrt(1 / a + 1 / not_a + 1 / b + 1 / not_b)).astype(np.float32)
 
 
 class WordWeights(dict):
-    """word -> its weight (a row of ``tables``: one value per table)."""
+    """word -> row of ``values``: the word's weight under each of ``tables``."""
 
     def __init__(self, tables: np.ndarray, max_words: int = 200_000):
         super().__init__()
         self.tables, self.max_words = tables, max_words
+        self.values = np.zeros((max_words, len(tables)), np.float32)
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self)
+        if row == len(self.values):                       # one text with very many words
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[row] = self.tables[:, features(word)].max(axis=1)
+        return row
+
+    def scan(self, text: str) -> tuple[int, np.ndarray]:
+        """(number of words, their weights: one column per table)."""
         if len(self) >= self.max_words:
             self.clear()
-        got = self.tables[:, features(word)].max(axis=1)
-        self[word] = got = float(got[0]) if len(got) == 1 else got
-        return got
+        words = WORDS.findall(text.lower())
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return len(words), self.values[rows]
 
 
 def segments(at: list[int], score: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -117,7 +128,7 @@ def segments(at: list[int], score: list[float], drift: float = DRIFT) -> list[tu
 
 @dataclass
 class Model:
-    table: np.ndarray                                     # feature weights
+    tables: np.ndarray                                    # feature weights of either half's counts
     rate: float = 1.0                                     # lambda
     log_k: float = 0.0
     coef: tuple = (0.0, 0.0, 0.0, 0.0)                    # intercept and slopes; see evidence()
@@ -131,8 +142,16 @@ class Model:
         return float(np.arcsinh(self.rate * best - base)), float(np.log1p(best)), float(np.log1p(sum(excess)))
 
     def probability(self, evidence) -> np.ndarray:
-        x = np.asarray(evidence, float).reshape(-1, 3)
-        return 1 / (1 + np.exp(-np.clip(self.coef[0] + x @ np.asarray(self.coef[1:]), -30, 30)))
+        """Mean over the halves; evidence: (texts, halves, 3)."""
+        x = np.asarray(evidence, float).reshape(-1, len(self.tables), 3)
+        return (1 / (1 + np.exp(-np.clip(self.coef[0] + x @ np.asarray(self.coef[1:]), -30, 30)))).mean(axis=1)
+
+    def judge(self, text: str, cache: WordWeights):
+        """(evidence per half, number of words, the segments of the half with more evidence)."""
+        n, values = cache.scan(text)
+        found = [found_in(values[:, k]) for k in range(values.shape[1])]
+        evidence = [self.evidence(n, f) for f in found]
+        return evidence, n, found[int(np.argmax([e[0] for e in evidence]))]
 
 
 def extreme_value(best: np.ndarray, n_words: np.ndarray) -> tuple[float, float]:
@@ -223,12 +242,6 @@ def count_features(sample: DataFrame, tasks: int = 24) -> tuple[np.ndarray, np.n
     return out[:, :SIZE].reshape(2, 2, SIZE), out[:, SIZE].reshape(2, 2)
 
 
-def scan(text: str, cache: WordWeights) -> tuple[int, np.ndarray]:
-    """(number of words, their weights: one column per table)."""
-    words = WORDS.findall(text.lower())
-    return len(words), np.array([cache[w] for w in words], np.float32).reshape(len(words), -1)
-
-
 def found_in(values: np.ndarray) -> list[tuple[int, int, float]]:
     at = np.flatnonzero(values > 0)
     return segments(at.tolist(), values[at].tolist())
@@ -248,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, judge_rows:
         caches = [WordWeights(np.stack([weights(*counts[1 - h], *n[1 - h], *s) for s in SETTINGS])) for h in (0, 1)]
         for b in batches:
             for text, y, half in zip(*(c.to_pylist() for c in b.columns)):
-                length, values = scan(text, caches[half])
+                length, values = caches[half].scan(text)
                 found = [sorted((s for *_, s in found_in(values[:, k])), reverse=True)[:50] for k in range(len(SETTINGS))]
                 yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "n": pa.array([length], pa.int64()),
                                                   "s": pa.array([found], pa.list_(pa.list_(pa.float32())))})
@@ -260,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, judge_rows:
     best = None
     for k, s in enumerate(SETTINGS):
         top = np.array([x[k][0] if x[k] else 0.0 for x in scores])
-        model = Model(weights(*counts.sum(axis=0), *n.sum(axis=0), *s), *extreme_value(top[y == 0], length[y == 0]))
+        model = Model(np.stack([weights(*counts[h], *n[h], *s) for h in (0, 1)]), *extreme_value(top[y == 0], length[y == 0]))
         x = np.array([model.evidence(m, [(0, 0, v) for v in row[k]]) for m, row in zip(length, scores)]).reshape(-1, 3)
         coef, loss = logistic(x, y)
         if best is None or loss < best[0]:
@@ -274,7 +287,7 @@ def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", t
     schema = "doc_id long, score double, segments array<struct<start:int,end:int,score:double,e_value:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = None if isinstance(model, float) else WordWeights(model.table[None, :])
+        cache = None if isinstance(model, float) else WordWeights(model.tables)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
         for b in batches:
             score, passages = [], []
@@ -283,9 +296,8 @@ def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", t
                 if cache is None:
                     score.append(model)
                 else:
-                    n, values = scan(text, cache)
-                    found = found_in(values[:, 0])
-                    score.append(model.evidence(n, found))
+                    evidence, n, found = model.judge(text, cache)
+                    score.append(evidence)
                     base = model.log_k + np.log(max(n, 1))
                     strong = [(a, z, s) for a, z, s in found if model.rate * s - base > -np.log(ALPHA)]
                     if strong:
@@ -318,13 +330,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, id_co
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = None if isinstance(model, float) else WordWeights(model.table[None, :])
+        cache = None if isinstance(model, float) else WordWeights(model.tables)
         for b in batches:
             if cache is None:
                 score = np.full(b.num_rows, model)
             else:
-                score = model.probability([model.evidence(n, found_in(v[:, 0])) for n, v in (
-                    scan(t or "", cache) for t in b.column(at).to_pylist())])
+                score = model.probability([model.judge(t or "", cache)[0] for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(score < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
