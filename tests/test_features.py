@@ -55,3 +55,20 @@ def test_align_to_schema(spark):
     df = spark.createDataFrame([(1, 2)], "b int, extra int")
     out = align_to_schema(df, ["a", "b"])
     assert out.columns == ["a", "b"] and tuple(out.first()) == (0, 1)
+
+
+def test_wide_vocabulary_is_encoded_sparsely(spark):
+    """20,000 categories: modes still come, the first sorted category is dropped, unseen and NULL have no ones."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import features as ft
+    names = [f"v{i:05d}" for i in range(20_000)]
+    rows = [(n, 1.0) for n in names] + [("v00007", 2.0)] * 3
+    train = spark.createDataFrame(rows, "c string, x double")
+    model = ft.fit(train, ["x"], ["c"])
+    assert model.modes == {"c": "v00007"} and model.wide_vocabulary is not None
+    probe = spark.createDataFrame([("v00000", 1.0), ("v00001", 1.0), ("v19999", 1.0), ("new", 1.0), (None, 1.0)], "c string, x double")
+    got = model.encode(probe).select("c_vec.size", "c_vec.ones").collect()
+    assert {r["size"] for r in got} == {19_999}
+    assert sorted(r["ones"] for r in got) == [[], [], [], [0], [19_998]]
+    small = ft.fit_vocabulary(train.where(F.col("c") < "v00100"), ["c"]).orderBy("position").collect()
+    assert [(r["value"], r["position"]) for r in small] == [(n, i) for i, n in enumerate(names[:100])]

@@ -1,6 +1,11 @@
+import math
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.functions.stats import chi2_sf_np
 
 
 def test_season_all_months(spark):
@@ -33,3 +38,12 @@ def test_parse_date_bad_input(spark):
     df = spark.createDataFrame([("2025-01-15",), ("15/01/2025",), (None,)], "d string")
     r = [x["d"] for x in df.select(C.parse_date(F.col("d")).alias("d")).collect()]
     assert str(r[0]) == "2025-01-15" and r[1] is None and r[2] is None
+
+
+@pytest.mark.parametrize("dof", [1e3, 1e6, 1e7])
+def test_chi_square_tail_at_many_degrees_of_freedom(dof):
+    """The median lies 2/3 below the mean, so the tail at stat = dof is 1/2 - (2/3) phi(0) / sd."""
+    sd = math.sqrt(2 * dof)
+    got = chi2_sf_np(np.array([dof, dof + 3 * sd, dof - 3 * sd]), np.array([dof] * 3))
+    assert got[0] == pytest.approx(0.5 - 2 / 3 / math.sqrt(2 * math.pi) / sd, abs=1e-5)
+    assert got[1] == pytest.approx(0.00135, abs=6e-4) and got[2] == pytest.approx(0.99865, abs=6e-4)

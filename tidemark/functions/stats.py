@@ -32,22 +32,28 @@ def ks_pvalue(d: Column, n_ref: Column, n_cur: Column) -> Column:
 
 
 def _gammaincc(a: float, x: float) -> float:
-    """Regularized upper incomplete gamma Q(a, x) (series / continued fraction)."""
+    """Regularized upper incomplete gamma Q(a, x) (series / continued fraction).
+
+    Both converge in a multiple of sqrt(a) steps near x = a, so the number of
+    steps follows ``a``; running out of them is an error, never a value."""
     if x <= 0 or a <= 0:
         return 1.0
     gln = math.lgamma(a)
+    steps = 1000 + 60 * math.isqrt(int(a) + 1)
     if x < a + 1:
         ap, s, delta = a, 1.0 / a, 1.0 / a
-        for _ in range(1000):
+        for _ in range(steps):
             ap += 1
             delta *= x / ap
             s += delta
             if abs(delta) < abs(s) * 1e-15:
                 break
+        else:
+            raise ArithmeticError(f"incomplete gamma did not converge: a={a}, x={x}")
         return max(0.0, 1.0 - s * math.exp(-x + a * math.log(x) - gln))
     b, c, d = x + 1 - a, 1.0 / 1e-300, 1.0 / (x + 1 - a)
     h = d
-    for i in range(1, 1000):
+    for i in range(1, steps):
         an = -i * (i - a)
         b += 2
         d = an * d + b
@@ -57,8 +63,10 @@ def _gammaincc(a: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1) < 1e-15:
+        if abs(delta - 1) < 4e-15:
             break
+    else:
+        raise ArithmeticError(f"incomplete gamma did not converge: a={a}, x={x}")
     return min(1.0, math.exp(-x + a * math.log(x) - gln) * h)
 
 

@@ -14,15 +14,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import exact_quantiles
+from tidemark.session import cut_lineage
 
 # sklearn treats a scale below ten machine epsilons as zero and divides by 1.
 _ZERO_SCALE = 10 * 2.220446049250313e-16
-# Above this many categories in total the dense one-hot layout is refused;
-# use ``StringIndexer`` + ``OneHotEncoder`` (sparse vectors) instead.
+# Up to this many categories in total the vocabulary is kept in the model and
+# encoded as one int column per category; a wider one stays a table
+# (``FeatureModel.wide_vocabulary``) and is encoded as sparse vectors.
 MAX_DUMMIES = 10_000
 
 
@@ -63,24 +65,18 @@ def fit_modes(train: DataFrame, cols) -> DataFrame:
         F.min_by("value", F.struct((-F.col("_c")).alias("a"), F.col("value").alias("b"))).alias("mode"))
 
 
-def fit_vocabulary(train: DataFrame, cols, max_values: int = MAX_DUMMIES) -> DataFrame:
+def fit_vocabulary(train: DataFrame, cols) -> DataFrame:
     """sorted distinct values per column (long form, with 0-based position).
 
-    The distinct set is counted first; a vocabulary above ``max_values``
-    is refused before any per-column ordering runs, so the position window
-    only ever sorts a bounded number of rows.
+    Any number of values: positions come from ranks inside ranges of a
+    column's values plus the sizes of the ranges before (``bucketed_rank``),
+    so no column is ordered in one task.
     """
-    long = unpivot_long(train, cols, "string").where(F.col("value").isNotNull()).distinct().cache()
-    if long.limit(max_values + 1).count() > max_values:
-        raise ValueError("vocabulary too large for a dense one-hot layout; use sparse_encoder")
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("column_name").orderBy("value")
-    return long.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
-
-
-def _one_row(long: DataFrame, key: str, val: str, names) -> DataFrame:
-    """Long (name, value) -> one row with a column per name (pivot over known names)."""
-    return long.groupBy().pivot(key, list(names)).agg(F.first(val))
+    from tidemark.operators.ordered import bucketed_rank
+    long = (unpivot_long(train, cols, "string").where(F.col("value").isNotNull()).distinct()
+            .withColumn("_b", F.substring("value", 1, 2)))
+    return bucketed_rank(long, ["column_name"], "_b", ["value"], "_r").select(
+        "column_name", "value", (F.col("_r") - 1).cast("int").alias("position"))
 
 
 @dataclass
@@ -96,6 +92,7 @@ class FeatureModel:
     scaler: dict                  # column -> (mean, population std)
     drop_first: bool = True
     dummy_columns: list = field(default_factory=list)
+    wide_vocabulary: DataFrame | None = None      # (column_name, value, position) above MAX_DUMMIES
 
     # ---- apply ------------------------------------------------------------
     def impute(self, df: DataFrame) -> DataFrame:
@@ -111,7 +108,10 @@ class FeatureModel:
         return df.select(*out)
 
     def encode(self, df: DataFrame) -> DataFrame:
-        """F4 apply + P8: int dummies from the fitted vocabulary; unseen -> all zeros."""
+        """F4 apply + P8: int dummies from the fitted vocabulary; unseen -> all zeros.
+        A wide vocabulary gives one sparse vector per column instead."""
+        if self.wide_vocabulary is not None:
+            return encode_sparse(df, self.wide_vocabulary, self.categorical, self.drop_first)
         keep = [F.col(c) for c in df.columns if c not in self.categorical]
         dummies = []
         for c in self.categorical:
@@ -170,7 +170,9 @@ def fit(train: DataFrame, numeric, categorical, scale=None, drop_first: bool = T
     Job 1: medians, modes and vocabulary (aggregates, one row per column or
     category).  Job 2: mean / population std of the imputed scale columns.
     Only these aggregates reach the driver; their size is the schema width
-    plus the vocabulary, which is checked against ``max_dummies``.
+    plus the vocabulary, which is collected only up to ``max_dummies``
+    categories.  Above, modes come from their own aggregate and the
+    vocabulary is a written table.
     """
     numeric, categorical = list(numeric), list(categorical)
     scale = list(numeric if scale is None else scale)
@@ -180,18 +182,21 @@ def fit(train: DataFrame, numeric, categorical, scale=None, drop_first: bool = T
     # brought to the driver only when within the dense-layout bound
     modes: dict = {}
     vocab: dict = {c: [] for c in categorical}
+    wide = None
     if categorical:
         vc = (unpivot_long(train, categorical, "string").where(F.col("value").isNotNull())
               .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
         rows = vc.limit(max_dummies + 1).collect()
         if len(rows) > max_dummies:
-            raise ValueError("vocabulary too large for a dense one-hot layout; use sparse_encoder")
+            wide = cut_lineage(fit_vocabulary(train, categorical), "vocabulary")
+            modes = dict.fromkeys(categorical) | {r["column_name"]: r["mode"] for r in fit_modes(train, categorical).collect()}
+            rows = []
         for r in sorted(rows, key=lambda r: (r["column_name"], r["value"])):
             vocab[r["column_name"]].append(r["value"])
-        for c in categorical:
+        for c in categorical if wide is None else []:
             counts = [(-r["n"], r["value"]) for r in rows if r["column_name"] == c]
             modes[c] = min(counts)[1] if counts else None
-    model = FeatureModel(numeric, categorical, scale, medians, modes, vocab, {}, drop_first)
+    model = FeatureModel(numeric, categorical, scale, medians, modes, vocab, {}, drop_first, wide_vocabulary=wide)
     if scale:
         imputed = model.impute(train.select(*scale))
         aggs = []
@@ -204,15 +209,29 @@ def fit(train: DataFrame, numeric, categorical, scale=None, drop_first: bool = T
     return model
 
 
-def sparse_encoder(cols, drop_last: bool = True):
-    """F4 for wide vocabularies: Spark ML stages producing sparse one-hot vectors.
+def _one_hot(position: Column, size: Column) -> Column:
+    """Sparse 0/1 vector of ``size`` entries with a one at ``position``, none where that is null."""
+    return F.when(position.isNull(), F.struct(size.alias("size"), F.array().cast("array<int>").alias("ones"))) \
+        .otherwise(F.struct(size.alias("size"), F.array(position).alias("ones")))
+
+
+def encode_sparse(df: DataFrame, vocabulary: DataFrame, cols, drop_first: bool = True) -> DataFrame:
+    """F4 at any width: column ``c`` becomes ``c_vec``, a struct (size, ones).
 
-    ``alphabetAsc`` keeps the sorted order; note Spark drops the *last*
-    category where the dense layout drops the first.
+    ``vocabulary`` is a table (column_name, value, position) as written by
+    ``fit_vocabulary``; it is joined, never collected, so its size is not
+    limited.  Like the dense layout it drops each column's first sorted
+    category; NULL and unseen categories encode as no ones.
     """
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    idx = StringIndexer(inputCols=list(cols), outputCols=[f"{c}_idx" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cols], outputCols=[f"{c}_vec" for c in cols],
-                        dropLast=drop_last, handleInvalid="keep")
-    return [idx, ohe]
+    first = 1 if drop_first else 0
+    sizes = {r["column_name"]: r["n"] for r in                 # one row per column
+             vocabulary.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = df
+    for c in cols:
+        own = vocabulary.where(F.col("column_name") == c).select(
+            F.col("value").alias("_value"), (F.col("position") - first).alias("_position"))
+        at = F.when(F.col("_position") >= 0, F.col("_position").cast("int"))
+        size = F.lit(max(0, sizes.get(c, 0) - first))
+        out = (out.join(own, F.col(c).cast("string") == F.col("_value"), "left")
+               .withColumn(f"{c}_vec", _one_hot(at, size)).drop(c, "_value", "_position"))
+    return out

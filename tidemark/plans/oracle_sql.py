@@ -462,7 +462,12 @@ UNION ALL SELECT column_name, CAST(NULL AS DOUBLE) AS median, value AS mode FROM
     "split_snapshot_fingerprint": with_split() + _CATALOG_CTE + """,
 r AS (SELECT split.* FROM split, cat WHERE NOT is_test AND cat.split_id = 3 AND split.year BETWEEN cat.start_year AND cat.end_year)
 SELECT 3 AS split_id, count(*) AS n_rows,
-       CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, year, target)), 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS fingerprint
+       CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', coalesce(length(CAST(l_orderkey AS VARCHAR)) || ':' || CAST(l_orderkey AS VARCHAR), 'N'),
+             coalesce(length(CAST(l_linenumber AS VARCHAR)) || ':' || CAST(l_linenumber AS VARCHAR), 'N'),
+             coalesce(length(CAST(l_partkey AS VARCHAR)) || ':' || CAST(l_partkey AS VARCHAR), 'N'),
+             coalesce(length(CAST(l_suppkey AS VARCHAR)) || ':' || CAST(l_suppkey AS VARCHAR), 'N'),
+             coalesce(length(CAST(year AS VARCHAR)) || ':' || CAST(year AS VARCHAR), 'N'),
+             coalesce(length(CAST(target AS VARCHAR)) || ':' || CAST(target AS VARCHAR), 'N'))), 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS fingerprint
 FROM r""",
 })
 

@@ -3,13 +3,16 @@
 New training rows land in a folder; each micro-batch appends them to the
 cumulative table, then creates the splits for every newly complete year
 (W2, A13), checks their drift against the reference split in one pass
-(D2-D8, ``drift_by_split`` restricted to the new splits) and records the retrain decisions (D9).  All outputs are
-written into ``batch_id=N`` folders with overwrite, so a replayed batch
-(after a failure) rewrites the same rows instead of duplicating them.
+(D2-D8, ``drift_by_split`` restricted to the new splits) and records the
+retrain decisions (D9).  All outputs, the catalog rows included, are written
+into ``batch_id=N`` folders with overwrite.  A split is finished once its
+decision is written, not once it is in the catalog: a batch replayed after a
+failure between the two rewrites its catalog rows and decides.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,16 @@ class SplitDecisionWriter:
     def flush(self, spark) -> None:
         self._advance(spark, "final", final=True)
 
+    def _decided(self, spark) -> set:
+        """End years whose decision is written (one row per split)."""
+        try:
+            rows = spark.read.parquet(self.dec_path).select("end_year").collect()
+        except AnalysisException as e:
+            if not sio.missing_path(e):
+                raise
+            return set()
+        return {r["end_year"] for r in rows}
+
     def _advance(self, spark, tag: str, final: bool) -> None:
         """Create every newly complete split and decide on it: one job for the
         catalog rows (W2/A13 over per-year counts) and one drift pass for all
@@ -53,11 +66,13 @@ class SplitDecisionWriter:
         try:
             cum = spark.read.parquet(self.cum_path).drop("batch_id")
             seen = spark.read.parquet(self.years_path).select(y_col).distinct()
-        except Exception:  # noqa: BLE001 -- nothing arrived yet
-            return
+        except AnalysisException as e:
+            if not sio.missing_path(e):
+                raise
+            return                                         # nothing arrived yet
         years = sorted(r[0] for r in seen.collect())   # bounded: one row per year
         complete = years if final else years[:-1]
-        have = {r["end_year"] for r in sio.read_catalog(spark, self.cat_path).select("end_year").collect()}
+        have = self._decided(spark)
         new = [y for y in complete if y not in have]
         if not new:
             return
@@ -65,7 +80,7 @@ class SplitDecisionWriter:
         rows = cum.where(F.col(y_col) <= upto)
         summ = sp.cumulative_split_summary(rows, self.n_test, y_col, self.label, years[0], upto) \
             .where(F.col("end_year").isin(*new))
-        sio.append_catalog(summ, self.cat_path)
+        sio.append_catalog(summ, self.cat_path, tag)
         cat = sio.read_catalog(spark, self.cat_path)
         new_ids = [r["split_id"] for r in cat.where(F.col("end_year").isin(*new)).select("split_id").collect()]
         per = dr.drift_by_split(rows, cat, y_col, self.numeric, self.categorical, self.reference_split, self.opts,
