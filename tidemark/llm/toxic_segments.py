@@ -38,7 +38,6 @@ moved, apart from the written fit rows.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,11 +57,44 @@ SETTINGS = ((0.001, 1.6), (0.02, 3.0), (0.02, 4.0), (0.125, 3.0), (0.125, 4.0),
 WORDS = re.compile(r"\w{1,64}")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word: itself and its 4- and 5-grams."""
-    w = f"^{word}$"
-    grams = ["=" + word, *(w[i:i + n] for n in (4, 5) for i in range(len(w) - n + 1))]
-    return [zlib.crc32(g.encode()) & (SIZE - 1) for g in grams]
+#: Odd 64-bit multipliers of the feature hash.
+MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+POWERS = np.cumprod(np.full(80, STEP, np.uint64))
+
+
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of many words: (first position of each word, features by
+    position, whether each is one).  A position of ``^word$`` has three: the
+    4-gram and the 5-gram that start there and, at the first, the whole word."""
+    text = "".join([f"^{w}$" for w in words])
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(size) - size
+    at = np.arange(len(text)) - np.repeat(start, size)       # position in its word
+    left = np.repeat(size, size) - at                        # characters from here on
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) * MIX
+    code ^= code >> np.uint64(29)
+    ahead = np.concatenate([code, np.zeros(4, np.uint64)])
+    four = code.copy()
+    for k in (1, 2, 3):
+        four = four * STEP + ahead[k:k + len(code)]
+    five = four * STEP + ahead[4:4 + len(code)]
+    whole = np.zeros_like(code)
+    whole[start] = np.add.reduceat(code * POWERS[at], start) + MIX
+    h = np.stack([four, five * MIX, whole])
+    h = ((h ^ (h >> np.uint64(31))) * STEP) >> np.uint64(64 - HASH)
+    return start, h.astype(np.int64), np.stack([left >= 4, left >= 5, at == 0])
+
+
+def features(words: list[str]) -> list[np.ndarray]:
+    """Hashed features of each word: itself and its 4- and 5-grams."""
+    if not words:
+        return []
+    start, h, real = hashed(words)
+    owner = np.zeros(h.shape[1], np.int64)
+    owner[start[1:]] = 1
+    owner = np.broadcast_to(np.cumsum(owner), h.shape)[real]
+    order = np.argsort(owner, kind="stable")
+    return np.split(h[real][order], np.cumsum(np.bincount(owner))[:-1])
 
 
 def weights(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: float, prior: float, z: float) -> np.ndarray:
@@ -84,18 +116,24 @@ class WordWeights(dict):
         self.tables, self.max_words = tables, max_words
         self.values = np.zeros((max_words, len(tables)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = row = len(self)
-        if row == len(self.values):                       # one text with very many words
+    def add(self, words: list[str]) -> None:
+        """Weights of new words, all at once."""
+        row = len(self)
+        while row + len(words) > len(self.values):        # one text with very many words
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[row] = self.tables[:, features(word)].max(axis=1)
-        return row
+        start, h, real = hashed(words)
+        for k, table in enumerate(self.tables):
+            self.values[row:row + len(words), k] = np.maximum.reduceat(np.where(real, table[h], 0).max(axis=0), start)
+        self.update(zip(words, range(row, row + len(words))))
 
     def scan(self, text: str) -> tuple[int, np.ndarray]:
         """(number of words, their weights: one column per table)."""
         if len(self) >= self.max_words:
             self.clear()
         words = WORDS.findall(text.lower())
+        fresh = [w for w in set(words) if w not in self]
+        for lo in range(0, len(fresh), 50_000):
+            self.add(fresh[lo:lo + 50_000])
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return len(words), self.values[rows]
 
@@ -137,7 +175,7 @@ class Model:
         """(best calibrated score, best raw score, sum over significant segments),
         on logarithmic scales: scores have long tails."""
         base = self.log_k + np.log(max(n_words, 1))
-        best = max((s for *_, s in found), default=0.0)
+        best = max([s for *_, s in found], default=0.0)
         excess = [x for x in (self.rate * s - base for *_, s in found) if x > -np.log(ALPHA)]
         return float(np.arcsinh(self.rate * best - base)), float(np.log1p(best)), float(np.log1p(sum(excess)))
 
@@ -217,16 +255,14 @@ def count_features(sample: DataFrame, tasks: int = 24) -> tuple[np.ndarray, np.n
         have, known = np.zeros((4, SIZE + 1), np.int32), {}
         for b in batches:
             for text, y, half in zip(*(c.to_pylist() for c in b.columns)):
-                mine: set[int] = set()
-                for w in set(WORDS.findall(text.lower())):
-                    f = known.get(w)
-                    if f is None:
-                        if len(known) >= 100_000:
-                            known.clear()
-                        f = known[w] = features(w)
-                    mine.update(f)
+                words = set(WORDS.findall(text.lower()))
+                if len(known) >= 100_000:
+                    known.clear()
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, features(fresh)))
                 row = have[2 * half + y]
-                row[np.fromiter(mine, np.int64, len(mine))] += 1
+                if words:
+                    row[np.unique(np.concatenate([known[w] for w in words]))] += 1
                 row[SIZE] += 1
         for k in range(4):
             f = np.flatnonzero(have[k])
