@@ -56,7 +56,7 @@ class MergeTable:
             self.bytes_of[i] = s
         for t in spec["added_tokens"]:
             self.bytes_of[t["id"]] = t["content"].encode()
-        self.longest = max(map(len, self.id_of))
+        self.prefix = {s[:k]: -1 for s in self.id_of for k in range(1, len(s))} | self.id_of
         self.left = np.full(n, -1, np.int64)               # the two sides of the merge that makes a token
         self.right = np.full(n, -1, np.int64)
         self.made_at = np.full(n, -1, np.int64)            # that merge's rank; -1: a single byte
@@ -72,13 +72,32 @@ class MergeTable:
         ranks = np.fromiter((r for r, _ in self.merge.values()), np.int64, len(self.merge))
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], ranks[order]
-        self._own: dict[int, bool] = {}
+        self._stands = bytearray(n)                        # 1: known to stand alone
 
     def exact(self, word: bytes) -> list[int]:
-        """Merge in rank order, leftmost first among equal ranks (heap over a linked list)."""
+        """Merge in rank order, leftmost first among equal ranks."""
         ids = [self.id_of[word[i:i + 1]] for i in range(len(word))]
-        if len(ids) < 2:
-            return ids
+        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """Scan for the lowest rank; quickest for the usual word."""
+        find, none = self.merge.get, (1 << 40, -1)
+        pairs = [find(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            i = pairs.index(best)
+            ids[i:i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = find((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = find((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """Heap over a linked list; near linear in the word's length."""
         after = [*range(1, len(ids)), -1]
         before = [-1, *range(len(ids) - 1)]
         heap = []
@@ -106,20 +125,28 @@ class MergeTable:
 
     def stands(self, token: int) -> bool:
         """Whether the token's own bytes encode to the token alone."""
-        if (got := self._own.get(token)) is None:
-            got = self._own[token] = self.exact(self.bytes_of[token]) == [token]
-        return got
+        if not self._stands[token] and self.exact(self.bytes_of[token]) == [token]:
+            self._stands[token] = 1
+        return bool(self._stands[token])
 
     def greedy(self, word: bytes) -> list[int]:
-        """Longest match from the left, over tokens that stand."""
-        out, i, n, find = [], 0, len(word), self.id_of.get
+        """Longest match from the left, over tokens that stand.
+
+        Walks each match forward through the vocabulary's prefixes, so a
+        step that leads nowhere ends it."""
+        out, i, n, find, sure = [], 0, len(word), self.prefix.get, self._stands
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            j = i + 1
+            end, token = j, find(word[i:j])
+            while j < n:
+                j += 1
                 t = find(word[i:j])
-                if t is not None and self.stands(t):
+                if t is None:
                     break
-            out.append(t)
-            i = j
+                if t >= 0 and (sure[t] or self.stands(t)):
+                    end, token = j, t
+            out.append(token)
+            i = end
         return out
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
