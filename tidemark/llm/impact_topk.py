@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann_partitions import top_k
 from tidemark.llm.vectors import block, matrix, usable_vectors
 
-LEVELS = 14
+#: Impact levels above zero, and as many below; each is STEP times finer than the one before.
+LEVELS = 3
+STEP = 4
 RESCORE = 1 / 16
 RESCORE_LEAST = 64
 #: Whole numbers are exact in double precision up to here.
@@ -45,33 +47,34 @@ EXACT = float(1 << 53)
 
 
 class ImpactIndex:
-    """Impact-ordered postings of one block."""
+    """Impact-ordered postings of one block: per component, rows by descending value."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values                # (rows,), (rows, components), whole numbers
-        self.order = np.argsort(-values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, self.order, axis=0)
+        by_term = np.ascontiguousarray(values.T)
+        self.order = np.argsort(-by_term, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(by_term, self.order, axis=1)
+        self.rising = -self.sorted                         # ascending, for searches
 
     def top(self, q_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers, exact scores) of the k best rows other than the query's."""
-        n, dims = self.values.shape
+        n = len(self.values)
         members = np.arange(n)
-        terms = np.flatnonzero(q)
+        terms = np.flatnonzero(q).tolist()
         acc, seen = np.zeros(n), np.zeros(n)
-        done = np.zeros(dims, np.int64)                    # postings processed of each list
-        ends = np.where(q > 0, self.sorted[0], self.sorted[-1]) * q
-        high = float(ends[terms].max()) if len(terms) else 0.0
-        low = float((np.where(q > 0, self.sorted[-1], self.sorted[0]) * q)[terms].min()) if len(terms) else 0.0
+        done = dict.fromkeys(terms, 0)                     # postings processed of each list
+        first = np.where(q > 0, self.sorted[:, 0], self.sorted[:, -1]) * q
+        last = np.where(q > 0, self.sorted[:, -1], self.sorted[:, 0]) * q
         most = max(RESCORE_LEAST, int(n * RESCORE), 2 * k)
-        for floor in self._levels(high, low):
+        for floor in self._levels(float(first.max()), float(last.min())):
             rows, adds = [], []
             for d in terms:
-                column, w = self.sorted[:, d], q[d]
-                upto = self._reach(column, w, floor)
-                if upto > done[d]:
-                    seg = slice(done[d], upto) if w > 0 else slice(n - upto, n - done[d])
-                    rows.append(self.order[seg, d])
-                    adds.append(column[seg] * w)
+                w, old = q[d], done[d]
+                upto = self._reach(self.rising[d], w, floor)
+                if upto > old:
+                    seg = slice(old, upto) if w > 0 else slice(n - upto, n - old)
+                    rows.append(self.order[d, seg])
+                    adds.append(self.sorted[d, seg] * w)
                     done[d] = upto
             if rows:
                 at = np.concatenate(rows)
@@ -91,16 +94,16 @@ class ImpactIndex:
     @staticmethod
     def _levels(high: float, low: float) -> list[float]:
         """Floors of the quantised impact levels, descending, down to ``low``."""
-        up = [high / 2 ** i for i in range(1, LEVELS // 2 + 1)] if high > 0 else []
-        down = [low / 2 ** i for i in range(LEVELS // 2, -1, -1)] if low < 0 else []
-        return [*up, 0.0, *down] if low <= 0 else [*[f for f in up if f > low], low]
+        up = [f for i in range(1, LEVELS + 1) if (f := high / STEP ** i) > max(low, 0)]
+        down = [f for i in range(LEVELS, 0, -1) if (f := low / STEP ** i) < 0]
+        return [*up, *([0.0] if low < 0 else []), *down, low]
 
     @staticmethod
-    def _reach(column: np.ndarray, w: float, floor: float) -> int:
+    def _reach(rising: np.ndarray, w: float, floor: float) -> int:
         """Postings of a list whose impact is at least ``floor``."""
         if w > 0:
-            return int(np.searchsorted(-column, -floor / w, "right"))
-        return len(column) - int(np.searchsorted(-column, -floor / w, "left"))
+            return int(rising.searchsorted(-floor / w, "right"))
+        return len(rising) - int(rising.searchsorted(-floor / w, "left"))
 
     def _limit(self, q_id: int, q: np.ndarray, bound: np.ndarray, k: int) -> float:
         """Exact score of the k-th best among the rows with the highest bounds."""
