@@ -158,8 +158,8 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def nearest_by_partitions(table: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 8192,
-                          rows_per_part: int = 2048, max_parts: int = 128, mass: float = 0.98, least_probes: int = 2,
-                          block_rows: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+                          rows_per_part: int = 8192, max_parts: int = 64, mass: float = 0.95, least_probes: int = 2,
+                          block_rows: int = 32_768, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose
     id is divisible by ``every``, among all other rows."""
     spark = table.sparkSession
