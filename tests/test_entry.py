@@ -41,3 +41,24 @@ def test_stream_scoring_equals_batch_scoring(spark):
     a = {key(r): (r["prediction"], round(r["probability"], 9)) for r in q["stream_scoring"](spark, SF).collect()}
     b = {key(r): (r["prediction"], round(r["probability"], 9)) for r in q["simple_scoring"](spark, SF).collect()}
     assert len(a) > 0 and a == b
+
+
+class _Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["gbt_test_metrics", "simple_scoring", "stream_scoring", "train_and_promote"])
+def test_model_queries_fit_the_reference_configuration(spark, monkeypatch, name):
+    """Every registered model query fits the reference's 200 trees of depth 9."""
+    from tidemark.operators import model as ml
+    seen = []
+
+    def fit(train, feature_cols, label, **overrides):
+        gbt = ml.gbt_pipeline(feature_cols, label, **overrides).getStages()[1]
+        seen.append({k: gbt.getOrDefault(k) for k in ml.REFERENCE_GBT})
+        raise _Stop
+
+    monkeypatch.setattr(ml, "fit", fit)
+    with pytest.raises(_Stop):
+        E.queries()[name](spark, SF)
+    assert seen == [ml.REFERENCE_GBT] and (seen[0]["maxIter"], seen[0]["maxDepth"]) == (200, 9)

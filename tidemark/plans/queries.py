@@ -517,10 +517,6 @@ from tidemark.operators import model as ml  # noqa: E402
 from tidemark.operators import validation as vl  # noqa: E402
 from tidemark.sources.tables import read_table  # noqa: E402
 
-# Lighter boosted-tree settings for the registered scoring queries; the
-# library default (ml.REFERENCE_GBT) is the reference's 200 trees of depth 9.
-QUERY_GBT = dict(maxIter=20, maxDepth=5)
-
 
 def _requests_json(spark, root):
     """Scoring requests as JSON text, one per order (fields mapped from order,
@@ -579,7 +575,7 @@ def q_gbt_test_metrics(spark, root):
     """M1 + M2 + A9 + A10: boosted trees fitted on the training rows, scored on the test rows."""
     split, _, model = _fitted(spark, root)
     enc = model.transform(split)
-    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, **QUERY_GBT)
+    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL)
     scored_test = ml.score(fitted, enc.where(F.col("is_test")), keep=[fx.OBS_LABEL])
     m = ev.binary_metrics(scored_test, fx.OBS_LABEL, "prediction", "probability")
     return m.select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1_score", "roc_auc")
@@ -589,7 +585,7 @@ def q_simple_scoring(spark, root):
     """M3: requests -> validate -> derive -> fill -> encode -> align -> scale -> score -> label."""
     split, _, model = _fitted(spark, root)
     enc = model.transform(split)
-    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, **QUERY_GBT)
+    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL)
     feats = cl.align_to_schema(model.transform(_obs_requests(split)), [*fx.OBS_KEY, *_feature_cols(model)])
     s = ml.score(fitted, feats, keep=fx.OBS_KEY)
     return s.withColumn("label", F.when(F.col("prediction") == 1, "Returned").otherwise("Not returned"))
@@ -757,7 +753,7 @@ def q_train_and_promote(spark, root):
     cat = _catalog(spark, root, split)
     train = sp.split_rows(enc.where(~F.col("is_test")), cat, 3, "year")
     res = train_and_promote(train, enc.where(F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, 3,
-                            MODEL_NAME, None, None, oversample=True, **QUERY_GBT)
+                            MODEL_NAME, None, None, oversample=True)
     state = rg.current_state(res["events"])
     return res["run"].join(state, ["model_name", "version"]).select(
         "version", "run_id", F.col("params")["split_id"].alias("split_id"),
@@ -790,7 +786,7 @@ def q_stream_scoring(spark, root):
     encode with the fitted parameters -> boosted-tree score; rejects to a side sink."""
     split, _, model = _fitted(spark, root)
     enc = model.transform(split)
-    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, **QUERY_GBT)
+    fitted = ml.fit(enc.where(~F.col("is_test")), _feature_cols(model), fx.OBS_LABEL)
     cols = [c for c in split.columns if c not in ("is_test", fx.OBS_LABEL)]
     schema = split.select(*cols).schema
     reqs = split.where(F.col("is_test")).select(F.to_json(F.struct(*cols)).alias("value"))
