@@ -87,6 +87,19 @@ def test_near_duplicates(spark, awkward_df, empty_df, awkward):
     assert keep_one_per_component(empty_df).collect() == []
 
 
+def test_one_id_with_texts_of_several_components(spark):
+    """Each component keeps one row, also where an id repeats with unrelated texts."""
+    x, y = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    z = "completely other words stand in this line"
+    docs = [(3, x, "a"), (5, x, "b"), (5, y, "c"), (5, y, "d"), (7, z, "e"), (7, y, "f"), (None, z, "g"), (None, x, "h")]
+    assert len({fingerprint(t) for t in (x, y, z)}) == 3
+    keep = lambda rows, n: sorted(map(tuple, keep_one_per_component(
+        spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect()))
+    got = keep(docs, 3)
+    assert [r[:2] for r in got] == [(3, x), (5, y), (7, z)]
+    assert keep(docs[::-1], 5) == got                                          # not the order of the rows
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

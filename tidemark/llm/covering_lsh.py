@@ -76,18 +76,19 @@ def simhash(data: bytes, shingle: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", also: tuple = ()) -> DataFrame:
+    """(doc_id, fp long) and the long columns ``also`` for every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = [signed(simhash(t.as_py(), shingle)) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fp, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(fp, pa.int64())}
+                                             | {c: batch.column(2 + k) for k, c in enumerate(also)})
 
-    return (only(docs, id=id_col, text=text_col)
-            .select(F.col("id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (only(docs, id=id_col, text=text_col, **{c: c for c in also})
+            .select(F.col("id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *also)
+            .mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in also]])))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -124,17 +125,21 @@ def links(distinct: DataFrame, radius: int, pair_limit: int = 32) -> DataFrame:
     return pairs.select("u", "v").unionByName(starred).distinct()
 
 
+def members(prints: DataFrame, low: Column, radius: int, pair_limit: int = 32) -> DataFrame:
+    """(fp, low, root) of every distinct fingerprint; low: the least ``low`` of its rows."""
+    if radius < 0 or radius >= BITS:
+        raise ValueError("radius must lie in 0..63")
+    classes = prints.groupBy("fp").agg(F.min(low).alias("low"))
+    roots = components(links(classes.select("fp"), radius, pair_limit))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicate_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
                               text_col: str = "text", pair_limit: int = 32) -> DataFrame:
     """doc_id, fp, fingerprint (hex) and component_id for every row."""
-    if radius < 0 or radius >= BITS:
-        raise ValueError("radius must lie in 0..63")
     prints = cut_lineage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    distinct = classes.select("fp")
-    roots = components(links(distinct, radius, pair_limit))
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    member = members(prints, F.col("doc_id"), radius, pair_limit)
     ids = member.groupBy("root").agg(F.min("low").alias("component_id"))
     named = member.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -145,11 +150,17 @@ def keep_one_per_component(docs: DataFrame, shingle: int = 3, radius: int = 2, i
                            text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.
 
-    A null id ranks after all others, by a hash of its text; of rows that
-    repeat the kept id one stays."""
-    key = unused(docs, "key")
+    A null id ranks after all others, by a hash of its text.  Rows of one id
+    rank by the hash of their text, then by that of all columns (maps, which
+    Spark cannot hash, left out), so an id with texts of several components
+    stands for each of them on its own and reruns keep the same rows."""
+    key, text_hash, row_hash = unused(docs, "key"), unused(docs, "text_hash"), unused(docs, "row_hash")
     null_id = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text_or_empty(text_col)), 3)
-    keyed = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), null_id))
-    kept = near_duplicate_components(keyed, shingle, radius, key, text_col).select(
-        F.col("component_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), null_id).alias(key),
+                        F.xxhash64(text_or_empty(text_col)).alias(text_hash), F.xxhash64(*plain).alias(row_hash))
+    rank = [key, text_hash, row_hash]
+    prints = cut_lineage(fingerprints(keyed, shingle, key, text_col, (text_hash, row_hash)), "fingerprints")
+    kept = (members(prints, F.struct(F.col("doc_id").alias(key), text_hash, row_hash), radius)
+            .groupBy("root").agg(F.min("low").alias("low")).select("low.*"))
+    return keyed.join(kept, rank, "left_semi").dropDuplicates(rank).select(*[F.col(f"`{c}`") for c in docs.columns])
