@@ -9,7 +9,7 @@ import corpus_pipeline
 from tests.llm.conftest import SCHEMA, rows_of
 from tests.llm.test_duplicates_secrets import fingerprint, groups, plain_redacted
 from tidemark.llm.mixing import source_mix
-from tidemark.llm.toxic_segments import extreme_value, logistic, segments, toxicity
+from tidemark.llm.toxic_segments import SIZE, Model, extreme_value, features, logistic, score_texts, segments, toxicity
 
 
 def plain_segments(values):
@@ -103,6 +103,22 @@ def test_toxicity_held_out(spark, empty_df):
     assert toxicity(empty_df, marks).collect() == []
 
 
+def test_passages_of_either_half_and_of_any_letter(spark):
+    """A passage is reported where lower case changes the length of a word, and
+    where only one half's weights know it."""
+    tables = np.zeros((2, SIZE), np.float32)
+    for half, word, weight in ((0, "vilescum", 20.0), (1, "trashful", 15.0), (0, "\u0130stanbulx".lower(), 20.0)):
+        tables[half, features([word])[0]] = weight
+    model = Model(tables, coef=(0.0, 1.0, 1.0, 1.0))
+    filler = " plain" * 200 + " "
+    text = "\u0130stanbul " + "\u0130" * 70 + filler + "VileScum" + filler + "trashful" + filler + "\u0130stanbulX"
+    got = score_texts(spark.createDataFrame([(1, text), (2, "VILESCUM trashful vilescum")], "doc_id long, text string"), model)
+    found = {r["doc_id"]: r["segments"] for r in got.collect()}
+    assert [text[s["start"]:s["end"]] for s in found[1]][-3:] == ["VileScum", "trashful", "\u0130stanbulX"]
+    assert [(s["start"], s["end"]) for s in found[2]] == [(0, 26)]             # both halves' segments, merged
+    assert found[2][0]["score"] == pytest.approx(40.0 - 0.3)
+
+
 def test_toxicity_without_labels(awkward_df, spark, awkward):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity(awkward_df, none).collect()} == {0.5}

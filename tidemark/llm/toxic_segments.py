@@ -22,6 +22,8 @@ and z are those with the least log loss.  All of this uses weights from the
 half of the fit rows (halves by text hash) that the judged row is not in,
 so no row is judged by counts it is part of.  A text's score is the mean
 of what the two halves' weights say, for which that calibration holds.
+Its passages are the segments that are significant under either half's
+weights; those that overlap are one passage, with the best score of them.
 
 Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0;
 label, lang, source and doc_id are never inputs of a score.
@@ -59,7 +61,14 @@ WORDS = re.compile(r"\w{1,64}")
 
 #: Odd 64-bit multipliers of the feature hash.
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-POWERS = np.cumprod(np.full(80, STEP, np.uint64))
+POWERS = np.cumprod(np.full(200, STEP, np.uint64))       # lower case may double a word's characters
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, each in lower case: word i is the i-th match in ``text``."""
+    if text.isascii():
+        return WORDS.findall(text.lower())
+    return [w.lower() for w in WORDS.findall(text)]
 
 
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +139,7 @@ class WordWeights(dict):
         """(number of words, their weights: one column per table)."""
         if len(self) >= self.max_words:
             self.clear()
-        words = WORDS.findall(text.lower())
+        words = words_of(text)
         fresh = [w for w in set(words) if w not in self]
         for lo in range(0, len(fresh), 50_000):
             self.add(fresh[lo:lo + 50_000])
@@ -164,6 +173,17 @@ def segments(at: list[int], score: list[float], drift: float = DRIFT) -> list[tu
     return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
+def united(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Segments in order; those that share a word are one, with the best score."""
+    out: list[tuple[int, int, float]] = []
+    for a, z, s in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]), max(s, out[-1][2]))
+        else:
+            out.append((a, z, s))
+    return out
+
+
 @dataclass
 class Model:
     tables: np.ndarray                                    # feature weights of either half's counts
@@ -185,11 +205,12 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(self.coef[0] + x @ np.asarray(self.coef[1:]), -30, 30)))).mean(axis=1)
 
     def judge(self, text: str, cache: WordWeights):
-        """(evidence per half, number of words, the segments of the half with more evidence)."""
+        """(evidence per half, number of words, the significant segments of either half)."""
         n, values = cache.scan(text)
         found = [found_in(values[:, k]) for k in range(values.shape[1])]
         evidence = [self.evidence(n, f) for f in found]
-        return evidence, n, found[int(np.argmax([e[0] for e in evidence]))]
+        base = self.log_k + np.log(max(n, 1))
+        return evidence, n, united([x for f in found for x in f if self.rate * x[2] - base > -np.log(ALPHA)])
 
 
 def extreme_value(best: np.ndarray, n_words: np.ndarray) -> tuple[float, float]:
@@ -255,7 +276,7 @@ def count_features(sample: DataFrame, tasks: int = 24) -> tuple[np.ndarray, np.n
         have, known = np.zeros((4, SIZE + 1), np.int32), {}
         for b in batches:
             for text, y, half in zip(*(c.to_pylist() for c in b.columns)):
-                words = set(WORDS.findall(text.lower()))
+                words = set(words_of(text))
                 if len(known) >= 100_000:
                     known.clear()
                 fresh = [w for w in words if w not in known]
@@ -332,15 +353,13 @@ def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", t
                 if cache is None:
                     score.append(model)
                 else:
-                    evidence, n, found = model.judge(text, cache)
+                    evidence, n, strong = model.judge(text, cache)
                     score.append(evidence)
-                    base = model.log_k + np.log(max(n, 1))
-                    strong = [(a, z, s) for a, z, s in found if model.rate * s - base > -np.log(ALPHA)]
                     if strong:
+                        base = model.log_k + np.log(max(n, 1))
                         spans = [m.span() for m in WORDS.finditer(text)]
-                        if len(spans) == n:                # lower() may change the words of a text
-                            marks = [{"start": spans[a][0], "end": spans[z][1], "score": s,
-                                      "e_value": float(np.exp(base - model.rate * s))} for a, z, s in strong]
+                        marks = [{"start": spans[a][0], "end": spans[z][1], "score": s,
+                                  "e_value": float(np.exp(base - model.rate * s))} for a, z, s in strong]
                 passages.append(marks)
             out = score if cache is None else model.probability(score)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(out, pa.float64()),
