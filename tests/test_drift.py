@@ -120,3 +120,31 @@ def test_drift_by_split_subset_and_categorical_only(spark):
     for (s, c), r in cat_only.items():
         assert r["stattest"] == "jensenshannon"
         assert r["drift_score"] == pytest.approx(full[(s, c)], rel=1e-12, abs=1e-15)
+
+
+@pytest.mark.parametrize("n_ref", [400, 1001])
+def test_size_rule_holds_on_every_path(spark, n_ref):
+    """The reference side's size chooses the test, whatever flag or path."""
+    rng = np.random.default_rng(11)
+    rows = [(y, float(rng.normal(0.1 * (y - 2010))), float(i % 3), float(i % 2), "abc"[(i * (y - 2009)) % 3], "ab"[i % 2])
+            for y, n in ((2010, n_ref), (2011, 900)) for i in range(n)]
+    df = spark.createDataFrame(rows, "year int, x double, few double, flag double, c string, b string")
+    cat = spark.createDataFrame([(1, 2010, 2010), (2, 2010, 2011)], "split_id int, start_year int, end_year int")
+    num, text = ["x", "few", "flag"], ["c", "b"]
+    small = {"x": "ks", "few": "chisquare", "flag": "z", "c": "chisquare", "b": "z"}
+    large = {c: "wasserstein" if c == "x" else "jensenshannon" for c in small}
+    ref = df.where("year = 2010")
+    key = lambda rs: {r["column_name"]: (r["stattest"], round(r["drift_score"], 9), r["drift_detected"]) for r in rs}
+    full = key(dr.column_drift(ref, df, num, text, with_pvalues=True).collect())
+    bare = dr.column_drift(ref, df, num, text, with_pvalues=False, size_rule=True)
+    assert not {"chi_pvalue", "z_pvalue"} & set(bare.columns)
+    assert {c: v[0] for c, v in full.items()} == (small if n_ref <= 1000 else large)
+    assert key(bare.collect()) == full
+    assert key(dr.drift_by_split(df, cat, "year", num, text, 1, size_rule=True).where("split_id = 2").collect()) == full
+
+
+def test_drift_columns_query_follows_the_size_rule(spark):
+    """sf0.001 has fewer than 1,000 reference rows."""
+    import __spark_entry__ as E
+    got = {r["stattest"] for r in E.queries()["drift_columns"](spark, "/root/testdata/sf0.001").collect()}
+    assert got <= {"ks", "chisquare", "z"} and "ks" in got

@@ -97,8 +97,12 @@ def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: in
 
 
 def categorical_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), with_pvalues: bool = True,
-                      n_cols: int | None = None) -> DataFrame:
-    """Jensen-Shannon distance, chi-square statistic (and z for binary) per column."""
+                      n_cols: int | None = None, p_limit: int | None = None) -> DataFrame:
+    """Jensen-Shannon distance, chi-square statistic (and z for binary) per column.
+
+    ``p_limit``: p-values only for columns with at most so many reference
+    rows, null for the others.
+    """
     tot = _totals(vc)
     d = join_small(vc, tot, on=["column_name"], bound=n_cols)
     p = F.when(F.col("n_ref") == 0, F.lit(opts.zero_fill)).otherwise(F.col("n_ref") / F.col("tot_ref"))
@@ -125,59 +129,69 @@ def categorical_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), with_p
     out = agg.select("column_name", "n_ref", "n_cur", "n_unique", "jensen_shannon", "chi_square",
                      (F.col("n_unique") - 1).cast("int").alias("chi_dof"), "_x1", "_x2")
     if with_pvalues:
-        p1, p2 = F.col("_x1") / F.col("n_ref"), F.col("_x2") / F.col("n_cur")
-        pp = (F.col("_x1") + F.col("_x2")) / (F.col("n_ref") + F.col("n_cur"))
-        se = F.sqrt(pp * (1 - pp) * (1 / F.col("n_ref") + 1 / F.col("n_cur")))
-        z = F.when(se == 0, F.lit(0.0)).otherwise((p1 - p2) / se)
-        out = out.withColumn("chi_pvalue", chi2_sf(F.col("chi_square"), F.col("chi_dof").cast("double"))) \
+        asked = F.lit(True) if p_limit is None else F.col("n_ref") <= p_limit
+        p1, p2 = F.try_divide("_x1", "n_ref"), F.try_divide("_x2", "n_cur")   # null when a side has no rows
+        pp = F.try_divide(F.col("_x1") + F.col("_x2"), F.col("n_ref") + F.col("n_cur"))
+        se = F.sqrt(pp * (1 - pp) * (F.try_divide(F.lit(1), F.col("n_ref")) + F.try_divide(F.lit(1), F.col("n_cur"))))
+        z = F.when(asked, F.when(se == 0, F.lit(0.0)).otherwise((p1 - p2) / se))
+        chi = F.when(asked, F.col("chi_square"))
+        out = out.withColumn("chi_pvalue", chi2_sf(chi, F.col("chi_dof").cast("double"))) \
                  .withColumn("z_pvalue", norm_two_sided(z))
     return out.drop("_x1", "_x2")
 
 
+def _choose(per_column: DataFrame, opts: DriftOptions, size_rule: bool) -> DataFrame:
+    """``stattest``, ``drift_score`` and ``drift_detected`` of each column, by the
+    size rule or, without it, by the large-sample tests whatever the size."""
+    small = (F.col("n_ref") <= opts.small_sample_limit) & F.lit(size_rule)
+    as_cat = (F.col("kind") == "cat") | (F.col("n_unique") <= opts.few_values)
+    binary = F.col("n_unique") <= 2
+    test = (F.when(~as_cat & small, "ks").when(~as_cat, "wasserstein")
+            .when(small & binary, "z").when(small, "chisquare").otherwise("jensenshannon"))
+    score = (F.when(test == "ks", F.col("ks_pvalue")).when(test == "wasserstein", F.col("wasserstein_norm"))
+             .when(test == "z", F.col("z_pvalue")).when(test == "chisquare", F.col("chi_pvalue"))
+             .otherwise(F.col("jensen_shannon")))
+    out = per_column.withColumn("stattest", test).withColumn("drift_score", score)
+    drifted = (F.when(F.col("stattest").isin("ks", "z", "chisquare"), F.col("drift_score") < opts.p_threshold)
+               .when(F.col("stattest") == "wasserstein", F.col("drift_score") >= opts.num_threshold)
+               .otherwise(F.col("drift_score") >= opts.cat_threshold))
+    return out.withColumn("drift_detected", drifted)
+
+
 def column_drift(ref: DataFrame, cur: DataFrame, numeric, categorical,
-                 opts: DriftOptions = DriftOptions(), with_pvalues: bool = True) -> DataFrame:
+                 opts: DriftOptions = DriftOptions(), with_pvalues: bool = True,
+                 size_rule: bool | None = None) -> DataFrame:
     """One row per column with the selected test, its score and the drift flag.
 
     Numeric columns with few distinct values are re-tested as categorical,
     so both numeric and categorical statistics are computed for numeric
-    columns (from the same counts) and the rule picks one.
+    columns (from the same counts) and the rule picks one.  ``with_pvalues``
+    shows the categorical p-values of all columns; without it they are
+    computed just where the rule asks for them.  ``size_rule`` (by default
+    as ``with_pvalues``) lets the reference side's size choose the test.
     """
+    size_rule = with_pvalues if size_rule is None else size_rule
     numeric, categorical = list(numeric), list(categorical)
+    p_limit = None if with_pvalues else opts.small_sample_limit if size_rule else -1
     parts = []
     if numeric:
         nvc = value_counts_by_side(ref, cur, numeric, "double").cache()
         nt = numeric_tests(nvc, opts, len(numeric))
         few = _totals(nvc).where(F.col("n_unique") <= opts.few_values).select("column_name")
         nvc_few = nvc.join(few, on="column_name", how="left_semi")
-        ncat = categorical_tests(nvc_few.withColumn("value", F.col("value").cast("string")), opts, with_pvalues,
-                                 len(numeric)) \
-            .select("column_name", "jensen_shannon", "chi_square", "chi_dof",
-                    *(["chi_pvalue", "z_pvalue"] if with_pvalues else []))
+        ncat = categorical_tests(nvc_few.withColumn("value", F.col("value").cast("string")), opts, True,
+                                 len(numeric), p_limit) \
+            .select("column_name", "jensen_shannon", "chi_square", "chi_dof", "chi_pvalue", "z_pvalue")
         parts.append(nt.join(ncat, on="column_name", how="left").withColumn("kind", F.lit("num")))
     if categorical:
         cvc = value_counts_by_side(ref, cur, categorical, "string")
-        ct = categorical_tests(cvc, opts, with_pvalues, len(categorical)).withColumn("kind", F.lit("cat"))
+        ct = categorical_tests(cvc, opts, True, len(categorical), p_limit).withColumn("kind", F.lit("cat"))
         for c in ("ks_statistic", "wasserstein_norm", "ks_pvalue"):
             ct = ct.withColumn(c, F.lit(None).cast("double"))
         parts.append(ct)
     allc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    small = F.col("n_ref") <= opts.small_sample_limit
-    as_cat = (F.col("kind") == "cat") | (F.col("n_unique") <= opts.few_values)
-    binary = F.col("n_unique") <= 2
-    if with_pvalues:
-        test = (F.when(~as_cat & small, "ks").when(~as_cat, "wasserstein")
-                .when(small & binary, "z").when(small, "chisquare").otherwise("jensenshannon"))
-        score = (F.when(test == "ks", F.col("ks_pvalue")).when(test == "wasserstein", F.col("wasserstein_norm"))
-                 .when(test == "z", F.col("z_pvalue")).when(test == "chisquare", F.col("chi_pvalue"))
-                 .otherwise(F.col("jensen_shannon")))
-    else:
-        test = F.when(~as_cat, "wasserstein").otherwise("jensenshannon")
-        score = F.when(test == "wasserstein", F.col("wasserstein_norm")).otherwise(F.col("jensen_shannon"))
-    out = allc.withColumn("stattest", test).withColumn("drift_score", score)
-    drifted = (F.when(F.col("stattest").isin("ks", "z", "chisquare"), F.col("drift_score") < opts.p_threshold)
-               .when(F.col("stattest") == "wasserstein", F.col("drift_score") >= opts.num_threshold)
-               .otherwise(F.col("drift_score") >= opts.cat_threshold))
-    return out.withColumn("drift_detected", drifted)
+    out = _choose(allc, opts, size_rule)
+    return out if with_pvalues else out.drop("chi_pvalue", "z_pvalue")
 
 
 def dataset_summary(per_column: DataFrame) -> DataFrame:
@@ -209,9 +223,10 @@ def retrain_decision(share: F.Column, threshold: float, first_split: F.Column |
 
 
 def drift_report(ref: DataFrame, cur: DataFrame, numeric, categorical,
-                 opts: DriftOptions = DriftOptions(), with_pvalues: bool = True) -> DataFrame:
+                 opts: DriftOptions = DriftOptions(), with_pvalues: bool = True,
+                 size_rule: bool | None = None) -> DataFrame:
     """D2 + D7 + D8 + D9 as one row."""
-    s = dataset_summary(column_drift(ref, cur, numeric, categorical, opts, with_pvalues))
+    s = dataset_summary(column_drift(ref, cur, numeric, categorical, opts, with_pvalues, size_rule))
     train, reason = retrain_decision(F.col("share_of_drifted_columns"), opts.drift_share)
     return s.select("*", alert_level(F.col("share_of_drifted_columns"), F.col("dataset_drift"),
                                      opts.drift_share).alias("severity"),
@@ -228,13 +243,13 @@ def reference_split_id(state: DataFrame, runs: DataFrame, default: int = 1) -> i
 
 def check_drift_for_split(df: DataFrame, catalog: DataFrame, reference_split: int, current_split: int,
                           year_col: str, numeric, categorical, opts: DriftOptions = DriftOptions(),
-                          with_pvalues: bool = True) -> DataFrame:
+                          with_pvalues: bool = True, size_rule: bool | None = None) -> DataFrame:
     """Drift report of split ``current_split`` against ``reference_split``
     (both read as year-range views of ``df`` through the catalog)."""
     from tidemark.operators.splits import split_rows
     ref = split_rows(df, catalog, reference_split, year_col)
     cur = split_rows(df, catalog, current_split, year_col)
-    return drift_report(ref, cur, numeric, categorical, opts, with_pvalues) \
+    return drift_report(ref, cur, numeric, categorical, opts, with_pvalues, size_rule) \
         .withColumn("reference_split", F.lit(reference_split)).withColumn("current_split", F.lit(current_split))
 
 
@@ -246,7 +261,7 @@ def write_drift_result(per_column: DataFrame, summary: DataFrame, path: str, run
 
 def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, categorical,
                    reference_split: int = 1, opts: DriftOptions = DriftOptions(),
-                   splits=None) -> DataFrame:
+                   splits=None, size_rule: bool = False) -> DataFrame:
     """D11 for every split of the catalog in one pass (no per-split jobs).
 
     Values are counted once per (year, column, value); each count row is
@@ -259,6 +274,7 @@ def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, ca
 
     ``splits`` (optional split ids) limits the work to those splits, e.g. the
     ones an incremental job has just created; earlier splits are not redone.
+    ``size_rule``: as in ``column_drift``.
     """
     cat_rows = catalog.select("split_id", "start_year", "end_year").collect()   # one row per split
     ref = [r for r in cat_rows if r["split_id"] == reference_split]
@@ -273,6 +289,7 @@ def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, ca
     bounds = F.array(*[F.struct(F.lit(r["split_id"]).alias("s"), F.lit(r["start_year"]).alias("a"),
                                 F.lit(r["end_year"]).alias("b")) for r in cat_rows])
     n_groups = len(cat_rows)
+    p_limit = opts.small_sample_limit if size_rule else -1
 
     def counts(cols, vtype):
         long = df.select(F.col(year_col).alias("_y"), *[F.col(c).cast(vtype).alias(c) for c in cols]) \
@@ -296,21 +313,19 @@ def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, ca
         nt = numeric_tests(nvc, opts, n_groups * len(numeric))
         few = _totals(nvc).where(F.col("n_unique") <= opts.few_values).select("column_name")
         ncat = categorical_tests(nvc.join(few, "column_name", "left_semi")
-                                 .withColumn("value", F.col("value").cast("string")), opts, False,
-                                 n_groups * len(numeric)).select("column_name", "jensen_shannon")
+                                 .withColumn("value", F.col("value").cast("string")), opts, True,
+                                 n_groups * len(numeric), p_limit) \
+            .select("column_name", "jensen_shannon", "chi_pvalue", "z_pvalue")
         parts.append(nt.join(ncat, "column_name", "left").withColumn("kind", F.lit("num")))
     if categorical:
-        ct = categorical_tests(counts(categorical, "string"), opts, False, n_groups * len(categorical))
-        parts.append(ct.select("column_name", "n_unique", "jensen_shannon", F.lit("cat").alias("kind"),
-                               F.lit(None).cast("double").alias("wasserstein_norm")))
+        ct = categorical_tests(counts(categorical, "string"), opts, True, n_groups * len(categorical), p_limit)
+        parts.append(ct.select("column_name", "n_ref", "n_unique", "jensen_shannon", "chi_pvalue", "z_pvalue",
+                               F.lit("cat").alias("kind"), F.lit(None).cast("double").alias("wasserstein_norm"),
+                               F.lit(None).cast("double").alias("ks_pvalue")))
     allc = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    as_cat = (F.col("kind") == "cat") | (F.col("n_unique") <= opts.few_values)
-    score = F.when(as_cat, F.col("jensen_shannon")).otherwise(F.col("wasserstein_norm"))
-    thr = F.when(as_cat, F.lit(opts.cat_threshold)).otherwise(F.lit(opts.num_threshold))
     key = F.split(F.col("column_name"), r"\|", 2)
-    return allc.select(key[0].cast("int").alias("split_id"), key[1].alias("column_name"),
-                       F.when(as_cat, "jensenshannon").otherwise("wasserstein").alias("stattest"),
-                       score.alias("drift_score"), (score >= thr).alias("drift_detected"))
+    return _choose(allc, opts, size_rule).select(key[0].cast("int").alias("split_id"), key[1].alias("column_name"),
+                                                 "stattest", "drift_score", "drift_detected")
 
 
 def split_decisions(per_split_column: DataFrame, reference_split: int = 1,

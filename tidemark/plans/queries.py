@@ -287,7 +287,7 @@ def q_drift_columns(spark, root):
     """The default test per feature column of the encoded matrix, split 1 vs split 6."""
     enc, model = _encoded(spark, root)
     ref, cur = _ref_cur(enc)
-    per = dr.column_drift(ref, cur, _drift_cols(model), [], with_pvalues=False)
+    per = dr.column_drift(ref, cur, _drift_cols(model), [], with_pvalues=False, size_rule=True)
     return per.select("column_name", "stattest", F.round("drift_score", 6).alias("drift_score"), "drift_detected")
 
 
@@ -295,7 +295,7 @@ def q_drift_report(spark, root):
     """D2 + D7 + D8 + D9 + D11: dataset drift summary, alert level and retrain decision."""
     enc, model = _encoded(spark, root)
     ref, cur = _ref_cur(enc)
-    rep = dr.drift_report(ref, cur, _drift_cols(model), [], with_pvalues=False)
+    rep = dr.drift_report(ref, cur, _drift_cols(model), [], with_pvalues=False, size_rule=True)
     return rep.select(F.lit(1).alias("reference_split"), F.lit(fx.YEAR_END - fx.YEAR_START + 1).alias("current_split"),
                       "number_of_columns", "number_of_drifted_columns",
                       F.round("share_of_drifted_columns", 9).alias("share_of_drifted_columns"),
@@ -308,7 +308,7 @@ def q_drift_baseline(spark, root):
     ref, _ = _ref_cur(enc)
     cut = sp.positional_cut(ref, fx.OBS_KEY, 0.8, fx.SEED)
     a, b = cut.where(F.col("first_part")), cut.where(~F.col("first_part"))
-    per = dr.column_drift(a, b, _drift_cols(model), [], with_pvalues=False)
+    per = dr.column_drift(a, b, _drift_cols(model), [], with_pvalues=False, size_rule=True)
     return per.select("column_name", "stattest", F.round("drift_score", 6).alias("drift_score"), "drift_detected")
 
 
@@ -771,7 +771,8 @@ def q_drift_all_splits(spark, root):
     split = pp.split_obs(spark, root)
     cat = _catalog(spark, root, split)
     train = split.where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END))
-    per = dr.drift_by_split(train, cat, "year", fx.OBS_NUMERIC, ["l_linestatus", "season"], 1)
+    per = dr.drift_by_split(train, cat, "year", fx.OBS_NUMERIC, ["l_linestatus", "season"], 1,
+                             size_rule=True)
     dec = dr.split_decisions(per, 1)
     return dec.select("split_id", "number_of_drifted_columns",
                       F.round("share_of_drifted_columns", 9).alias("share_of_drifted_columns"),

@@ -84,7 +84,7 @@ class SplitDecisionWriter:
         cat = sio.read_catalog(spark, self.cat_path)
         new_ids = [r["split_id"] for r in cat.where(F.col("end_year").isin(*new)).select("split_id").collect()]
         per = dr.drift_by_split(rows, cat, y_col, self.numeric, self.categorical, self.reference_split, self.opts,
-                                splits=new_ids)
+                                splits=new_ids, size_rule=True)
         dec = dr.split_decisions(per, self.reference_split, self.opts)
         out = dec.join(cat.select("split_id", "years", "end_year"), "split_id") \
             .withColumn("reference_split", F.lit(self.reference_split))
