@@ -76,8 +76,25 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import component_rows, whiten
+    return component_rows(*whiten(read_table(spark, sf_dir, "embeddings"), components=8))
+
+
+def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hard_negatives import hard_negatives
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10)
+
+
+def op13_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.bottom_k import edited_fingerprints
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_learned_partitions, op2_token_id_files, op3_toxic_segments, op4_impact_top_k, op5_source_mix, op6_kd_shards, op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger)}
+    op1_learned_partitions, op2_token_id_files, op3_toxic_segments, op4_impact_top_k, op5_source_mix, op6_kd_shards,
+    op7_token_counts, op8_covering_lsh, op9_bpe_round_trip, op10_secret_ledger, op11_block_whitening,
+    op12_segment_negatives, op13_bottom_k_fingerprints)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
@@ -90,4 +107,22 @@ s AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_segment_negatives": """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (
+      PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
