@@ -39,6 +39,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -117,9 +118,14 @@ def squared_deviation(diff: Column, n: int, dims: int, least: int, most: int) ->
 
 
 def block_matrix(rows: DataFrame, vec: str, n: int, dims: int, block_rows: int) -> BlockMatrix:
-    """Rows (row long, ``vec`` array<double>) as distributed blocks; stays in the JVM."""
+    """Rows (row long, ``vec`` array<double>) as distributed blocks, kept while they are used; stays in the JVM."""
     vectors = rows.select(F.col("row"), array_to_vector(vec).alias("vector"))
-    return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dims).toBlockMatrix(block_rows, dims)
+    blocks = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, dims).toBlockMatrix(block_rows, dims)
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def product(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -193,6 +199,8 @@ def whiten(table: DataFrame, components: int = 8, scale: int = SCALE, shift: int
         block_rows_frame(product(b, right, 1)).select((F.col("row") + F.lit(a)).alias("row"), F.col("vec").alias("whitened"))
         for b, a, _ in parts))
     out = cut_lineage(at.select("row", "vec_id", "deviation").join(projected, "row"), "whiten-projected")
+    for b, _, _ in parts:
+        release(b)
     return out.select("vec_id", F.lit(n).cast("long").alias("n"), "deviation", "whitened",
                       F.lit(identity_error(out, model)).alias("identity_error")), model
 
