@@ -51,6 +51,7 @@ class _Stop(Exception):
 def test_model_queries_fit_the_reference_configuration(spark, monkeypatch, name):
     """Every registered model query fits the reference's 200 trees of depth 9."""
     from tidemark.operators import model as ml
+    from tidemark.sources.artefacts import ModelStore
     seen = []
 
     def fit(train, feature_cols, label, **overrides):
@@ -59,6 +60,7 @@ def test_model_queries_fit_the_reference_configuration(spark, monkeypatch, name)
         raise _Stop
 
     monkeypatch.setattr(ml, "fit", fit)
+    monkeypatch.setattr(ModelStore, "find", lambda self, key: None)      # as if nothing had been fitted before
     with pytest.raises(_Stop):
         E.queries()[name](spark, SF)
     assert seen == [ml.REFERENCE_GBT] and (seen[0]["maxIter"], seen[0]["maxDepth"]) == (200, 9)

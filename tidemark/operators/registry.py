@@ -13,11 +13,26 @@ place, so concurrent writers only append.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.sources.io import missing_path
+
+RUN_SCHEMA = T.StructType([
+    T.StructField("model_name", T.StringType()),
+    T.StructField("version", T.IntegerType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("params", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("texts", T.MapType(T.StringType(), T.StringType())),
+])
 EVENT_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()),
     T.StructField("version", T.IntegerType()),
@@ -25,6 +40,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("stage", T.StringType()),
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
 ])
+
+
 def _empty_tags():
     return F.create_map().cast("map<string,string>")
 
@@ -63,15 +80,20 @@ def champion_challenger(runs: DataFrame, metric: str = "f1_score") -> DataFrame:
                      F.max_by("version", F.struct(F.col("_m"), -F.col("version"))).over(w))
     prev = F.col("production_metric_before")
     r = r.withColumn("is_better", prev.isNull() | (F.col("_m") > prev))
-    r = r.withColumn("improvement_pct", F.when(prev.isNull(), F.lit(None).cast("double"))
-                     .when(prev > 0, (F.col("_m") - prev) / prev * 100).otherwise(F.lit(100.0)))
-    return r.drop("_m")
+    return r.withColumn("improvement_pct", improvement(prev, F.col("_m"))).drop("_m")
+
+
+def improvement(before: F.Column, after: F.Column) -> F.Column:
+    """M4: gain over production in percent (100 if production's metric is not positive, NULL without one)."""
+    return F.when(before.isNull(), F.lit(None).cast("double")) \
+        .when(before > 0, (after - before) / before * 100).otherwise(F.lit(100.0))
 
 
-def promotion_events(decisions: DataFrame, tag_cols: dict | None = None) -> DataFrame:
+def promotion_events(decisions: DataFrame, tag_cols: dict | None = None, first_seq: int | None = None) -> DataFrame:
     """Register (stage None, tags), then -- if better -- archive the old
-    production version and promote the new one.  Three seq slots per version."""
-    base = F.col("version").cast("long") * 3
+    production version and promote the new one.  Three seq slots per version,
+    from ``first_seq`` for a single new version of an existing registry."""
+    base = F.col("version").cast("long") * 3 if first_seq is None else F.lit(int(first_seq)).cast("long")
     tags = [F.lit("is_production"), F.lit("False")]
     for k, c in (tag_cols or {}).items():
         tags = [F.lit(k), c.cast("string")] + tags
@@ -112,8 +134,9 @@ def production_model(state: DataFrame, runs: DataFrame) -> DataFrame:
     return prod.join(runs, on=["model_name", "version"])
 
 
-def archive_all(state: DataFrame, as_of: F.Column, start_seq: F.Column) -> DataFrame:
-    """Archive every version and tag it.
+def archive_all(state: DataFrame, as_of: F.Column, start_seq: F.Column | None = None) -> DataFrame:
+    """Archive every version and tag it, numbered after the registry's last event
+    (or after ``start_seq``), so archiving can be repeated.
 
     Versions not yet archived get stage Archived with ``archived`` and
     ``archived_at`` overwriting; versions already archived only get the
@@ -121,6 +144,8 @@ def archive_all(state: DataFrame, as_of: F.Column, start_seq: F.Column) -> DataF
     winning, i.e. ``map_concat(new, old)``.
     """
     new = F.create_map(F.lit("archived"), F.lit("true"), F.lit("archived_at"), as_of.cast("string"))
+    if start_seq is None:
+        start_seq = F.coalesce(state.agg(F.max("last_seq")).scalar(), F.lit(0))
     already = F.col("stage") == "Archived"
     tags = F.when(already, F.map_concat(new, F.col("tags"))).otherwise(new)
     return state.select("model_name", "version",
@@ -141,3 +166,101 @@ def check_signature(df: DataFrame, schema_json: str) -> list:
     """R6 at scoring time: expected columns missing from ``df`` (P11 fills them)."""
     expected = [f.name for f in T.StructType.fromJson(__import__("json").loads(schema_json)).fields]
     return [c for c in expected if c not in df.columns]
+
+
+class RegistryTable:
+    """The registry's two tables on a shared file system, appended commit by commit.
+
+    ``commits/commit=<n>`` holds the runs and events of one change.  A change
+    is made from the state up to commit n, written aside and published as
+    commit n + 1 by one rename that fails if that commit exists.  A writer that
+    loses reads the new state and makes its change again, so of two promoters
+    that compared with the same champion only one is published as such.
+    (The rename is atomic on HDFS-like stores; an object store needs one with
+    conditional writes.)
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        with_commit = T.StructType([*schema.fields, T.StructField("commit", T.IntegerType())])
+        try:
+            return (self.spark.read.schema(with_commit).option("basePath", f"{self.root}/commits")
+                    .parquet(f"{self.root}/commits/commit=*/{name}"))
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise
+            return self.spark.createDataFrame([], with_commit)
+
+    def state(self) -> tuple[int, DataFrame, DataFrame]:
+        """(last commit, runs, events) as of that commit."""
+        events = self._table("events", EVENT_SCHEMA)
+        last = events.agg(F.max("commit")).first()[0] or 0
+        upto = lambda t: t.where(F.col("commit") <= last).drop("commit")
+        return last, upto(self._table("runs", RUN_SCHEMA)), upto(events)
+
+    def _publish(self, commit: int, runs: DataFrame, events: DataFrame) -> bool:
+        """Write aside, then rename; False if the commit exists already."""
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
+        for name, frame, schema in (("runs", runs, RUN_SCHEMA), ("events", events, EVENT_SCHEMA)):
+            frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]) \
+                .coalesce(1).write.parquet(f"{aside}/{name}")
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        path = jvm.org.apache.hadoop.fs.Path
+        store = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        store.mkdirs(path(f"{self.root}/commits"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self.spark._jsc.hadoopConfiguration())
+        plain = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(path(aside), path(f"{self.root}/commits/commit={commit}"), plain)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def change(self, make: Callable[[int, DataFrame, DataFrame], tuple[DataFrame, DataFrame]], attempts: int = 20) -> int:
+        """Publish ``make(next seq, runs, events)`` (new runs, new events); returns the commit number."""
+        for _ in range(attempts):
+            last, runs, events = self.state()
+            seq = (events.agg(F.max("seq")).first()[0] or 0) + 1
+            if self._publish(last + 1, *make(seq, runs, events)):
+                return last + 1
+        raise RuntimeError(f"registry {self.root}: lost {attempts} races in a row")
+
+    def register(self, run: DataFrame, metric: str = "f1_score", tag_cols: dict | None = None) -> int:
+        """R1 + M4 + R3 for one run (one row: model_name, params, metrics, texts).
+
+        The version is the model's largest plus one; the run is promoted, and the
+        production version archived, iff ``metrics[metric]`` is strictly greater than
+        production's (or there is none).  The comparison is logged with the run."""
+        def make(seq, runs, events):
+            name = run.first()["model_name"]
+            mine = runs.where(F.col("model_name") == name)
+            version = (mine.agg(F.max("version")).first()[0] or 0) + 1
+            champion = production_model(current_state(events), mine).select(
+                "version", F.col("metrics")[metric].alias("value")).first()
+            new = (run.withColumn("version", F.lit(version))
+                   .withColumn("run_id", F.format_string("run_%s_%02d", "model_name", "version")))
+            before = champion["value"] if champion else None
+            value = F.col("metrics")[metric]
+            compared = (new.withColumn("production_metric_before", F.lit(before).cast("double"))
+                        .withColumn("production_version_before", F.lit(champion["version"] if champion else None).cast("int"))
+                        .withColumn("is_better", F.lit(champion is None) | (value > F.lit(before)))
+                        .withColumn("improvement_pct", improvement(F.lit(before).cast("double"), value)))
+            logged = F.create_map(F.lit("is_better"), F.col("is_better").cast("string"),
+                                  F.lit("production_version_before"), F.col("production_version_before").cast("string"))
+            out = compared.withColumn("params", F.map_concat(F.col("params"), logged)).withColumn(
+                "metrics", F.map_concat("metrics", F.map_filter(
+                    F.create_map(F.lit("improvement_pct"), F.col("improvement_pct"),
+                                 F.lit("production_metric_before"), F.col("production_metric_before")),
+                    lambda _, v: v.isNotNull())))
+            return out, promotion_events(compared, tag_cols, seq)
+
+        return self.change(make)
+
+    def archive_all(self, as_of: F.Column) -> int:
+        """R4 on the table."""
+        return self.change(lambda seq, runs, events: (
+            runs.limit(0), archive_all(current_state(events), as_of, F.lit(seq - 1))))

@@ -380,6 +380,10 @@ ORACLES.update({
     "registry_promotions": _REG + """
 SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score,
        round(prev, 9) AS production_f1_before, is_better, round(imp, 6) AS improvement_pct, final_stage FROM st""",
+    "registry_lifecycle": _REG + """
+SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score,
+       round(prev, 9) AS production_f1_before, is_better, round(imp, 6) AS improvement_pct, final_stage,
+       CASE WHEN final_stage = 'Production' THEN 'True' ELSE 'False' END AS tag_is_production FROM st""",
     "production_model": _REG + """
 SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score, accuracy, precision,
        recall, round(auc_raw, 9) AS roc_auc, f1_raw < 0.6 AS f1_alert FROM st WHERE final_stage = 'Production'""",

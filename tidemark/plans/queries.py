@@ -369,7 +369,7 @@ def q_registry_archive_all(spark, root):
     runs, _, events = _registry(spark, root)
     state = rg.current_state(events)
     as_of = F.date_format(fx.scored(spark, root).agg(F.max("o_orderdate")).scalar(), "yyyy-MM-dd'T'HH:mm:ss")
-    arch = rg.archive_all(state, as_of, F.lit(1_000_000))
+    arch = rg.archive_all(state, as_of)
     final = rg.current_state(events.unionByName(arch))
     return final.select("version", "stage", F.col("tags")["archived"].alias("tag_archived"),
                         F.col("tags")["archived_at"].alias("tag_archived_at"),
@@ -753,21 +753,49 @@ def q_stream_latency_alerts(spark, root):
     return sta.latest_runs(spark.read.parquet(base).drop("batch_id"), ALERT_HOLD_SECONDS)
 
 
+def _yearly_registry(spark, root, name="registry"):
+    """The yearly runs registered one after the other, each against the champion it meets."""
+    table = rg.RegistryTable(spark, scratch_path(spark, name))
+    runs = cut_lineage(_runs(spark, root).withColumn("texts", F.create_map().cast("map<string,string>")), "runs")
+    years = [r["year"] for r in runs.select("year").distinct().orderBy("year").collect()]
+    for y in years:                                       # one row and one commit a year
+        table.register(runs.where(F.col("year") == y).drop("year", "version", "run_id"), tag_cols={"years": F.lit(y)})
+    return table
+
+
+def q_registry_lifecycle(spark, root):
+    """R1 + M4 + R3 on the registry table: champion, challenger and archive branches, commit by commit."""
+    _, runs, events = _yearly_registry(spark, root).state()
+    state = rg.current_state(events)
+    return runs.join(state.select("model_name", "version", "stage", "tags"), ["model_name", "version"]).select(
+        "version", "run_id", F.round(F.col("metrics")["f1_score"], 9).alias("f1_score"),
+        F.round(F.col("metrics")["production_metric_before"], 9).alias("production_f1_before"),
+        (F.col("params")["is_better"] == "true").alias("is_better"),
+        F.round(F.col("metrics")["improvement_pct"], 6).alias("improvement_pct"), F.col("stage").alias("final_stage"),
+        F.col("tags")["is_production"].alias("tag_is_production"))
+
+
 def q_train_and_promote(spark, root):
-    """M5: split 3 -> oversample -> fit -> score test -> metrics -> compare -> register/promote."""
+    """M5: split 3 -> oversample -> fit -> score test -> metrics -> compare with the registry's champion -> promote."""
     from tidemark.plans.training import train_and_promote
     split, _, model = _fitted(spark, root)
-    enc = model.transform(split)
     cat = _catalog(spark, root, split)
-    train = sp.split_rows(enc.where(~F.col("is_test")), cat, 3, "year")
-    res = train_and_promote(train, enc.where(F.col("is_test")), _feature_cols(model), fx.OBS_LABEL, 3,
-                            MODEL_NAME, None, None, oversample=True)
-    state = rg.current_state(res["events"])
-    return res["run"].join(state, ["model_name", "version"]).select(
-        "version", "run_id", F.col("params")["split_id"].alias("split_id"),
+    raw = sp.split_rows(split.where(~F.col("is_test")), cat, 3, "year")
+    entry = cat.where(F.col("split_id") == 3).first()
+    table = _yearly_registry(spark, root, "registry-training")
+    logged = {"split_id": 3, "split_name": entry["split_name"], "start_year": entry["start_year"], "end_year": entry["end_year"]}
+    res = train_and_promote(model.transform(raw), model.transform(split.where(F.col("is_test"))), _feature_cols(model),
+                            fx.OBS_LABEL, logged, MODEL_NAME, table, fx.OBS_KEY, identity=raw)
+    last, runs, events = table.state()
+    new = runs.join(rg.current_state(events), ["model_name", "version"]).where(
+        F.col("version") == F.lit(res["commit"]))
+    return new.select(
+        "version", "run_id", F.col("params")["split_id"].alias("split_id"), F.col("params")["split_name"].alias("split_name"),
+        F.col("params")["train_samples"].alias("train_samples"), F.col("params")["is_better"].alias("is_better"),
         F.col("metrics")["f1_score"].alias("f1_score"), F.col("metrics")["roc_auc"].alias("roc_auc"), "stage")
 
 
+QUERIES["registry_lifecycle"] = q_registry_lifecycle
 QUERIES.update({
     "stream_latency_alerts": q_stream_latency_alerts,
     "train_and_promote": q_train_and_promote,
