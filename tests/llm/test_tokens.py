@@ -91,3 +91,34 @@ def test_bpe_round_trip(awkward_df, empty_df, awkward, tokenizer, library):
     row = bpe_round_trip(awkward_df.filter("doc_id = 6"), tokenizer, with_text=True).first()
     assert row["decoded"] == next(t for i, t, _ in awkward if i == 6) and len(row["ids"]) == row["n_tokens"]
     assert bpe_round_trip(empty_df, tokenizer).collect() == []
+
+
+def test_one_null_id_fills_many_tasks(spark, tokenizer, library):
+    """Half the rows have no id: the files are ranged by id and text, so no task gets all of them."""
+    from tidemark.llm.pfor import read_documents, write_ids
+    from tidemark.session import scratch_path
+    texts = fuzz(2000, 60, seed=9)
+    rows = [(None if i % 2 else i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_path(spark, "hot-ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")    # small ranges stay apart
+    try:
+        write_ids(frame, path, tokenizer, 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    nulls = [sum(d is None for r in part for d in r["doc_ids"]) for part in
+             spark.read.parquet(path).rdd.map(lambda r: (r["part"], r)).groupByKey().map(lambda kv: list(kv[1])).collect()]
+    assert sum(nulls) == 1003 and sum(n > 0 for n in nulls) >= 2
+    got = sorted((r["n_tokens"], r["ids_crc32"]) for r in read_documents(spark, path).collect())
+    ids = [[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert got == sorted((len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids)
+
+
+def test_distinct_word_table_survives_hash_collisions(tokenizer):
+    from tidemark.llm.pretoken import DistinctWordTable
+    table = DistinctWordTable(lambda w: [ord(c) for c in w])
+    table.up = table.down = np.zeros(1 << 12, np.uint64)       # every word of one length has the same hash
+    joined = "abcd" * 50 + "abce"
+    starts = np.arange(0, len(joined), 2)
+    ids, n = table.ids(table.rows(joined, starts, starts + 2))
+    assert ids.tolist() == [ord(c) for c in joined] and (n == 2).all()

@@ -22,13 +22,14 @@ The block's minimum is subtracted; ``width`` is the number of bits that
 covers the ``PERCENTILE`` of the deltas; wider deltas go whole into the
 exception list and their packed slot holds 0.
 
-Documents are range-partitioned by doc_id (nulls first) and sorted inside
-each partition, encoded and packed in one pass.  The prefix sum over the
+Documents are range-partitioned by (doc_id, hash of the text), nulls first,
+so one repeated or null doc_id may fill many tasks, and sorted inside each
+partition, encoded and packed in one pass.  The prefix sum over the
 tasks' totals is one number per task.  Nothing else reaches the driver.
 
 Defined results: null text counts as empty (the end id alone); rows that
-repeat a doc_id follow each other, ordered by text (null first); null
-doc_ids come first; an empty table gives an empty file and no rows; extra
+repeat a doc_id follow each other, ordered by a hash of the text, then the
+text; null doc_ids come first; an empty table gives an empty file and no rows; extra
 columns of the input are never read.  Memory per task: one slice of
 texts, one segment (``SEGMENT_IDS`` ids or one document if longer) and the
 word table.
@@ -61,6 +62,34 @@ def bit_widths(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
+def to_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK values as rows of bytes: ``width`` bits a value, least significant bit first.
+
+    64 values fill ``width`` words of 64 bits, so value j of each 64 has the same word and shift."""
+    groups = values.astype(np.uint64).reshape(len(values), BLOCK // 64, 64)
+    words = np.zeros((len(values), BLOCK // 64, width), "<u8")
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        words[:, :, word] |= groups[:, :, j] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, :, word + 1] |= groups[:, :, j] >> np.uint64(64 - shift)
+    return words.reshape(len(values), -1).view(np.uint8)
+
+
+def from_bits(data: np.ndarray, width: int) -> np.ndarray:
+    """The inverse of ``to_bits``."""
+    words = np.ascontiguousarray(data).view("<u8").reshape(len(data), BLOCK // 64, width)
+    out = np.empty((len(data), BLOCK // 64, 64), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        value = words[:, :, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | (words[:, :, word + 1] << np.uint64(64 - shift))
+        out[:, :, j] = value & mask
+    return out.reshape(len(data), BLOCK)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """One segment's ids as the payload described above."""
     n = len(ids)
@@ -91,8 +120,7 @@ def pack(ids: np.ndarray) -> bytes:
         rows = np.flatnonzero(width == w)
         if not w:
             continue
-        bits = (kept[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        data = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        data = to_bits(kept[rows], int(w))
         whole = rows[size[rows] == BLOCK]
         out[starts[whole, None] + HEAD.itemsize + np.arange(data.shape[1])] = data[:len(whole)]
         if len(whole) < len(rows):                    # the short last block
@@ -129,11 +157,7 @@ def unpack(payload: bytes) -> np.ndarray:
             have = (last * w + 7) // 8
             a = int(starts[blocks - 1]) + HEAD.itemsize
             pieces[-1, :have] = raw[a:a + have]
-        bits = np.unpackbits(pieces, axis=1, bitorder="little")[:, :BLOCK * w].reshape(len(rows), BLOCK, w)
-        value = np.zeros((len(rows), BLOCK), np.uint32)
-        for j in range(w):
-            value |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
-        out[rows] = value
+        out[rows] = from_bits(pieces, int(w))
     for b in np.flatnonzero(heads["exceptions"]):
         k, m = int(heads["exceptions"][b]), last if b == blocks - 1 else BLOCK
         a = int(starts[b]) + HEAD.itemsize + (m * int(width[b]) + 7) // 8
@@ -158,7 +182,6 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
         names, sizes, held, n_held, seq, first = [], [], [], 0, 0, 0
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
@@ -172,22 +195,31 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None, id
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
             for ids, off in encoder.encode(batch.column(1).to_pylist()):
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                    if n_held and n_held + b - a > SEGMENT_IDS:
+                n = len(off) - 1
+                if end_id is not None:                        # the end id after each document, in one pass
+                    ids, off = np.insert(ids, off[1:], end_id), off + np.arange(n + 1)
+                lo = 0
+                while lo < n:                                 # as many documents as the segment still takes
+                    hi = int(np.searchsorted(off, off[lo] + SEGMENT_IDS - n_held, "right")) - 1
+                    if hi <= lo and n_held:
                         yield close()
                         seq, first = seq + 1, first + n_held
                         names, sizes, held, n_held = [], [], [], 0
-                    held += [ids[a:b], tail]
-                    names.append(doc_ids[at])
-                    sizes.append(b - a + len(tail))
-                    n_held += sizes[-1]
-                    at += 1
+                        continue
+                    hi = max(hi, lo + 1)
+                    held.append(ids[off[lo]:off[hi]])
+                    names += doc_ids[at + lo:at + hi]
+                    sizes += np.diff(off[lo:hi + 1]).tolist()
+                    n_held += int(off[hi] - off[lo])
+                    lo = hi
+                at += n
         if names:
             yield close()
 
     (only(docs, id=id_col, text=text_col)
         .select(F.col("id").cast("long").alias("id"), text_or_empty().alias("text"))
-        .repartitionByRange("id").sortWithinPartitions("id", "text")
+        .withColumn("place", F.xxhash64("text"))
+        .repartitionByRange("id", "place").sortWithinPartitions("id", "place", "text").drop("place")
         .mapInArrow(segments, SEGMENTS).write.parquet(path))
 
 
