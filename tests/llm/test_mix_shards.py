@@ -84,3 +84,79 @@ def test_a_hot_group_is_split(spark):
     docs = [(i, "the same hot text " * 4, "a") for i in range(700)] + [(1000 + i, f"other text number {i} " * 4, "b") for i in range(1300)]
     rows = kd_shards(spark.createDataFrame(rows_of(docs), SCHEMA), 16).collect()
     check_shards(rows, docs, 16, 1.15)
+
+
+def identical_half():
+    """1,000 rows equal in everything with a null id, and as many distinct ones."""
+    return [(None, "one boilerplate text that fills half the table", "a")] * 1000 + [
+        (i, f"text number {i} " + "w " * (i % 11), "b") for i in range(1000)]
+
+
+def test_mix_takes_any_number_of_identical_rows(spark):
+    docs = identical_half()
+    frame = spark.createDataFrame(rows_of(docs), SCHEMA).repartition(6)
+    rows = source_mix(frame).collect()
+    assert len(rows) == 2000
+    for s in "ab":
+        mine = [r for r in rows if r["source"] == s]
+        assert sum(r["taken"] for r in mine) == pytest.approx(mine[0]["target"], rel=0.01)
+    again = source_mix(frame.repartition(3)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+    mixed = Counter((r["doc_id"], r["source"]) for r in apply_mix(frame).collect())
+    expected = Counter()
+    for r in rows:
+        expected[r["doc_id"], r["source"]] += r["copies"]
+    assert mixed == Counter({k: n for k, n in expected.items() if n})
+
+
+def test_shards_divide_identical_rows(spark):
+    docs = identical_half()
+    rows = kd_shards(spark.createDataFrame(rows_of(docs), SCHEMA).repartition(6), 16).collect()
+    check_shards(rows, docs, 16, 1.05)
+    held = Counter()
+    for r in rows:
+        held[r["shard"]] += r["size"]
+    assert min(held.values()) >= 0.95 * sum(held.values()) / 16
+    only = [(7, "same", "a")] * 1600
+    check_shards(kd_shards(spark.createDataFrame(rows_of(only), SCHEMA).repartition(4), 16).collect(), only, 16, 1.05)
+
+
+def brute_fill(sizes, hashes, gap):
+    """Which rows the fill takes, by walking all rows in hash order."""
+    taken, after, target = set(), -1, gap
+    order = sorted(range(len(sizes)), key=lambda i: hashes[i])
+    longest = max(sizes, default=0)
+    while True:
+        walked = [i for i in order if hashes[i] > after and sizes[i] <= longest]
+        if not walked:
+            break
+        for i in walked:
+            if sizes[i] > gap:
+                after, longest = hashes[i], int(gap)
+                break
+            taken.add(i)
+            gap -= sizes[i]
+        else:
+            break
+        if gap <= 1e-4 * target or not longest:
+            break
+    return taken, gap
+
+
+def test_mix_equals_a_walk_in_hash_order(spark):
+    from pyspark.sql import functions as F
+    from tidemark.llm.mixing import Search, narrow, taken_by_rules, RULES
+    import random
+    r = random.Random(8)
+    rows = [("s", r.randrange(1, 60), r.randrange(1 << 62)) for _ in range(900)]
+    frame = spark.createDataFrame(rows, "source string, size long, h long")
+    whole = sum(x[1] for x in rows)
+    for gap in (0.3 * whole, 0.77 * whole, 12.0):
+        search = {"s": Search(gap, gap)}
+        while search["s"].open():
+            narrow(frame, search)
+        plan = spark.createDataFrame([(search["s"].rules,)], RULES)
+        got = frame.crossJoin(plan).filter(taken_by_rules()).select("h").collect()
+        expected, left = brute_fill([x[1] for x in rows], [x[2] for x in rows], gap)
+        assert {g["h"] for g in got} == {rows[i][2] for i in expected}
+        assert search["s"].gap == pytest.approx(left)

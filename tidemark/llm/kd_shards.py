@@ -22,7 +22,8 @@ driver go one row per node and search step.
 
 Defined results: null text has size 1 (no bytes, plus 1) and the checksum
 of no bytes; null or repeated doc_ids are kept row by row (rows equal in
-doc_id and text are placed together); an empty table gives no rows; extra
+doc_id and text get an occurrence number in the row hash, so they can be
+divided like others); an empty table gives no rows; extra
 columns are never read.  Slots count from 0 without gaps in each shard, in
 hash order.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut_lineage, only, text_or_empty
+from tidemark.llm.common import apart, cut_lineage, only, text_or_empty
 
 BITS = 12
 SLACK = 0.05
@@ -65,7 +66,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.char_length(text).cast("long").alias("n_chars"),
         F.regexp_count(text, F.lit("\n")).cast("long").alias("n_lines"),
         F.coalesce(F.ascii(F.substring(text, 1, 1)), F.lit(0)).cast("long").alias("first_char"),
-        spread(F.xxhash64(text)).alias("text_hash"), spread(F.xxhash64("doc_id", text)).alias("row_hash"))
+        spread(F.xxhash64(text)).alias("text_hash"), spread(F.xxhash64("doc_id", text)).alias("row_hash"),
+        F.monotonically_increasing_id().alias("at"))
 
 
 #: Metadata dimensions of a text; any long columns that are functions of it do.
@@ -195,7 +197,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
     """doc_id, size, text_crc32, shard, slot for every row.
 
     ``target_bytes`` sets the number of leaves from the total instead."""
-    rows = cut_lineage(measured(docs, id_col, text_col), "shard-sizes")
+    rows = apart(cut_lineage(measured(docs, id_col, text_col), "shard-sizes"), "row_hash").drop("at")
     if target_bytes:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))

@@ -20,9 +20,9 @@ To the driver go one row per source and search step, never per document;
 the histogram itself stays in Spark (at most 2^BITS rows a source).
 
 Defined results: null text has size 0; null source is a source of its
-own, ordered last; null or repeated doc_ids are kept row by row, and rows
-equal in doc_id, source and text share a hash and are taken together; a
-source without words has target 0; an empty table gives no rows; extra
+own, ordered last; null or repeated doc_ids are kept row by row; rows equal
+in doc_id, source and text are told apart by an occurrence number in the
+hash, so any number of them can be taken; a source without words has target 0; an empty table gives no rows; extra
 columns are never read (``apply_mix`` keeps them).
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import WORD, cut_lineage, only, text_or_empty
+from tidemark.llm.common import WORD, apart, cut_lineage, only, text_or_empty
 
 BITS = 12
 HASH_BITS = 62
@@ -53,7 +53,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     return only(docs, doc_id=id_col, source=source_col, text=text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        row_hash("doc_id", "source", "text").alias("h"))
+        row_hash("doc_id", "source", "text").alias("h"), F.monotonically_increasing_id().alias("at"))
 
 
 def share_out(sizes: dict, weights, cap: float) -> dict:
@@ -174,9 +174,9 @@ def with_copies(rows: DataFrame, plan: list) -> DataFrame:
 def source_mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id",
                source_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words) for every row."""
-    rows = cut_lineage(sized(docs, id_col, source_col, text_col), "mix-sizes")
+    rows = apart(cut_lineage(sized(docs, id_col, source_col, text_col), "mix-sizes"), "h")
     return with_copies(rows, mix_plan(rows, weights, max_repeats)).withColumn(
-        "taken", F.col("size") * F.col("copies")).drop("h")
+        "taken", F.col("size") * F.col("copies")).drop("h", "at")
 
 
 def apply_mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, id_col: str = "doc_id",
@@ -184,12 +184,17 @@ def apply_mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, id_col:
     """The mixed corpus itself: every row of ``docs`` as often as the mix takes it.
 
     A row's copies follow from its own source, size and hash, so the texts
-    are not shuffled; the plan (one row a source) goes to them."""
-    plan = mix_plan(cut_lineage(sized(docs, id_col, source_col, text_col), "mix-sizes"), weights, max_repeats)
+    are not shuffled; the plan (one row a source) goes to them.  Only where rows
+    repeat are the texts written once with the hashes that tell them apart (of
+    rows that differ in other columns alone, any may be the ones taken)."""
+    narrow_rows = cut_lineage(sized(docs, id_col, source_col, text_col), "mix-sizes")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                         F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
     keyed = keyed.select("row", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
                          row_hash("doc_id", "source", "text").alias("h"))
-    taken = with_copies(keyed, plan).filter("copies > 0")
+    rows = apart(narrow_rows, "h")
+    if rows is not narrow_rows:
+        keyed = rows = apart(cut_lineage(keyed.withColumn("at", F.monotonically_increasing_id()), "mix-rows"), "h")
+    taken = with_copies(keyed, mix_plan(rows, weights, max_repeats)).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
