@@ -68,3 +68,44 @@ def test_positional_cut_exact(spark):
     df = spark.range(0, 1001).withColumnRenamed("id", "k")
     c = sp.positional_cut(df, ["k"], 0.8, 42)
     assert c.where("first_part").count() == 800
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flagging_does_not_shuffle_full_rows(spark):
+    from tidemark.operators import sampling as sm
+    df = spark.range(0, 5000).select(F.col("id"), (F.col("id") % 3).cast("int").alias("y"), F.repeat(F.lit("wide"), 50).alias("w"))
+    for out in (sp.stratified_split(df, "y", ["id"]), sp.positional_cut(df, ["id"]), sm.seeded_sample(df, 100, ["id"])):
+        assert "hashpartitioning" not in _plan(out) and "rangepartitioning" not in _plan(out)
+        out.collect()
+
+
+def test_hash_cuts_equal_a_full_sort(spark):
+    from tidemark.operators.ordered import hash_cuts
+    import hashlib
+    rows = [(i % 3, hashlib.md5(str(i // 2).encode()).hexdigest()) for i in range(900)]      # hashes come in pairs or more
+    rows += [(1, "7" * 32)] * 500                                                            # a hot hash
+    df = spark.createDataFrame(rows, "g int, _h string")
+    for share in (0.0, 0.01, 0.5, 0.77, 1.0, 3.0):
+        quotas = [(g, int(share * sum(r[0] == g for r in rows))) for g in range(3)]
+        for boundary in (200_000, 5):
+            got = {r[0]: r[1:] for r in hash_cuts(df, ["g"], quotas, digits=1, boundary_rows=boundary)}
+            for g, quota in quotas:
+                order = sorted(h for k, h in rows if k == g)
+                if quota:
+                    cut = order[min(quota, len(order)) - 1]
+                    assert got[g] == (cut, min(quota, len(order)) - sum(h < cut for h in order), order.count(cut))
+                else:
+                    assert g not in got
+
+
+def test_exact_sizes_with_repeated_keys(spark):
+    """A key held by most rows: the cut falls among equal hashes."""
+    df = spark.createDataFrame([(7, i % 2, i) for i in range(800)] + [(i, i % 2, i) for i in range(200)], "k long, y int, v int")
+    s = sp.stratified_split(df, "y", ["k"], 0.2, 42)
+    assert s.count() == 1000 and s.columns == ["k", "y", "v", "is_test"]
+    assert s.where("is_test").groupBy("y").count().collect() and s.where("is_test").count() == 200
+    assert sp.positional_cut(df, ["k"], 0.8).where("first_part").count() == 800
+    assert s.select("k", "y", "v").exceptAll(df).isEmpty() and df.exceptAll(s.select("k", "y", "v")).isEmpty()

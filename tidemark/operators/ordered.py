@@ -12,11 +12,12 @@ multiplicity, so a value held by a third of all rows is one row here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.joins import join_small
+from tidemark.session import cut_lineage
 
 # Distinct values per target bucket above which a quantile search refines
 # the bucket grid once more instead of sorting the bucket in one task.
@@ -49,6 +50,69 @@ def bucketed_rank(df: DataFrame, group_cols, bucket_col: str, order_cols,
     return out.withColumn(rank_col, (F.col("_offset") + F.col("_rn")).cast("long")).drop("_offset", "_rn")
 
 
+# Rows of a boundary bucket that are ordered by their whole hash.
+BOUNDARY_ROWS = 200_000
+HASH_DIGITS = 32
+
+
+def hash_cuts(hashes: DataFrame, group_cols, quotas: list, digits: int = 4, boundary_rows: int = BOUNDARY_ROWS) -> list:
+    """Per group the hash of its ``quota``-th row in hash order: [(*group, hash, taken, tied)].
+
+    ``hashes`` holds the group columns and ``_h`` (hex); ``quotas`` is [(*group, quota)].  Nested histograms:
+    rows are counted by group and hash prefix, the prefix in which the quota ends is split by ``digits`` more
+    digits, and only when it holds few rows are these counted by their whole hash.  ``taken`` of the ``tied``
+    rows with that hash are within the quota.  Groups with quota 0 (or no rows) are left out; a quota beyond
+    the group's rows cuts at its last one."""
+    g, spark = list(group_cols), hashes.sparkSession
+    kinds = hashes.select(*g).schema.fields
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "_p string", "_left long"])
+    open_ = [(*q[:-1], "", int(q[-1])) for q in quotas if q[-1] > 0]
+    length, whole = digits, False
+    while open_:
+        edges = spark.createDataFrame(open_, schema)
+        key = F.col("_h") if whole else F.substring("_h", 1, length)
+        hist = (join_small(hashes, edges, on=g, bound=len(open_)).where(F.startswith("_h", "_p"))
+                .groupBy(*g, key.alias("_b"), "_p", "_left").agg(F.count(F.lit(1)).alias("_n")))
+        upto = F.sum("_n").over(Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        last = F.lead("_b").over(Window.partitionBy(*g).orderBy("_b")).isNull()
+        hits = (hist.withColumn("_u", upto).withColumn("_last", last)
+                .where((F.col("_u") - F.col("_n") < F.col("_left")) & ((F.col("_u") >= F.col("_left")) | F.col("_last")))
+                .collect())                                    # one row per group
+        rows = [(*[r[c] for c in g], r["_b"], min(r["_left"] - (r["_u"] - r["_n"]), r["_n"]), r["_n"]) for r in hits]
+        if whole:
+            return rows
+        open_ = [r[:-1] for r in rows]
+        whole = max([r[-1] for r in rows], default=0) <= boundary_rows or length + digits >= HASH_DIGITS
+        length += digits
+    return []
+
+
+def flag_first(df: DataFrame, h: Column, group_cols, quotas: list, flag_col: str) -> DataFrame:
+    """``df`` with ``flag_col``: whether a row is among the first ``quota`` of its group in the order of ``h``.
+
+    ``h`` is a hex hash of the row's key.  The cut is found on (group, hash) alone (``hash_cuts``) and the rows
+    are then only compared with it: full-width rows are neither shuffled nor sorted.  Only rows whose
+    hash is the cut itself, and only if they repeat, are numbered.  A row whose group has no quota is dropped."""
+    g = list(group_cols) or ["_g"]
+    rows = df.withColumn("_h", h) if group_cols else df.withColumn("_h", h).withColumn("_g", F.lit(0))
+    quotas = quotas if group_cols else [(0, *q) for q in quotas]
+    cuts = hash_cuts(cut_lineage(rows.select(*g, "_h"), "hashes"), g, quotas)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*g).schema.fields)
+    at = {r[:-3]: r[-3:] for r in cuts}
+    table = df.sparkSession.createDataFrame([(*q[:-1], *at.get(tuple(q[:-1]), ("", 0, 0))) for q in quotas],
+                                            f"{kinds}, _cut string, _taken long, _tied long")
+    rows = join_small(rows, table, on=g, bound=len(quotas))
+    within = (F.col("_h") < F.col("_cut")) | ((F.col("_h") == F.col("_cut")) & (F.col("_taken") == F.col("_tied")))
+    names = [*df.columns, flag_col]
+    if all(taken == tied for *_, taken, tied in cuts):
+        return rows.withColumn(flag_col, within).select(*names)
+    shared = (F.col("_h") == F.col("_cut")) & (F.col("_taken") < F.col("_tied"))
+    tied = cut_lineage(rows.where(shared).withColumn("_at", F.monotonically_increasing_id()), "ties")
+    numbered = bucketed_rank(tied.withColumn("_task", F.shiftright("_at", 33)), g, "_task", ["_at"], "_r")
+    return (rows.where(~shared).withColumn(flag_col, within).select(*names)
+            .unionByName(numbered.withColumn(flag_col, F.col("_r") <= F.col("_taken")).select(*names)))
+
+
 def value_counts(long: DataFrame, group_cols, value_col: str) -> DataFrame:
     """Distinct non-null values per group with their multiplicity ``_c`` (map-side combined)."""
     return (long.where(F.col(value_col).isNotNull())

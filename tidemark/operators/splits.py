@@ -13,21 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.columns import split_name, split_dir_name
-from tidemark.operators.joins import join_small
-from tidemark.operators.ordered import bucketed_rank
-
-
-# Target rows per (group, hash-prefix) window partition.
-ROWS_PER_RANK_BUCKET = 1_000_000
-
-
-def hash_prefix_for(n_rows: int, target: int = ROWS_PER_RANK_BUCKET) -> int:
-    """Hex digits of the hash prefix so a rank bucket holds about ``target`` rows
-    (3 digits = 4,096 buckets at small sizes, up to 8 digits)."""
-    digits, n = 3, max(int(n_rows or 0), 1)
-    while digits < 8 and n / (16 ** digits) > target:
-        digits += 1
-    return digits
+from tidemark.operators.ordered import flag_first
 
 
 def seeded_hash(seed: int, key_cols) -> F.Column:
@@ -58,32 +44,17 @@ def class_quotas(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
 
 
 def stratified_split(df: DataFrame, label: str, key_cols, test_size: float = 0.2, seed: int = 42,
-                     flag_col: str = "is_test", hash_prefix: int | None = None) -> DataFrame:
+                     flag_col: str = "is_test") -> DataFrame:
     """exact-size stratified split, deterministic under repartitioning.
 
     Rows are ordered inside each class by ``md5(seed|key)``; the first
-    ``test_quota`` rows of a class are the test rows.  The rank is exact
-    but computed per (class, first ``hash_prefix`` hex digits of the hash),
-    so a class holding most rows is still spread over ``16**hash_prefix``
-    window partitions; by default the prefix grows with the largest class
-    (about a million rows per partition).  ``key_cols`` must identify a row (any ties are
-    broken by the key itself, so identical keys give identical rows).
-    """
-    key_cols = list(key_cols)
-    # one pruned scan (label only) sizes the quota table; both small joins
-    # below are then broadcast by that bound without further counting jobs
-    quotas = class_quotas(df, label, test_size).cache()
-    sizes = [r["n_class"] for r in quotas.select("n_class").collect()]   # one row per class
-    n_classes = len(sizes)
-    if hash_prefix is None:
-        hash_prefix = hash_prefix_for(max(sizes or [0]))
-    q = quotas.select(label, "test_quota")
-    d = (df.withColumn("_h", seeded_hash(seed, key_cols))
-           .withColumn("_hb", F.substring("_h", 1, hash_prefix)))
-    ranked = bucketed_rank(d, [label], "_hb", ["_h", *key_cols], "_r", n_groups=n_classes,
-                           n_buckets=16 ** hash_prefix)
-    out = join_small(ranked, q, on=[label], bound=n_classes)
-    return out.withColumn(flag_col, F.col("_r") <= F.col("test_quota")).drop("_h", "_hb", "_r", "test_quota")
+    ``test_quota`` rows of a class are the test rows.  The cut of each class is
+    found by nested hash-prefix histograms (``flag_first``), so rows are flagged
+    where they are.  ``key_cols`` must identify a row (rows that share a key
+    are equal for this purpose)."""
+    quotas = [(r[label], r["test_quota"]) for r in class_quotas(df, label, test_size).collect()     # one row per class
+              if r[label] is not None]
+    return flag_first(df, seeded_hash(seed, list(key_cols)), [label], quotas, flag_col)
 
 
 def year_label_counts(df: DataFrame, year_col: str, label: str, positive=1) -> DataFrame:
@@ -160,19 +131,10 @@ def next_split(catalog: DataFrame, years: DataFrame, year_col: str) -> DataFrame
 
 
 def positional_cut(df: DataFrame, key_cols, share: float = 0.8, seed: int = 42,
-                   flag_col: str = "first_part", hash_prefix: int | None = None) -> DataFrame:
+                   flag_col: str = "first_part") -> DataFrame:
     """The first ``floor(share * n)`` rows in a seeded order vs the rest.
 
     The row order is an explicit parameter (seeded hash of the key), and the
-    cut is exact: ranks come from ``bucketed_rank``, the total from a
-    scalar subquery.
-    """
-    key_cols = list(key_cols)
-    n_rows = df.count()
-    hash_prefix = hash_prefix or hash_prefix_for(n_rows)
-    d = (df.withColumn("_g", F.lit(0))
-           .withColumn("_h", seeded_hash(seed, key_cols))
-           .withColumn("_hb", F.substring("_h", 1, hash_prefix)))
-    ranked = bucketed_rank(d, ["_g"], "_hb", ["_h", *key_cols], "_r", n_groups=1, n_buckets=16 ** hash_prefix)
-    cut = F.floor(F.lit(float(n_rows)) * F.lit(float(share)))
-    return ranked.withColumn(flag_col, F.col("_r") <= cut).drop("_g", "_h", "_hb", "_r")
+    cut is exact."""
+    first = int(float(df.count()) * float(share))
+    return flag_first(df, seeded_hash(seed, list(key_cols)), [], [(first,)], flag_col)
