@@ -18,7 +18,7 @@ def test_exact_quantile_matches_numpy_with_hot_value(spark):
     vals = np.concatenate([rng.normal(size=4000), np.full(2000, 0.25), rng.exponential(size=300) * 50])
     df = spark.createDataFrame([(float(v),) for v in vals], "value double").withColumn("g", F.lit("a"))
     for q in (0.5, 0.9, 0.01):
-        got = exact_quantiles(df, ["g"], "value", q, n_buckets=16, refine_above=50).first()["value"]
+        got = exact_quantiles(df, ["g"], "value", q, ranges=16).first()["value"]
         assert got == pytest.approx(float(np.quantile(vals, q)), rel=1e-12, abs=1e-12)
 
 

@@ -30,7 +30,6 @@ from tidemark.operators.ordered import ordered_prefix
 
 
 # Distinct values per ordered-prefix window partition at most (on average).
-ROWS_PER_BUCKET = 200_000
 
 
 @dataclass(frozen=True)
@@ -70,17 +69,11 @@ def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: in
     ``n_cols`` (number of tested columns) bounds the per-column tables, so
     they are broadcast without a counting job.
     """
-    # one pass over the value counts: totals, range and reference mean per column
+    # one pass over the value counts: totals and reference mean per column
     stats = vc.groupBy("column_name").agg(
         F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"), F.count(F.lit(1)).alias("n_unique"),
-        F.min("value").alias("_vlo"), F.max("value").alias("_vhi"),
-        (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean")).cache()
-    # buckets grow with the widest column: ~ROWS_PER_BUCKET distinct values per window partition
-    widest = stats.agg(F.max("n_unique")).first()[0] or 0
-    n_buckets = max(4096, -(-int(widest) // ROWS_PER_BUCKET))
-    d = join_small(vc, stats, on=["column_name"], bound=n_cols)
-    d = ordered_prefix(d, ["column_name"], "value", ["n_ref", "n_cur"], n_buckets=n_buckets, n_groups=n_cols,
-                       range_cols=("_vlo", "_vhi"))
+        (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"))
+    d = ordered_prefix(join_small(vc, stats, on=["column_name"], bound=n_cols), ["column_name"], "value", ["n_ref", "n_cur"])
     fr = F.col("cum_n_ref") / F.col("tot_ref")
     fc = F.col("cum_n_cur") / F.col("tot_cur")
     gap = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))

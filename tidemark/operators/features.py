@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import exact_quantiles
+from tidemark.operators.ordered import bucketed_rank, exact_quantiles, sorted_ranges
 from tidemark.session import cut_lineage
 
 # sklearn treats a scale below ten machine epsilons as zero and divides by 1.
@@ -68,13 +68,12 @@ def fit_modes(train: DataFrame, cols) -> DataFrame:
 def fit_vocabulary(train: DataFrame, cols) -> DataFrame:
     """sorted distinct values per column (long form, with 0-based position).
 
-    Any number of values: positions come from ranks inside ranges of a
-    column's values plus the sizes of the ranges before (``bucketed_rank``),
-    so no column is ordered in one task.
+    Any number of values: positions come from ranks inside sampled ranges of a
+    column's values plus the sizes of the ranges before, so no column is
+    ordered in one task, also where all values begin alike.
     """
-    from tidemark.operators.ordered import bucketed_rank
-    long = (unpivot_long(train, cols, "string").where(F.col("value").isNotNull()).distinct()
-            .withColumn("_b", F.substring("value", 1, 2)))
+    distinct = unpivot_long(train, cols, "string").where(F.col("value").isNotNull()).distinct()
+    long = sorted_ranges(distinct, ["column_name", "value"])
     return bucketed_rank(long, ["column_name"], "_b", ["value"], "_r").select(
         "column_name", "value", (F.col("_r") - 1).cast("int").alias("position"))
 

@@ -6,6 +6,10 @@ bucket is a coarse, order-preserving prefix of the sort key, and add the
 row count of all earlier buckets taken from a small per-bucket count
 table.  The result is the exact global rank, computed by many tasks.
 
+Where a bucket is not given by a hash, it is a range between sampled split
+points (``sorted_ranges``): the ranges hold similar numbers of rows whatever
+the values look like (log-normal, one far outlier, a common prefix).
+
 For quantiles the ranked rows are the *distinct values* with their
 multiplicity, so a value held by a third of all rows is one row here.
 """
@@ -19,10 +23,15 @@ from pyspark.sql.window import Window
 from tidemark.operators.joins import join_small
 from tidemark.session import cut_lineage
 
-# Distinct values per target bucket above which a quantile search refines
-# the bucket grid once more instead of sorting the bucket in one task.
-REFINE_ABOVE = 2_000_000
-DEFAULT_BUCKETS = 4096
+
+def sorted_ranges(df: DataFrame, order_cols, bucket_col: str = "_b", ranges: int | None = None) -> DataFrame:
+    """``df``, written, with ``bucket_col``: a row's range in the order of ``order_cols``.
+
+    Spark samples the rows for the split points, so ranges hold similar numbers of rows (rows that agree in
+    all order columns share one); ``ranges`` fixes their number, else it follows the shuffle settings."""
+    cols = list(order_cols)
+    dealt = df.repartitionByRange(*cols) if ranges is None else df.repartitionByRange(ranges, *cols)
+    return cut_lineage(dealt.withColumn(bucket_col, F.spark_partition_id()), "ranges")
 
 
 def bucket_offsets(df: DataFrame, group_cols, bucket_col: str, weight: str | None = None) -> DataFrame:
@@ -119,84 +128,32 @@ def value_counts(long: DataFrame, group_cols, value_col: str) -> DataFrame:
             .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_c")))
 
 
-def _equal_width_bucket(v, lo, hi, n_buckets: int):
-    width = hi - lo
-    b = F.floor((v - lo) / width * F.lit(n_buckets)).cast("long")
-    return F.when(width <= 0, F.lit(0).cast("long")).otherwise(
-        F.least(F.greatest(b, F.lit(0).cast("long")), F.lit(n_buckets - 1).cast("long")))
-
-
 def exact_quantiles(long: DataFrame, group_cols, value_col: str, q: float = 0.5,
-                    n_buckets: int = DEFAULT_BUCKETS, refine_above: int = REFINE_ABOVE,
-                    n_groups: int | None = None) -> DataFrame:
+                    ranges: int | None = None, n_groups: int | None = None) -> DataFrame:
     """Exact interpolated quantile (``percentile``/``quantile_cont`` semantics) per group.
 
     Returns ``group_cols + [value_col]``.  Work: one aggregation to distinct
-    values, a small bucket table, and a sort of only the one or two buckets
-    that contain the target ranks.  If such a bucket still holds more than
-    ``refine_above`` distinct values, the grid is refined inside it.
+    values, a count per range of them, and a sort of only the one or two ranges
+    that contain the target ranks.
     """
     g = list(group_cols)
-    vc = value_counts(long, g, value_col).cache()
-    stats = vc.groupBy(*g).agg(
-        F.sum("_c").cast("long").alias("_n"),
-        F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"))
+    vc = sorted_ranges(value_counts(long, g, value_col), [*g, value_col], ranges=ranges)
+    counts = bucket_offsets(vc, g, "_b", "_c")
+    n = counts.groupBy(*g).agg(F.sum("_bn").cast("long").alias("_n"))
     pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    stats = (stats.withColumn("_r_lo", F.floor(pos).cast("long"))
-             .withColumn("_r_hi", F.ceil(pos).cast("long"))
-             .withColumn("_frac", pos - F.floor(pos)))
-    return _search(vc, stats, g, value_col, n_buckets, refine_above, n_groups)
-
-
-def _search(vc, stats, g, value_col, n_buckets, refine_above, n_groups=None):
-    # Rows below the current window are counted in _below; the window is
-    # [_lo, _hi] inclusive and holds the target ranks.
-    win = stats.select(*g, "_lo", "_hi", "_r_lo", "_r_hi", "_frac",
-                       F.lit(0).cast("long").alias("_below"))
-    for _ in range(6):
-        if n_groups is not None and n_groups <= 200_000:
-            win, win_ok = win.cache(), True          # one row per group: bounded by construction
-        else:
-            win, win_ok = _cache_small(win)
-        cand = (vc.join(F.broadcast(win) if win_ok else win, on=g)
-                .where((F.col(value_col) >= F.col("_lo")) & (F.col(value_col) <= F.col("_hi")))
-                .withColumn("_b", _equal_width_bucket(F.col(value_col), F.col("_lo"), F.col("_hi"), n_buckets)))
-        offs = (cand.groupBy(*g, "_b").agg(F.sum("_c").cast("long").alias("_bn"),
-                                          F.count(F.lit(1)).alias("_bd"),
-                                          F.min(value_col).alias("_blo"),
-                                          F.max(value_col).alias("_bhi")))
-        w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        offs = offs.withColumn("_offset", F.coalesce(F.sum("_bn").over(w), F.lit(0)).cast("long"))
-        offs = offs.join(win.select(*g, "_r_lo", "_r_hi", "_below"), on=g)
-        start = F.col("_below") + F.col("_offset")
-        hit_lo = (F.col("_r_lo") >= start) & (F.col("_r_lo") < start + F.col("_bn"))
-        hit_hi = (F.col("_r_hi") >= start) & (F.col("_r_hi") < start + F.col("_bn"))
-        tgt = offs.where(hit_lo | hit_hi).cache()
-        crowded = tgt.where(F.col("_bd") > refine_above).limit(1).count() > 0
-        if not crowded:
-            break
-        # Narrow each group's window to its target bucket(s) and go again.
-        nw = tgt.groupBy(*g).agg(F.min("_blo").alias("_lo"), F.max("_bhi").alias("_hi"),
-                                 F.min(F.col("_below") + F.col("_offset")).alias("_below"))
-        win = nw.join(win.drop("_lo", "_hi", "_below"), on=g)
-    tgt_small = tgt.select(*g, "_b", (F.col("_below") + F.col("_offset")).alias("_start0"))
-    sel = cand.join(F.broadcast(tgt_small), on=[*g, "_b"])
-    wv = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    sel = sel.withColumn("_end", F.col("_start0") + F.sum("_c").over(wv))
-    sel = sel.withColumn("_start", F.col("_end") - F.col("_c"))
-    at = lambda r: F.max(F.when((F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end")), F.col(value_col)))
-    res = sel.groupBy(*g).agg(at("_r_lo").alias("_v_lo"), at("_r_hi").alias("_v_hi"),
-                              F.first("_frac").alias("_frac"))
+    n = n.select(*g, F.floor(pos).cast("long").alias("_r_lo"), F.ceil(pos).cast("long").alias("_r_hi"),
+                 (pos - F.floor(pos)).alias("_frac"))
+    inside = lambda r: (F.col(r) >= F.col("_offset")) & (F.col(r) < F.col("_offset") + F.col("_bn"))
+    target = join_small(counts, n, on=g, bound=n_groups).where(inside("_r_lo") | inside("_r_hi"))
+    sel = join_small(vc, target, on=[*g, "_b"], bound=None if n_groups is None else 2 * n_groups)
+    upto = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+    sel = sel.withColumn("_end", F.col("_offset") + F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    at = lambda r: F.max(F.when((F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_end")), F.col(value_col)))
+    res = sel.groupBy(*g).agg(at("_r_lo").alias("_v_lo"), at("_r_hi").alias("_v_hi"), F.first("_frac").alias("_frac"))
     return res.select(*g, (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac")).alias(value_col))
 
 
-def _cache_small(df: DataFrame, max_rows: int = 200_000):
-    df = df.cache()
-    return df, df.limit(max_rows + 1).count() <= max_rows
-
-
-def ordered_prefix(df: DataFrame, group_cols, order_col: str, measures, n_buckets: int = DEFAULT_BUCKETS,
-                   n_groups: int | None = None, range_cols: tuple | None = None) -> DataFrame:
+def ordered_prefix(df: DataFrame, group_cols, order_col: str, measures, ranges: int | None = None) -> DataFrame:
     """Inclusive running sums of ``measures`` and the next ``order_col`` value,
     per group in ``order_col`` order -- exact, without an unpartitioned window.
 
@@ -204,26 +161,16 @@ def ordered_prefix(df: DataFrame, group_cols, order_col: str, measures, n_bucket
     Adds ``cum_<m>`` for each measure and ``next_value`` (NULL on the last row).
     """
     g = list(group_cols)
-    if range_cols:                      # per-group min / max already attached by the caller
-        d = df.withColumn("_lo", F.col(range_cols[0])).withColumn("_hi", F.col(range_cols[1]))
-    elif g:
-        rng = df.groupBy(*g).agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-        d = join_small(df, rng, on=g, bound=n_groups)
-    else:
-        rng = df.agg(F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-        d = df.withColumn("_lo", rng.select("_lo").scalar()).withColumn("_hi", rng.select("_hi").scalar())
-    d = d.withColumn("_b", _equal_width_bucket(F.col(order_col).cast("double"), F.col("_lo").cast("double"),
-                                               F.col("_hi").cast("double"), n_buckets))
-    bt = d.groupBy(*g, "_b").agg(*[F.sum(m).alias(f"_bs_{m}") for m in measures],
-                                 F.min(order_col).alias("_bmin"))
-    wb = Window.partitionBy(*g).orderBy("_b")
-    prev = wb.rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*g, "_b", *[F.coalesce(F.sum(f"_bs_{m}").over(prev), F.lit(0)).alias(f"_off_{m}") for m in measures],
-                   F.lead("_bmin").over(wb).alias("_next_bmin"))
-    d = join_small(d, bt, on=[*g, "_b"], bound=None if n_groups is None else n_groups * n_buckets)
-    wi = Window.partitionBy(*g, "_b").orderBy(order_col)
-    upto = wi.rowsBetween(Window.unboundedPreceding, 0)
+    d = sorted_ranges(df, [*g, order_col], ranges=ranges)
+    sums = d.groupBy(*g, "_b").agg(*[F.sum(m).alias(f"_bs_{m}") for m in measures], F.min(order_col).alias("_bmin"))
+    by_range = Window.partitionBy(*g).orderBy("_b")
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*g, "_b", *[F.coalesce(F.sum(f"_bs_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
+                       F.lead("_bmin").over(by_range).alias("_next_bmin"))
+    d = join_small(d, sums, on=[*g, "_b"])
+    inside = Window.partitionBy(*g, "_b").orderBy(order_col)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     for m in measures:
         d = d.withColumn(f"cum_{m}", F.col(f"_off_{m}") + F.sum(m).over(upto))
-    d = d.withColumn("next_value", F.coalesce(F.lead(order_col).over(wi), F.col("_next_bmin")))
-    return d.drop("_lo", "_hi", "_b", "_next_bmin", *[f"_off_{m}" for m in measures])
+    d = d.withColumn("next_value", F.coalesce(F.lead(order_col).over(inside), F.col("_next_bmin")))
+    return d.drop("_b", "_next_bmin", *[f"_off_{m}" for m in measures])
