@@ -155,3 +155,48 @@ def test_redaction(awkward_df, awkward):
     assert got.columns == awkward_df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(
         ((i, plain_redacted(t)) for i, t, _ in awkward), key=repr)
+
+
+def test_named_ledger_scans_only_new_blobs(spark, awkward, tmp_path):
+    from tidemark.llm.secret_ledger import read_ledger, scan_with_ledger
+    path = str(tmp_path / "ledger")
+    first = spark.createDataFrame(rows_of(awkward[:30]), SCHEMA)
+    both = spark.createDataFrame(rows_of(awkward), SCHEMA)
+    _, fresh = scan_with_ledger(first, path)
+    old = {t or "" for _, t, _ in awkward[:30]}
+    assert fresh.count() == 3 * len(old)
+    found, fresh = scan_with_ledger(both, path)
+    assert fresh.count() == 3 * len({t or "" for _, t, _ in awkward} - old)
+    assert sorted(map(tuple, digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "spans", "base_sha256").collect()),
+                  key=repr) == sorted((plain_digest(i, t) for i, t, _ in awkward), key=repr)
+    _, fresh = scan_with_ledger(both, path)
+    assert fresh.count() == 0
+    fresh = read_ledger(spark, path)
+    fresh.write.mode("append").parquet(path)                                # a run that was repeated
+    assert read_ledger(spark, path).count() == 3 * len({t or "" for _, t, _ in awkward})
+
+
+def test_overlapping_spans_and_many_matches(spark):
+    texts = ["token=" + "deadbeef" * 4 + " rest", "deadbeef" * 3 + "api_key=abcdefgh tail", "é😀 secret: abcdefgh,AKIA" + "Q" * 18 + "中",
+             "AKIA" + "Z" * 20 + "AKIA" + "Y" * 20, "password=hunter22" * 3, "secret=abcdef", "x\n" * 5 + "passwd : 'zzzzzz'\n",
+             "é token=abcdef1 中" * 20_000]
+    docs = [(i, t, "a") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows_of(docs), SCHEMA)
+    found, _ = secret_findings(frame)
+    got = digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "spans", "base_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_digest(i, t) for i, t, _ in docs)
+    assert {r["doc_id"]: r["text"] for r in redact(frame, found).collect()} == {i: plain_redacted(t) for i, t, _ in docs}
+
+
+def test_work_grows_with_the_matches(spark):
+    """Twice the matches in one text take about twice the time, scan and redaction alike."""
+    import time
+    took = []
+    for n in (2_000, 40_000, 80_000):
+        frame = spark.createDataFrame([(1, "token=abcdef1 and words " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        found, _ = secret_findings(frame)
+        found.write.format("noop").mode("overwrite").save()
+        redact(frame, found).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    assert took[2] < 3 * took[1] + 5 and took[2] < 90

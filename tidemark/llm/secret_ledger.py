@@ -12,10 +12,17 @@ triples were scanned and what was found.  A run
 4. joins the findings back to every path (row) that carries the blob.
 
 Only DataFrame functions are used.  A rule's spans come from two
-expressions: the matches of its pattern and the pieces between them; the
-running sum of their lengths gives the code-point positions.  Matches
-that fail the rule's length test are dropped after matching, so the
-pattern's leftmost non-overlapping matches stay what they are.
+expressions: the matches of its pattern and the pieces between them.  Their
+lengths, in code points and in bytes, become one row a match; a running sum
+over a text's matches gives the positions, so the work grows in proportion
+to the matches.  Matches that fail the rule's length test are dropped after
+matching, so the pattern's leftmost non-overlapping matches stay what they
+are.  Redaction cuts a text at byte positions, which needs no walk over it.
+
+A ledger kept under a name (``scan_with_ledger``) is a Parquet table that
+runs append to.  Its rows follow from (blob, rule, version) alone, so a run
+that is repeated or races with another may append a row twice; readers take
+one of each.
 
 Defined results: null text counts as empty; null or repeated ids are kept
 row by row; an empty table gives an empty ledger and no rows; extra
@@ -27,10 +34,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import cut_lineage, only, text_or_empty, unused
+from tidemark.sources.io import missing_path
 
 
 @dataclass(frozen=True)
@@ -50,7 +60,9 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 
-LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
+#: start and end count code points, from_byte and to_byte bytes of the UTF-8 text; ends are exclusive.
+SPAN = "struct<start:int,end:int,from_byte:int,to_byte:int>"
+LEDGER = f"blob string, rule string, version int, spans array<{SPAN}>"
 
 
 def blob_address(text: Column) -> Column:
@@ -68,36 +80,38 @@ def _simple(rule: Rule) -> str:
     return rule.pattern
 
 
-def rule_spans(rule: Rule, text: str = "text") -> Column:
-    """All spans of one rule as array<struct<start,end>>, code points, end exclusive."""
+def rule_matches(rule: Rule, text: str = "text") -> Column:
+    """All matches of one rule's pattern in order, as array<struct<gap,size,gap_bytes,size_bytes,ok>>:
+    lengths of the piece before a match and of the match, and whether it passes the length test."""
     pattern = F.lit(_simple(rule))
     whole = F.regexp_extract_all(F.col(text), pattern, F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(F.col(text), pattern, F.lit(rule.group))
     pieces = F.split(F.col(text), _simple(rule), -1)
-    lengths = F.transform(F.arrays_zip(whole.alias("w"), tested.alias("t"), F.slice(pieces, 1, F.size(whole)).alias("p")),
-                          lambda x: F.struct(F.char_length(x["p"]).alias("gap"), F.char_length(x["w"]).alias("size"),
-                                             F.char_length(x["t"]).alias("tested")))
-    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"),
-                                                  (acc["at"] + x["gap"] + x["size"]).alias("end"),
-                                                  (x["tested"] >= rule.least).alias("ok")))).alias("out")),
-        lambda acc: F.transform(F.filter(acc["out"], lambda s: s["ok"]),
-                                lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(F.col(text).rlike(_simple(rule)), walked).otherwise(empty)
+    lengths = F.transform(
+        F.arrays_zip(whole.alias("w"), tested.alias("t"), F.slice(pieces, 1, F.size(whole)).alias("p")),
+        lambda x: F.struct(F.char_length(x["p"]).alias("gap"), F.char_length(x["w"]).alias("size"),
+                           F.octet_length(x["p"]).alias("gap_bytes"), F.octet_length(x["w"]).alias("size_bytes"),
+                           (F.char_length(x["t"]) >= rule.least).alias("ok")))
+    none = F.array().cast("array<struct<gap:int,size:int,gap_bytes:int,size_bytes:int,ok:boolean>>")
+    return F.when(F.col(text).rlike(_simple(rule)), lengths).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame, rules=BASE_RULES) -> DataFrame:
     """New ledger rows for every (blob, rule) of ``blobs`` (blob, text, todo array<string>)."""
-    spans = [F.when(F.array_contains("todo", r.name), F.struct(
-        F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), rule_spans(r).alias("spans"))) for r in rules]
-    return (blobs.select("blob", F.explode(F.array_compact(F.array(*spans))).alias("x"))
-            .select("blob", "x.rule", "x.version", "x.spans"))
+    found = [F.when(F.array_contains("todo", r.name), F.struct(
+        F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), rule_matches(r).alias("matches"))) for r in rules]
+    key = ["blob", "rule", "version"]
+    scanned = cut_lineage(blobs.select("blob", F.explode(F.array_compact(F.array(*found))).alias("x"))
+                          .select("blob", "x.rule", "x.version", "x.matches"), "matches")
+    upto = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end, to_byte = (F.sum(F.col(f"m.gap{u}") + F.col(f"m.size{u}")).over(upto).cast("int") for u in ("", "_bytes"))
+    spans = (scanned.filter(F.size("matches") > 0).select(*key, F.posexplode("matches").alias("i", "m"))
+             .select(*key, "m", end.alias("end"), to_byte.alias("to_byte"))
+             .groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("m.ok"), F.struct(
+                 (F.col("end") - F.col("m.size")).alias("start"), "end",
+                 (F.col("to_byte") - F.col("m.size_bytes")).alias("from_byte"), "to_byte")))).cast(f"array<{SPAN}>").alias("spans")))
+    none = scanned.filter(F.size("matches") == 0).select(*key, F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return spans.unionByName(none)
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules=BASE_RULES,
@@ -122,7 +136,7 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules=BA
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules=BASE_RULES, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """One row per row of ``versions``: doc_id, blob and found, an array of
-    (start, kind, rule, end) ordered by start, then the rules' listed order."""
+    (start, kind, rule, end, from_byte, to_byte) ordered by start, then the rules' listed order."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     current = F.lit(False)
     for r in rules:
@@ -130,11 +144,11 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules=BASE_RULES, i
     found = (ledger.filter(current & (F.size("spans") > 0))
              .select("blob", F.transform("spans", lambda s: F.struct(
                  s["start"].alias("start"), order[F.col("rule")].alias("kind"), F.col("rule").alias("rule"),
-                 s["end"].alias("end"))).alias("found"))
+                 s["end"].alias("end"), s["from_byte"].alias("from_byte"), s["to_byte"].alias("to_byte"))).alias("found"))
              .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found")))
     paths = (only(versions, id=id_col, text=text_col)
              .select(F.col("id").cast("long").alias("doc_id"), blob_address(text_or_empty()).alias("blob")))
-    empty = F.array().cast("array<struct<start:int,kind:int,rule:string,end:int>>")
+    empty = F.array().cast("array<struct<start:int,kind:int,rule:string,end:int,from_byte:int,to_byte:int>>")
     return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("found", empty).alias("found"))
 
 
@@ -146,6 +160,27 @@ def secret_findings(versions: DataFrame, ledger: DataFrame | None = None, rules=
     return findings_by_path(versions, after, rules, id_col, text_col), after
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The named ledger, each (blob, rule, version) once; empty if there is none yet."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        return spark.createDataFrame([], LEDGER)
+    return rows.dropDuplicates(["blob", "rule", "version"])
+
+
+def scan_with_ledger(versions: DataFrame, path: str, rules=BASE_RULES, id_col: str = "doc_id",
+                     text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(findings per path, the rows this run appended to the ledger at ``path``)."""
+    ledger = read_ledger(versions.sparkSession, path)
+    fresh = cut_lineage(update_ledger(versions, ledger, rules, text_col), "ledger")
+    known = cut_lineage(ledger.unionByName(fresh), "ledger-known")     # the table itself changes next
+    fresh.write.mode("append").parquet(path)
+    return findings_by_path(versions, known, rules, id_col, text_col), fresh
+
+
 def digest(found: DataFrame, rules=BASE_RULES) -> DataFrame:
     """Counts per rule and the joined spans of each path."""
     joined = F.concat_ws(",", F.transform("found", lambda s: F.concat_ws(
@@ -159,17 +194,21 @@ def redact(docs: DataFrame, found: DataFrame, mask: str = "[REDACTED]", text_col
     """``docs`` with every found span replaced by ``mask`` (overlapping spans by one).
 
     ``found`` gives the blob's spans; rows are matched by content address."""
-    key, blob, marks = (unused(docs, c) for c in ("key", "blob", "found"))
-    spans = found.filter(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]).select(
-        F.col("blob").alias(blob), F.col("found").alias(marks))
+    key, blob, kept, tail = (unused(docs, c) for c in ("key", "blob", "kept", "tail"))
+    spans = (found.filter(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"])
+             .select("blob", F.explode("found").alias("s")).select("blob", "s.from_byte", "s.to_byte", "s.kind"))
+    before = Window.partitionBy("blob").orderBy("from_byte", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("to_byte").over(before), F.lit(0))           # end of the masks so far
+    opens = spans.select("blob", "to_byte", "from_byte", reach.alias("reach"))
+    pieces = opens.groupBy("blob").agg(
+        F.array_sort(F.collect_list(F.when(F.col("from_byte") >= F.col("reach"), F.struct(
+            F.col("reach").alias("a"), F.col("from_byte").alias("b"))))).alias(kept), F.max("to_byte").alias(tail))
     text = F.col(f"`{text_col}`")
-    cut = F.aggregate(
-        marks, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"),
-        )).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return (docs.withColumn(key, blob_address(text_or_empty(text_col))).join(spans, F.col(key) == F.col(blob), "left")
-            .withColumn(text_col, F.when(F.col(marks).isNull(), text).otherwise(cut))
+    # the outer transform takes the bytes once; a piece is then a copy of its own bytes
+    cut = F.transform(F.array(text.cast("binary")), lambda data: F.array_join(F.concat(
+        F.transform(F.col(kept), lambda p: F.substring(data, p["a"] + 1, p["b"] - p["a"]).cast("string")),
+        F.array(F.substring(data, F.col(tail) + 1, F.octet_length(data)).cast("string"))), mask))[0]
+    return (docs.withColumn(key, blob_address(text_or_empty(text_col)))
+            .join(pieces.withColumnRenamed("blob", blob), F.col(key) == F.col(blob), "left")
+            .withColumn(text_col, F.when(F.col(kept).isNull(), text).otherwise(cut))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
