@@ -21,7 +21,8 @@ def test_every_oracle_has_a_query():
                                   "binary_metrics", "windowed_latency", "registry_promotions",
                                   # batch equals stream (T2, T3, T4) and exact kNN vs brute force
                                   "stream_windowed_latency", "stream_latency_alerts",
-                                  "stream_request_validation", "knn_neighbors", "request_validation"])
+                                  "stream_request_validation", "knn_neighbors", "request_validation",
+                                  "request_scoring", "stream_request_scoring"])
 def test_query_matches_oracle_small(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -11,7 +11,9 @@ the time span and bucket count, not on the number of requests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,17 +80,64 @@ def histogram_quantile(hist: DataFrame, q: float, by=("endpoint",), le: str = "l
     return first.select(*by, val.alias("quantile"))
 
 
+def bucket_counts(bounds, duration: str = "duration") -> list:
+    """Cumulative bucket counts as aggregate expressions (``le`` ascending, +Inf last)."""
+    return [F.count_if(F.col(duration) <= F.lit(b)) for b in bounds] + [F.count(F.lit(1))]
+
+
+def quantile_from_counts(cum: Column, bounds, q: float) -> Column:
+    """A18 on an array of cumulative counts aligned with ``bounds`` + [+Inf]."""
+    les = F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf")))
+    total = F.element_at(cum, -1)
+    rank = F.lit(float(q)) * total
+    idx = F.array_position(F.transform(cum, lambda c: c >= rank), True)   # 1-based, first hit
+    hi = F.element_at(les, idx.cast("int"))
+    prev_le = F.when(idx > 1, F.element_at(les, (idx - 1).cast("int")))
+    prev_c = F.when(idx > 1, F.element_at(cum, (idx - 1).cast("int"))).otherwise(F.lit(0))
+    n = F.element_at(cum, idx.cast("int")) - prev_c
+    lo = F.coalesce(prev_le, F.lit(0.0))
+    val = F.when(hi == F.lit(float("inf")), prev_le).when(n == 0, hi) \
+        .otherwise(lo + (hi - lo) * (rank - prev_c) / n)
+    return F.when(total > 0, val)
+
+
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def interval_seconds(text: str) -> int:
+    """Seconds of an interval such as ``"5 minutes"`` (seconds to days)."""
+    n, unit = text.split()
+    return int(n) * _UNIT_SECONDS[unit.lower().rstrip("s")]
+
+
 def windowed_latency(log: DataFrame, q: float = 0.95, window: str = "5 minutes", slide: str = "1 minute",
-                     bounds=LATENCY_BUCKETS, window_seconds: int = 300, ts: str = "ts",
+                     bounds=LATENCY_BUCKETS, window_seconds: int | None = None, ts: str = "ts",
                      duration: str = "duration") -> DataFrame:
-    """W5 + A17 + A18: per (sliding window, endpoint) request rate and histogram quantile."""
-    w = log.withColumn("window", F.window(ts, window, slide))
-    hist = latency_histogram(w, bounds, by=("window", "endpoint"), duration=duration)
-    qs = histogram_quantile(hist, q, by=("window", "endpoint"))
-    rate = w.groupBy("window", "endpoint").agg((F.count(F.lit(1)) / F.lit(float(window_seconds))).alias("rate"))
-    return rate.join(qs, on=["window", "endpoint"]).select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-        "endpoint", "rate", F.col("quantile").alias("p_quantile"))
+    """W5 + A17 + A18: per (sliding window, endpoint) request rate and histogram quantile.
+
+    The log is aggregated once, into panes (the longest interval that divides both
+    window and slide): one row of cumulative bucket counts per (pane, endpoint), combined
+    before the shuffle.  Every pane row then goes to the windows that cover it and the
+    counts are added, so what is multiplied by window / slide is pane rows, not requests.
+    Rate and quantile are read off the same counts.  Rows without a time are in no window.
+    """
+    length, step = interval_seconds(window), interval_seconds(slide)
+    if step > length:
+        raise ValueError(f"slide {slide} is longer than window {window}")
+    pane = math.gcd(length, step)
+    counts = [c.alias(f"_c{i}") for i, c in enumerate(bucket_counts(bounds, duration))]
+    panes = log.groupBy(F.window(ts, f"{pane} seconds").alias("_pane"), "endpoint").agg(*counts)
+    back = F.explode(F.array(*[F.lit(k * pane) for k in range(length // pane)]))
+    starts = panes.withColumn("_back", back).withColumn(
+        "window_start", F.col("_pane.start") - F.make_dt_interval(secs=F.col("_back").cast("decimal(18,6)")))
+    if step != pane:                                      # windows start at multiples of the slide only
+        starts = starts.where(F.window("window_start", f"{step} seconds")["start"] == F.col("window_start"))
+    sums = [F.sum(f"_c{i}") for i in range(len(counts))]
+    per = starts.groupBy("window_start", "endpoint").agg(F.array(*sums).alias("_cum"))
+    return per.select(
+        "window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(length).cast("decimal(18,6)"))).alias("window_end"),
+        "endpoint", (F.element_at("_cum", -1) / F.lit(float(window_seconds or length))).alias("rate"),
+        quantile_from_counts(F.col("_cum"), bounds, q).alias("p_quantile"))
 
 
 def _epoch_seconds(c):
@@ -139,7 +188,7 @@ def alert_islands(cond: DataFrame, step_seconds: int, hold_seconds: int, by=("en
 
 def latency_alerts(log: DataFrame, threshold: float, hold_seconds: int, q: float = 0.95,
                    window: str = "5 minutes", slide: str = "1 minute", step_seconds: int = 60,
-                   bounds=LATENCY_BUCKETS, window_seconds: int = 300) -> DataFrame:
+                   bounds=LATENCY_BUCKETS, window_seconds: int | None = None) -> DataFrame:
     """W5 + A18 + W6: p-quantile over a sliding window above ``threshold`` for ``hold_seconds``."""
     wl = windowed_latency(log, q, window, slide, bounds, window_seconds)
     cond = wl.select("endpoint", _epoch_seconds(F.col("window_end")).alias("step_ts"),

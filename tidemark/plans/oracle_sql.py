@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.plans import fixtures as fx
 from tidemark.plans.fixtures import SQL_LOG, SQL_OBS, SQL_OBS_WIDE, SQL_SCORED
 
 # The interim projection (P4-P7) in SQL.
@@ -610,3 +611,48 @@ ORACLES["stream_split_decisions"] = _t1_sql()
 
 ORACLES["drift_all_splits"] = ("SELECT split_id, number_of_drifted_columns, share_of_drifted_columns, severity, "
                                "retrain, decision_reason FROM (" + _t1_sql() + ")")
+
+
+# ------------------------------------------------------ request scoring SQL
+def _station_scoring_sql() -> str:
+    num, cat = fx.STATION_NUMERIC, fx.STATION_CATEGORICAL
+    mode = lambda c: (f"(SELECT {c} FROM station_train WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)")
+    imp = ", ".join([f"coalesce({c}, (SELECT median({c}) FROM station_train)) AS {c}" for c in num]
+                    + [f"coalesce({c}, {mode(c)}) AS {c}" for c in cat])
+    sc = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in num)
+    z = ", ".join(f"(i.{c} - m_{c}) / CASE WHEN s_{c} < {10 * 2.220446049250313e-16!r} THEN 1.0 ELSE s_{c} END AS {c}" for c in num)
+    names = ", ".join(f"CASE WHEN i.{c} <> (SELECT min({c}) FROM station_train) AND i.{c} IN (SELECT {c} FROM station_train)"
+                      f" THEN '{c}_' || i.{c} END" for c in cat)
+    scored = ", ".join(f"CASE WHEN is_valid THEN round({c}, 6) END AS {c}" for c in num)
+    return f"""WITH {fx.SQL_STATIONS},
+train_imp AS (SELECT {imp} FROM station_train),
+sc AS (SELECT {sc} FROM train_imp),
+e AS (SELECT *, CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED'
+       THEN 'malformed;missing_required;unknown_location' ELSE concat_ws(';',
+         CASE WHEN location IS NULL THEN 'missing_required' END,
+         CASE WHEN rain_today NOT IN (0, 1) THEN 'rain_today' END,
+         CASE WHEN rainfall < 0 THEN 'rainfall' END,
+         CASE WHEN min_temp >= max_temp THEN 'temp_order' END,
+         CASE WHEN wind_gust_dir NOT IN {_DIRS} THEN 'wind_gust_dir' END,
+         CASE WHEN wind_dir_9am NOT IN {_DIRS} THEN 'wind_dir_9am' END,
+         CASE WHEN wind_dir_3pm NOT IN {_DIRS} THEN 'wind_dir_3pm' END,
+         CASE WHEN NOT humidity_9am BETWEEN 0 AND 100 THEN 'humidity_9am' END,
+         CASE WHEN NOT humidity_3pm BETWEEN 0 AND 100 THEN 'humidity_3pm' END,
+         CASE WHEN wind_gust_speed < 0 THEN 'wind_gust_speed' END,
+         CASE WHEN wind_speed_9am < 0 THEN 'wind_speed_9am' END,
+         CASE WHEN wind_speed_3pm < 0 THEN 'wind_speed_3pm' END,
+         CASE WHEN location IS NULL OR location NOT IN (SELECT location FROM station_train) THEN 'unknown_location' END,
+         CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' THEN 'date' END) END AS errors
+      FROM requests),
+i AS (SELECT request_id, errors, errors = '' AS is_valid, year, rain_today, {imp} FROM e),
+zd AS (SELECT i.request_id, i.errors, i.is_valid, i.year, i.season, {z}, rain_today, concat_ws(';', {names}) AS categories FROM i, sc),
+p AS (SELECT *, 1 / (1 + exp(-(humidity_3pm - max_temp + CAST(0.5 AS DOUBLE) * rain_today))) AS prob FROM zd)
+SELECT request_id, is_valid, errors, {scored}, CASE WHEN is_valid THEN categories END AS categories,
+       CASE WHEN is_valid THEN CAST(prob > 0.5 AS INTEGER) END AS prediction, CASE WHEN is_valid THEN round(prob, 6) END AS probability,
+       CASE WHEN is_valid THEN CASE WHEN abs(prob - 0.5) > 0.3 THEN 'High' WHEN abs(prob - 0.5) > 0.15 THEN 'Medium' ELSE 'Low' END END AS confidence,
+       CASE WHEN is_valid THEN CASE WHEN prob > 0.5 THEN 'Rain Tomorrow' ELSE 'No Rain Tomorrow' END END AS label,
+       CASE WHEN is_valid THEN CAST(year AS INTEGER) END AS year, CASE WHEN is_valid THEN season END AS season
+FROM p"""
+
+
+ORACLES["request_scoring"] = ORACLES["stream_request_scoring"] = _station_scoring_sql()

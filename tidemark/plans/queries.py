@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions.columns import confidence_band
 from tidemark.operators import splits as sp
 from tidemark.plans import fixtures as fx
 from tidemark.plans import preprocess as pp
@@ -590,13 +592,72 @@ def q_gbt_test_metrics(spark, root):
     return m.select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1_score", "roc_auc")
 
 
+def _obs_request_json(spark, root, split):
+    """The test rows as JSON requests with their date, ``(value)``: year and season are derived when scoring."""
+    held_out = split.where(F.col("is_test")).select(*fx.OBS_KEY).distinct()
+    rows = fx.obs_wide(spark, root).join(held_out, fx.OBS_KEY, "left_semi")
+    fields = [c for c in OBS_REQUEST.fields.names if c != OBS_REQUEST.date]
+    date = F.date_format(fx.OBS_DATE, "yyyy-MM-dd").alias(OBS_REQUEST.date)
+    return rows.select(F.to_json(F.struct(*fields, date)).alias("value"))
+
+
+#: An observation as a scoring request.
+OBS_REQUEST = vl.Contract(
+    T.StructType([*[T.StructField(c, T.LongType()) for c in fx.OBS_KEY], *[T.StructField(c, T.DoubleType()) for c in fx.OBS_NUMERIC],
+                  *[T.StructField(c, T.StringType()) for c in [*fx.WIDE_CATEGORICAL, fx.OBS_DATE]]]),
+    required=("l_quantity", "l_extendedprice", "c_mktsegment", fx.OBS_DATE), date=fx.OBS_DATE, vocabulary="c_mktsegment",
+    rules=(("l_quantity", "l_quantity <= 0"), ("l_extendedprice", "l_extendedprice < 0"),
+           ("discount", "NOT discount BETWEEN 0 AND 1"), ("tax", "NOT tax BETWEEN 0 AND 1")),
+    blank_is_absent=("l_linestatus", "o_orderpriority"))
+OBS_LABELS = ("Not returned", "Returned")
+
+
+def _score_obs(valid, model, fitted):
+    return vl.score_requests(valid, model, _feature_cols(model), lambda x, keep: ml.score(fitted, x, keep=keep),
+                             OBS_LABELS, OBS_REQUEST, fx.OBS_KEY)
+
+
 def q_simple_scoring(spark, root):
-    """M3: requests -> validate -> derive -> fill -> encode -> align -> scale -> score -> label."""
+    """M3: JSON requests -> validate -> derive -> fill -> encode -> align -> scale -> score -> label."""
     split, _, model = _fitted(spark, root)
     fitted = _stored_gbt(spark, split, model)
-    feats = cl.align_to_schema(model.transform(_obs_requests(split)), [*fx.OBS_KEY, *_feature_cols(model)])
-    s = ml.score(fitted, feats, keep=fx.OBS_KEY)
-    return s.withColumn("label", F.when(F.col("prediction") == 1, "Returned").otherwise("Not returned"))
+    checked = vl.checked_requests(_obs_request_json(spark, root, split), vl.known_values(spark, model, "c_mktsegment"), OBS_REQUEST)
+    valid, rejected = vl.split_valid(checked)
+    return _score_obs(valid, model, fitted).unionByName(rejected.select(*fx.OBS_KEY, "errors"), allowMissingColumns=True)
+
+
+def _station_model(spark, root):
+    return ft.fit(fx.station_training(spark, root), fx.STATION_NUMERIC, fx.STATION_CATEGORICAL)
+
+
+def _score_stations(valid, model):
+    """M3's second half with a fixed linear score, so that SQL can follow it to the last digit."""
+    features = [*fx.STATION_NUMERIC, "rain_today", "year", *model.dummy_columns]
+
+    def score(x, keep):
+        z = F.col("humidity_3pm") - F.col("max_temp") + F.lit(0.5) * F.col("rain_today")
+        p = 1 / (1 + F.exp(-z))
+        ones = F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in model.dummy_columns]))
+        return x.select(*keep, *[F.round(c, 6).alias(c) for c in fx.STATION_NUMERIC], F.array_join(ones, ";").alias("categories"),
+                        (p > 0.5).cast("int").alias("prediction"), F.round(p, 6).alias("probability"),
+                        confidence_band(p).alias("confidence"))
+
+    out = vl.score_requests(valid, model, features, score, ("No Rain Tomorrow", "Rain Tomorrow"),
+                            keep=["request_id", "is_valid", "errors"])
+    return out.select("*", "inputs_used.year", "inputs_used.season").drop("inputs_used")
+
+
+def _station_columns(out):
+    return out.withColumn("errors", F.array_join("errors", ";"))
+
+
+def q_request_scoring(spark, root):
+    """M3 + P4-P6 + P14-P17 on all 18 fields: scored requests and rejects (malformed, incomplete, invalid) in one frame."""
+    model = _station_model(spark, root)
+    checked = vl.checked_requests(fx.station_requests(spark, root), vl.known_values(spark, model, "location"), keep=["request_id"])
+    valid, rejected = vl.split_valid(checked)
+    rejected = rejected.select("request_id", "is_valid", "errors")
+    return _station_columns(_score_stations(valid, model).unionByName(rejected, allowMissingColumns=True))
 
 
 QUERIES.update({
@@ -604,6 +665,7 @@ QUERIES.update({
     "request_features": q_request_features,
     "gbt_test_metrics": q_gbt_test_metrics,
     "simple_scoring": q_simple_scoring,
+    "request_scoring": q_request_scoring,
 })
 
 
@@ -818,32 +880,37 @@ def q_drift_all_splits(spark, root):
 QUERIES["drift_all_splits"] = q_drift_all_splits
 
 
+def _stream_two_sinks(spark, requests, name, vocab, contract, keep, score):
+    """T4: requests arriving as files -> M3 per micro-batch -> scored rows and rejects in two sinks, read back as one frame."""
+    landing = stc.land_files(requests, name)
+    src = spark.readStream.schema(requests.schema).parquet(landing)
+    checked = vl.checked_requests(src, vocab, contract, keep=keep)
+    base = scratch_path(spark, f"{name}-out")
+    rejects = ["is_valid", "errors", *(keep or fx.OBS_KEY)]
+    writer = sts.write_two_sinks(f"{base}/valid", f"{base}/rejected", score, rejects)
+    stc.run_available_now(
+        lambda out, ck: checked.writeStream.foreachBatch(writer).option("checkpointLocation", ck), name, spark)
+    return sts.read_two_sinks(spark, f"{base}/valid", f"{base}/rejected")
+
+
+def q_stream_request_scoring(spark, root):
+    """T4 + M3: ``request_scoring`` as a stream; the scored rows and the rejects of both sinks."""
+    model = _station_model(spark, root)
+    out = _stream_two_sinks(spark, fx.station_requests(spark, root), "station-requests",
+                            vl.known_values(spark, model, "location"), vl.STATION, ["request_id"],
+                            lambda good: _score_stations(good, model))
+    return _station_columns(out)
+
+
 def q_stream_scoring(spark, root):
-    """T4 + M3: JSON observation requests as a stream -> parse -> vocabulary check ->
-    encode with the fitted parameters -> boosted-tree score; rejects to a side sink."""
+    """T4 + M3: ``simple_scoring`` as a stream, the boosted trees applied per micro-batch; both sides."""
     split, _, model = _fitted(spark, root)
     fitted = _stored_gbt(spark, split, model)
-    cols = [c for c in split.columns if c not in ("is_test", fx.OBS_LABEL)]
-    schema = split.select(*cols).schema
-    reqs = split.where(F.col("is_test")).select(F.to_json(F.struct(*cols)).alias("value"))
-    landing = stc.land_files(reqs, "obs-requests")
-    src = spark.readStream.schema("value string").parquet(landing)
-    parsed = src.select(F.from_json("value", schema).alias("r")).select("r.*")
-    vocab = spark.createDataFrame([(v,) for v in model.vocabulary["c_mktsegment"]], "value string")
-    checked = vl.check_vocabulary(parsed, vocab, "c_mktsegment") \
-        .withColumn("is_valid", F.col("_known") & F.col("l_quantity").isNotNull()).drop("_known")
-    feats = _feature_cols(model)
-
-    def score(batch):
-        x = cl.align_to_schema(model.transform(batch.drop("is_valid")), [*fx.OBS_KEY, *feats])
-        return ml.score(fitted, x, keep=fx.OBS_KEY)
-
-    base = scratch_path(spark, "scoring-out")
-    stc.run_available_now(
-        lambda out, ck: checked.writeStream.foreachBatch(
-            sts.write_two_sinks(f"{base}/valid", f"{base}/rejected", score_fn=score))
-        .option("checkpointLocation", ck), "scoring", spark)
-    return spark.read.parquet(f"{base}/valid").drop("batch_id")
+    out = _stream_two_sinks(spark, _obs_request_json(spark, root, split), "obs-requests",
+                            vl.known_values(spark, model, "c_mktsegment"), OBS_REQUEST, [],
+                            lambda good: _score_obs(good, model, fitted))
+    return out.drop("is_valid") if "errors" in out.columns else out
 
 
 QUERIES["stream_scoring"] = q_stream_scoring
+QUERIES["stream_request_scoring"] = q_stream_request_scoring

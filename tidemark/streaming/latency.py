@@ -8,31 +8,10 @@ is emitted once the watermark passes its end.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.telemetry import LATENCY_BUCKETS
-
-
-def bucket_counts(df: DataFrame, bounds, duration: str = "duration") -> list:
-    """Cumulative bucket counts as aggregate expressions (``le`` ascending, +Inf last)."""
-    return [F.count_if(F.col(duration) <= F.lit(b)) for b in bounds] + [F.count(F.lit(1))]
-
-
-def quantile_from_counts(cum: Column, bounds, q: float) -> Column:
-    """A18 on an array of cumulative counts aligned with ``bounds`` + [+Inf]."""
-    les = F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf")))
-    total = F.element_at(cum, -1)
-    rank = F.lit(float(q)) * total
-    idx = F.array_position(F.transform(cum, lambda c: c >= rank), True)   # 1-based, first hit
-    hi = F.element_at(les, idx.cast("int"))
-    prev_le = F.when(idx > 1, F.element_at(les, (idx - 1).cast("int")))
-    prev_c = F.when(idx > 1, F.element_at(cum, (idx - 1).cast("int"))).otherwise(F.lit(0))
-    n = F.element_at(cum, idx.cast("int")) - prev_c
-    lo = F.coalesce(prev_le, F.lit(0.0))
-    val = F.when(hi == F.lit(float("inf")), prev_le).when(n == 0, hi) \
-        .otherwise(lo + (hi - lo) * (rank - prev_c) / n)
-    return F.when(total > 0, val)
+from tidemark.operators.telemetry import LATENCY_BUCKETS, bucket_counts, quantile_from_counts
 
 
 def windowed_latency_stream(events: DataFrame, q: float = 0.95, window: str = "5 minutes",
@@ -40,7 +19,7 @@ def windowed_latency_stream(events: DataFrame, q: float = 0.95, window: str = "5
                             window_seconds: int = 300, ts: str = "ts", duration: str = "duration") -> DataFrame:
     """Streaming (or batch) frame: window_start, window_end, endpoint, rate, p_quantile."""
     w = events.withWatermark(ts, delay).groupBy(F.window(ts, window, slide), "endpoint")
-    agg = w.agg(F.array(*bucket_counts(events, bounds, duration)).alias("cum"))
+    agg = w.agg(F.array(*bucket_counts(bounds, duration)).alias("cum"))
     return agg.select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"),
         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "endpoint",
