@@ -134,6 +134,49 @@ def production_model(state: DataFrame, runs: DataFrame) -> DataFrame:
     return prod.join(runs, on=["model_name", "version"])
 
 
+def _held_nodes(lo, hi):
+    """The aligned power-of-two blocks ``(level, node)`` that make up ``[lo, hi)``, two a level at most."""
+    def at(level):
+        size = F.pow(F.lit(2.0), level)
+        a, b = F.ceil(lo / size).cast("long"), F.floor(hi / size).cast("long")
+        return F.array(F.when((a < b) & (a % 2 == 1), F.struct(level.alias("level"), a.alias("node"))),
+                       F.when((a < b) & (b % 2 == 1), F.struct(level.alias("level"), (b - 1).alias("node"))))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(hi + 1)).cast("int")), at)))
+
+
+def production_gauge(events: DataFrame, runs: DataFrame, metric: str = "f1_score", t: str = "event_ts") -> DataFrame:
+    """R5 input: a metric of the production model over time, as intervals
+    ``(model_name, version, start_ts, end_ts, value)``; ``end_ts`` is NULL for the open one.
+
+    ``events`` are stage events with a time ``t`` that does not fall as ``seq`` grows.  A version is in
+    production from such an event to its next stage event; of several, the highest version counts
+    (R2).  The highest version of every moment comes from equi-joins on power-of-two
+    blocks of the change points (each interval is a few blocks, each point lies in one block a
+    level), so versions that overlap for long make no pairs.  Moments without a production version have no row.
+    """
+    staged = events.where(F.col("stage").isNotNull())
+    after = Window.partitionBy("model_name", "version").orderBy("seq")
+    held = staged.select("model_name", "version", "stage", F.col(t).alias("start_ts"), F.lead(t).over(after).alias("end_ts")) \
+        .where((F.col("stage") == "Production") & (F.col("end_ts").isNull() | (F.col("end_ts") > F.col("start_ts")))).drop("stage")
+    in_order = Window.partitionBy("model_name").orderBy("at")
+    points = staged.select("model_name", F.col(t).alias("at")).distinct().withColumns({
+        "n": F.row_number().over(in_order), "next_at": F.lead("at").over(in_order),
+        "size": F.count(F.lit(1)).over(Window.partitionBy("model_name"))})
+    first = points.select("model_name", F.col("at").alias("start_ts"), F.col("n").alias("lo"), "size")
+    end = points.select("model_name", F.col("at").alias("end_ts"), F.col("n").alias("hi"))
+    spans = held.join(first, ["model_name", "start_ts"]).join(end, ["model_name", "end_ts"], "left") \
+        .withColumn("hi", F.coalesce("hi", F.col("size") + 1))
+    best = spans.select("model_name", "version", F.inline(_held_nodes(F.col("lo"), F.col("hi")))) \
+        .groupBy("model_name", "level", "node").agg(F.max("version").alias("version"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("size") + 2)).cast("int"))
+    covers = points.select("model_name", "at", "next_at", "n", F.explode(levels).alias("level")) \
+        .withColumn("node", F.floor(F.col("n") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    top = covers.join(best, ["model_name", "level", "node"]).groupBy("model_name", "at", "next_at") \
+        .agg(F.max("version").alias("version"))
+    return top.join(runs.select("model_name", "version", F.col("metrics")[metric].alias("value")), ["model_name", "version"]).select(
+        "model_name", "version", F.col("at").alias("start_ts"), F.col("next_at").alias("end_ts"), "value")
+
+
 def archive_all(state: DataFrame, as_of: F.Column, start_seq: F.Column | None = None) -> DataFrame:
     """Archive every version and tag it, numbered after the registry's last event
     (or after ``start_seq``), so archiving can be repeated.

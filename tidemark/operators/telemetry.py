@@ -3,7 +3,8 @@
 A15 average latency, A16 request totals, A17 cumulative latency
 histogram, A18 quantile from a histogram (linear interpolation inside the
 bucket), W4 instant counter rate, W5 range rate / quantile over sliding
-windows, W6 alert held for a duration (gaps and islands), P21 endpoint
+windows, W6 alert held for a duration (gaps and islands, over steps or over the
+intervals of a gauge), P21 endpoint
 allow-list.  Everything aggregates first; windows then run over the
 per-(series, bucket) or per-(series, step) rows, whose number depends on
 the time span and bucket count, not on the number of requests.
@@ -82,7 +83,7 @@ def histogram_quantile(hist: DataFrame, q: float, by=("endpoint",), le: str = "l
 
 def bucket_counts(bounds, duration: str = "duration") -> list:
     """Cumulative bucket counts as aggregate expressions (``le`` ascending, +Inf last)."""
-    return [F.count_if(F.col(duration) <= F.lit(b)) for b in bounds] + [F.count(F.lit(1))]
+    return [F.count_if(F.col(duration) <= F.lit(b)) for b in [*bounds, INF]]
 
 
 def quantile_from_counts(cum: Column, bounds, q: float) -> Column:
@@ -119,24 +120,25 @@ def windowed_latency(log: DataFrame, q: float = 0.95, window: str = "5 minutes",
     window and slide): one row of cumulative bucket counts per (pane, endpoint), combined
     before the shuffle.  Every pane row then goes to the windows that cover it and the
     counts are added, so what is multiplied by window / slide is pane rows, not requests.
-    Rate and quantile are read off the same counts.  Rows without a time are in no window.
+    Rate and quantile are read off the same counts.  Rows without a time are in no window,
+    rows without a duration count for the rate alone.
     """
     length, step = interval_seconds(window), interval_seconds(slide)
     if step > length:
         raise ValueError(f"slide {slide} is longer than window {window}")
     pane = math.gcd(length, step)
     counts = [c.alias(f"_c{i}") for i, c in enumerate(bucket_counts(bounds, duration))]
-    panes = log.groupBy(F.window(ts, f"{pane} seconds").alias("_pane"), "endpoint").agg(*counts)
+    panes = log.groupBy(F.window(ts, f"{pane} seconds").alias("_pane"), "endpoint").agg(F.count(F.lit(1)).alias("_n"), *counts)
     back = F.explode(F.array(*[F.lit(k * pane) for k in range(length // pane)]))
     starts = panes.withColumn("_back", back).withColumn(
         "window_start", F.col("_pane.start") - F.make_dt_interval(secs=F.col("_back").cast("decimal(18,6)")))
     if step != pane:                                      # windows start at multiples of the slide only
         starts = starts.where(F.window("window_start", f"{step} seconds")["start"] == F.col("window_start"))
     sums = [F.sum(f"_c{i}") for i in range(len(counts))]
-    per = starts.groupBy("window_start", "endpoint").agg(F.array(*sums).alias("_cum"))
+    per = starts.groupBy("window_start", "endpoint").agg(F.sum("_n").alias("_n"), F.array(*sums).alias("_cum"))
     return per.select(
         "window_start", (F.col("window_start") + F.make_dt_interval(secs=F.lit(length).cast("decimal(18,6)"))).alias("window_end"),
-        "endpoint", (F.element_at("_cum", -1) / F.lit(float(window_seconds or length))).alias("rate"),
+        "endpoint", (F.col("_n") / F.lit(float(window_seconds or length))).alias("rate"),
         quantile_from_counts(F.col("_cum"), bounds, q).alias("p_quantile"))
 
 
@@ -186,6 +188,31 @@ def alert_islands(cond: DataFrame, step_seconds: int, hold_seconds: int, by=("en
                              F.col("start_ts") + hold_seconds).alias("first_firing_ts"))
 
 
+def gauge_alerts(gauge: DataFrame, firing, step_seconds: int, hold_seconds: int, until: int,
+                 by=("model_name",), start: str = "start_ts", end: str = "end_ts", value: str = "value") -> DataFrame:
+    """W6 over a gauge given as intervals ``[start, end)`` in epoch seconds (``end`` NULL: still open).
+
+    The condition ``firing(value)`` is evaluated at every multiple of ``step_seconds`` up to
+    ``until``; a step with no gauge is false.  The steps inside an interval are counted, not
+    listed, so the work depends on the number of changes of the gauge only.  Each run of true
+    steps gets its start, end, lowest value and the first step at which it has held for
+    ``hold_seconds`` (NULL if it never has).
+    """
+    step = F.lit(step_seconds)
+    last = F.coalesce(F.least(F.col(end), F.lit(until + 1)), F.lit(until + 1))
+    on = gauge.withColumns({"_lo": F.ceil(F.col(start) / step), "_hi": F.ceil(last / step) - 1}) \
+        .where(firing(F.col(value)) & (F.col("_lo") <= F.col("_hi")))
+    w = Window.partitionBy(*by).orderBy("_lo")
+    broken = F.coalesce((F.lag("_hi").over(w) + 1 != F.col("_lo")).cast("int"), F.lit(0))
+    runs = on.withColumn("_new", broken).withColumn("_run", F.sum("_new").over(w)).groupBy(*by, "_run").agg(
+        (F.min("_lo") * step).alias("start_ts"), (F.max("_hi") * step).alias("end_ts"),
+        F.sum(F.col("_hi") - F.col("_lo") + 1).alias("n_steps"), F.min(value).alias("lowest_value"))
+    held = F.col("end_ts") - F.col("start_ts")
+    first = F.col("start_ts") + -(-hold_seconds // step_seconds) * step_seconds
+    return runs.select(*by, "start_ts", "end_ts", "n_steps", "lowest_value", held.alias("held_seconds"),
+                       (held >= hold_seconds).alias("fired"), F.when(held >= hold_seconds, first).alias("first_firing_ts"))
+
+
 def latency_alerts(log: DataFrame, threshold: float, hold_seconds: int, q: float = 0.95,
                    window: str = "5 minutes", slide: str = "1 minute", step_seconds: int = 60,
                    bounds=LATENCY_BUCKETS, window_seconds: int | None = None) -> DataFrame:

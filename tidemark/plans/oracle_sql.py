@@ -656,3 +656,19 @@ FROM p"""
 
 
 ORACLES["request_scoring"] = ORACLES["stream_request_scoring"] = _station_scoring_sql()
+
+ORACLES["model_quality_alerts"] = _PRED + """,
+mc AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+              count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn
+       FROM p GROUP BY 1),
+mf AS (SELECT month, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1,
+              row_number() OVER (ORDER BY month) AS v FROM mc),
+mt AS (SELECT *, (SELECT round(avg(f1), 4) FROM mf) AS thr, lag(f1) OVER (ORDER BY v) AS before,
+              coalesce(lead(month) OVER (ORDER BY v), month + 1) AS until FROM mf),
+days AS (SELECT CAST(d AS DATE) AS day, thr,
+                CASE WHEN f1 < thr AND v > 1 AND CAST(d AS DATE) >= month + 10 THEN before ELSE f1 END AS value
+         FROM (SELECT *, unnest(generate_series(CAST(month AS TIMESTAMP), CAST(until - 1 AS TIMESTAMP), INTERVAL 1 day)) AS d FROM mt)),
+low AS (SELECT *, (day - DATE '1970-01-01') AS k, (day - DATE '1970-01-01') - row_number() OVER (ORDER BY day) AS run FROM days WHERE value < thr),
+rr AS (SELECT CAST(min(k) * 86400 AS BIGINT) AS start_ts, CAST(max(k) * 86400 AS BIGINT) AS end_ts, count(*) AS n_steps, min(value) AS low FROM low GROUP BY run)
+SELECT start_ts, end_ts, n_steps, round(low, 9) AS lowest_value, end_ts - start_ts AS held_seconds, end_ts - start_ts >= 14 * 86400 AS fired,
+       CASE WHEN end_ts - start_ts >= 14 * 86400 THEN start_ts + 14 * 86400 END AS first_firing_ts FROM rr"""

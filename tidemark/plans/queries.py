@@ -879,6 +879,41 @@ def q_drift_all_splits(spark, root):
 
 QUERIES["drift_all_splits"] = q_drift_all_splits
 
+QUALITY_TRIAL_DAYS = 10                     # a weak month's version is rolled back after so many days
+QUALITY_HOLD_DAYS = 14
+DAY = 86_400
+
+
+def _monthly_registry(spark, root):
+    """One version a month, promoted whatever its F1; a version below the average F1 is replaced by the
+    one before after a trial.  Returns (runs, stage events with times, the average)."""
+    month = F.trunc("o_orderdate", "month")
+    m = ev.binary_metrics(_scored_pred(spark, root).withColumn("month", month), "label", "prediction", "score", group_cols=["month"])
+    runs = cut_lineage(rg.runs_from_metrics(m, "month", MODEL_NAME, param_cols=("month",)), "monthly-runs")
+    f1 = F.col("metrics")["f1_score"]
+    average = runs.agg(F.round(F.avg(f1), 4)).first()[0]
+    v, at = F.col("version"), F.unix_date("month") * F.lit(DAY).cast("long")
+    weak = (f1 < F.lit(average if average is not None else 0.0)) & (v > 1)
+    trial = at + QUALITY_TRIAL_DAYS * DAY
+    steps = [(v - 2, "Archived", at, v > 2), (v - 1, "Archived", at, v > 1), (v, "Production", at, F.lit(True)),
+             (v, "Archived", trial, weak), (v - 1, "Production", trial, weak)]
+    made = F.array_compact(F.array(*[F.when(when, F.struct(ver.cast("int").alias("version"), (v.cast("long") * 10 + i).alias("seq"),
+                                                           F.lit(stage).alias("stage"), t.alias("event_ts")))
+                                     for i, (ver, stage, t, when) in enumerate(steps)]))
+    return runs, runs.select("model_name", F.inline(made)), average
+
+
+def q_model_quality_alerts(spark, root):
+    """R5 + W6: the production model's F1 below the threshold, evaluated daily, held for two weeks."""
+    runs, events, average = _monthly_registry(spark, root)
+    last = runs.agg(F.max(F.unix_date("month"))).first()[0] or 0
+    runs_of_alert = tm.gauge_alerts(rg.production_gauge(events, runs), lambda value: value < F.lit(average).cast("double"), DAY,
+                                    QUALITY_HOLD_DAYS * DAY, last * DAY)
+    return runs_of_alert.drop("model_name").withColumn("lowest_value", F.round("lowest_value", 9))
+
+
+QUERIES["model_quality_alerts"] = q_model_quality_alerts
+
 
 def _stream_two_sinks(spark, requests, name, vocab, contract, keep, score):
     """T4: requests arriving as files -> M3 per micro-batch -> scored rows and rejects in two sinks, read back as one frame."""

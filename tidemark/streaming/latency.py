@@ -19,9 +19,9 @@ def windowed_latency_stream(events: DataFrame, q: float = 0.95, window: str = "5
                             window_seconds: int = 300, ts: str = "ts", duration: str = "duration") -> DataFrame:
     """Streaming (or batch) frame: window_start, window_end, endpoint, rate, p_quantile."""
     w = events.withWatermark(ts, delay).groupBy(F.window(ts, window, slide), "endpoint")
-    agg = w.agg(F.array(*bucket_counts(bounds, duration)).alias("cum"))
+    agg = w.agg(F.count(F.lit(1)).alias("n"), F.array(*bucket_counts(bounds, duration)).alias("cum"))
     return agg.select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"),
         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "endpoint",
-        (F.element_at("cum", -1) / F.lit(float(window_seconds))).alias("rate"),
+        (F.col("n") / F.lit(float(window_seconds))).alias("rate"),
         quantile_from_counts(F.col("cum"), bounds, q).alias("p_quantile"))
