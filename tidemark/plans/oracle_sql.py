@@ -672,3 +672,31 @@ low AS (SELECT *, (day - DATE '1970-01-01') AS k, (day - DATE '1970-01-01') - ro
 rr AS (SELECT CAST(min(k) * 86400 AS BIGINT) AS start_ts, CAST(max(k) * 86400 AS BIGINT) AS end_ts, count(*) AS n_steps, min(value) AS low FROM low GROUP BY run)
 SELECT start_ts, end_ts, n_steps, round(low, 9) AS lowest_value, end_ts - start_ts AS held_seconds, end_ts - start_ts >= 14 * 86400 AS fired,
        CASE WHEN end_ts - start_ts >= 14 * 86400 THEN start_ts + 14 * 86400 END AS first_firing_ts FROM rr"""
+
+
+# ------------------------------------------------------------- profile SQL
+def _profile_sql(src: str, key: str, top: bool = False) -> str:
+    """One row per (key, column): counts, range and moments; for texts optionally the most frequent value."""
+    rows = []
+    for c in [*_NUM, *_CAT]:
+        num = c in _NUM
+        stats = (f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, round(avg({c}), 6) AS mean_value, "
+                 f"round(stddev_samp({c}), 6) AS std_value" if num else
+                 "CAST(NULL AS DOUBLE) AS min_value, CAST(NULL AS DOUBLE) AS max_value, CAST(NULL AS DOUBLE) AS mean_value, "
+                 "CAST(NULL AS DOUBLE) AS std_value")
+        best = ("" if not top else ", CAST(NULL AS VARCHAR) AS top_value, CAST(NULL AS BIGINT) AS n_top" if num else
+                f", (SELECT {c} FROM {src} t WHERE t.{key} = g.{key} AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top_value"
+                f", (SELECT count(*) FROM {src} t WHERE t.{key} = g.{key} AND {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS n_top")
+        rows.append(f"SELECT {key}, '{c}' AS column_name, count({c}) AS n_values, count(*) - count({c}) AS n_nulls, {stats}{best} FROM {src} g GROUP BY {key}")
+    return "\nUNION ALL ".join(rows)
+
+
+ORACLES["split_profiles"] = with_split(wide=True) + _CATALOG_CTE + """,
+m AS (SELECT cat.split_id, split.* FROM split, cat WHERE NOT is_test AND split.year BETWEEN cat.start_year AND cat.end_year)
+""" + _profile_sql("m", "split_id")
+ORACLES["baseline_quality"] = with_split(wide=True) + """,
+ref AS (SELECT * FROM split WHERE NOT is_test AND year = 1995),
+cutr AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+                                      l_orderkey, l_linenumber, l_partkey, l_suppkey)
+                   <= floor(CAST(count(*) OVER () AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS first_part FROM ref)
+""" + _profile_sql("cutr", "first_part", top=True)

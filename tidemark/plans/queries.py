@@ -324,6 +324,39 @@ QUERIES.update({
 })
 
 
+PROFILE_COLUMNS = ["column_name", "n_values", "n_nulls", "min_value", "max_value"]
+
+
+def q_split_profiles(spark, root):
+    """A14 merged: sketches kept per year, merged to the profile of every cumulative split without reading rows again."""
+    split = pp.split_obs_wide(spark, root)
+    train = split.where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    yearly = cut_lineage(pf.column_sketches(train, fx.OBS_NUMERIC, FEATURE_CATEGORICAL, by=["year"]), "yearly-sketches")
+    cat = _catalog(spark, root, split).select("split_id", "start_year", "end_year")
+    member = yearly.join(F.broadcast(cat), F.col("year").between(F.col("start_year"), F.col("end_year")))   # a row a year
+    p = pf.profile_of_sketches(pf.merge_sketches(member, by=["split_id"]))
+    return p.select("split_id", *PROFILE_COLUMNS, F.round("mean_value", 6).alias("mean_value"), F.round("std_value", 6).alias("std_value"))
+
+
+def q_baseline_quality(spark, root):
+    """D10, quality half + W7: both parts of the reference split profiled, with the most frequent value of each column."""
+    split = pp.split_obs_wide(spark, root)
+    ref = split.where(~F.col("is_test") & (F.col("year") == fx.YEAR_START))
+    cut = cut_lineage(sp.positional_cut(ref, fx.OBS_KEY, 0.8, fx.SEED), "baseline-parts")
+    p = pf.profile_of_sketches(pf.column_sketches(cut, fx.OBS_NUMERIC, FEATURE_CATEGORICAL, by=["first_part"]))
+    top = pf.top_values(cut, FEATURE_CATEGORICAL, 1, by=["first_part"]).select(
+        "first_part", "column_name", F.col("value").alias("top_value"), F.col("n_rows").alias("n_top"))
+    return p.join(top, ["first_part", "column_name"], "left").select(
+        "first_part", *PROFILE_COLUMNS, F.round("mean_value", 6).alias("mean_value"), F.round("std_value", 6).alias("std_value"),
+        "top_value", "n_top")
+
+
+QUERIES.update({
+    "split_profiles": q_split_profiles,
+    "baseline_quality": q_baseline_quality,
+})
+
+
 # ------------------------------------------------------------------ registry
 from tidemark.operators import registry as rg  # noqa: E402
 
