@@ -148,3 +148,15 @@ def test_drift_columns_query_follows_the_size_rule(spark):
     import __spark_entry__ as E
     got = {r["stattest"] for r in E.queries()["drift_columns"](spark, "/root/testdata/sf0.001").collect()}
     assert got <= {"ks", "chisquare", "z"} and "ks" in got
+
+
+def test_alert_texts(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 0.01), (2, 0.02), (3, 0.0399), (1, 0.0625), (4, 0.5)], "n int, share double")
+    message, advice = dr.alert_text(F.col("n"), F.col("share"), F.col("share") > 0)
+    got = [(r[0], r[1].split(" - ")[0]) for r in df.select(message, advice).collect()]
+    assert got == [("No data drift detected", "Continue monitoring"),
+                   ("Data drift detected in 1 columns (1.0%)", "MINOR DRIFT (<2%)"),
+                   ("Data drift detected in 2 columns (2.0%)", "DRIFT DETECTED (≥2%)"),
+                   ("Data drift detected in 3 columns (4.0%)", "DRIFT DETECTED (≥2%)"),
+                   ("Data drift detected in 1 columns (6.2%)", "SEVERE DRIFT DETECTED (>4%)"),
+                   ("Data drift detected in 4 columns (50.0%)", "SEVERE DRIFT DETECTED (>4%)")]

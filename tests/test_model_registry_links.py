@@ -35,3 +35,14 @@ def test_model_search_ranks_families(spark):
     assert set(names) == {"LogisticRegression", "DecisionTreeClassifier", "RandomForestClassifier",
                           "GBTClassifier", "LinearSVC"}
     assert ranked[0][1] >= ranked[-1][1]
+
+
+def test_split_of_a_run_is_not_its_version(spark):
+    m = spark.createDataFrame([(1, 3, 0.5), (2, 3, 0.7), (3, 4, 0.6)], "at int, split_id int, f1_score double")
+    m = m.select("*", *[F.lit(0.0).alias(c) for c in ("accuracy", "precision", "recall", "roc_auc")])
+    runs = rg.runs_from_metrics(m, "at", "m", param_cols=("at",))
+    assert {r["version"]: (r["params"]["split_id"], r["params"]["at"]) for r in runs.collect()} == {
+        1: ("3", "1"), 2: ("3", "2"), 3: ("4", "3")}
+    state = rg.current_state(rg.promotion_events(rg.champion_challenger(runs)))
+    assert dr.reference_split_id(state, runs) == 3
+    assert rg.runs_from_metrics(m.drop("split_id"), "at", "m").first()["params"] == {}

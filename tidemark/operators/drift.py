@@ -202,6 +202,32 @@ def alert_level(share: F.Column, drift: F.Column, threshold: float = 0.02) -> F.
             .when(share >= threshold, "WARNING").otherwise("INFO"))
 
 
+def alert_text(n_drifted: F.Column, share: F.Column, drift: F.Column, threshold: float = 0.02) -> tuple:
+    """The alert's message and recommendation (fixed texts, percentages to one digit, ties to even)."""
+    percent = F.format_string("%.1f", F.bround(share * 100, 1))
+    low, high = f"{threshold * 100:.0f}", f"{threshold * 200:.0f}"
+    message = F.when(~drift, "No data drift detected").otherwise(
+        F.format_string("Data drift detected in %d columns (%s%%)", n_drifted, percent))
+    advice = (F.when(~drift, "Continue monitoring")
+              .when(share >= 2 * threshold, f"SEVERE DRIFT DETECTED (>{high}%) - Training triggered, immediate investigation recommended.")
+              .when(share >= threshold, f"DRIFT DETECTED (≥{low}%) - Training triggered, monitoring recommended.")
+              .otherwise(f"MINOR DRIFT (<{low}%) - Below training threshold, continue monitoring."))
+    return message, advice
+
+
+def check_against_production(df: DataFrame, catalog: DataFrame, state: DataFrame, runs: DataFrame, current_split: int,
+                             year_col: str, numeric, categorical, run_ts, opts: DriftOptions = DriftOptions(),
+                             with_pvalues: bool = True, size_rule: bool | None = None) -> DataFrame:
+    """D1 -> S3 -> D11 -> D8: the drift of ``current_split`` against the split that the registry's
+    production model was trained on (split 1 without one), with the alert's texts and ``run_ts``."""
+    reference = reference_split_id(state, runs)
+    report = check_drift_for_split(df, catalog, reference, current_split, year_col, numeric, categorical, opts,
+                                   with_pvalues, size_rule)
+    message, advice = alert_text(F.col("number_of_drifted_columns"), F.col("share_of_drifted_columns"),
+                                 F.col("dataset_drift"), opts.drift_share)
+    return report.withColumns({"message": message, "recommendation": advice, "run_ts": F.lit(run_ts)})
+
+
 def retrain_decision(share: F.Column, threshold: float, first_split: F.Column | None = None,
                      check_enabled: bool = True, check_failed: F.Column | None = None) -> tuple:
     """(train?, reason).  First split or disabled check -> train; failed

@@ -48,18 +48,20 @@ def _empty_tags():
 
 def runs_from_metrics(metrics: DataFrame, order_col: str, model_name: str,
                       metric_cols=("f1_score", "accuracy", "precision", "recall", "roc_auc"),
-                      param_cols=()) -> DataFrame:
-    """One run per metrics row; versions numbered in ``order_col`` order."""
+                      param_cols=(), split_col: str = "split_id") -> DataFrame:
+    """One run per metrics row; versions numbered in ``order_col`` order.
+
+    The split a run was trained on is logged from ``split_col``, if ``metrics`` has it
+    (it is not the version: a split can be trained on again)."""
     w = Window.partitionBy("model_name").orderBy(order_col)
     m = metrics.withColumn("model_name", F.lit(model_name))
     m = m.withColumn("version", F.row_number().over(w).cast("int"))
     metric_map = F.create_map(*[x for c in metric_cols for x in (F.lit(c), F.col(c).cast("double"))])
-    params = [F.lit("split_id"), F.col("version").cast("string")]
-    for c in param_cols:
-        params += [F.lit(c), F.col(c).cast("string")]
+    logged = [*([split_col] if split_col in metrics.columns else []), *param_cols]
+    params = [x for c in logged for x in (F.lit("split_id" if c == split_col else c), F.col(c).cast("string"))]
     return m.select("model_name", "version",
                     F.format_string("run_%s_%02d", F.lit(model_name), F.col("version")).alias("run_id"),
-                    F.create_map(*params).alias("params"), metric_map.alias("metrics"), order_col)
+                    (F.create_map(*params) if params else _empty_tags()).alias("params"), metric_map.alias("metrics"), order_col)
 
 
 def champion_challenger(runs: DataFrame, metric: str = "f1_score") -> DataFrame:

@@ -386,7 +386,8 @@ SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9
        round(prev, 9) AS production_f1_before, is_better, round(imp, 6) AS improvement_pct, final_stage,
        CASE WHEN final_stage = 'Production' THEN 'True' ELSE 'False' END AS tag_is_production FROM st""",
     "production_model": _REG + """
-SELECT version, printf('run_obs_model_%02d', version) AS run_id, round(f1_raw, 9) AS f1_score, accuracy, precision,
+SELECT version, printf('run_obs_model_%02d', version) AS run_id, CASE WHEN year BETWEEN 1995 AND 2000 THEN year - 1994 END AS split_id,
+       round(f1_raw, 9) AS f1_score, accuracy, precision,
        recall, round(auc_raw, 9) AS roc_auc, f1_raw < 0.6 AS f1_alert FROM st WHERE final_stage = 'Production'""",
     "registry_archive_all": _REG + """
 SELECT version, 'Archived' AS stage, 'true' AS tag_archived,
@@ -700,3 +701,19 @@ cutr AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', l_orderk
                                       l_orderkey, l_linenumber, l_partkey, l_suppkey)
                    <= floor(CAST(count(*) OVER () AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS first_part FROM ref)
 """ + _profile_sql("cutr", "first_part", top=True)
+
+_PRODUCTION_YEAR = ("(SELECT coalesce(max(year) FILTER (WHERE year BETWEEN 1995 AND 2000), 1995) FROM ("
+                    + _REG + "\nSELECT year FROM st WHERE final_stage = 'Production'))")
+ORACLES["production_drift_check"] = _DRIFT_COLUMNS.replace("year BETWEEN 1995 AND 1995", "year BETWEEN 1995 AND " + _PRODUCTION_YEAR, 1) + """,
+s AS (SELECT count(*) FILTER (WHERE score >= 0.1) AS n, CAST(count(*) FILTER (WHERE score >= 0.1) AS DOUBLE) / count(*) AS share FROM sel)
+SELECT CAST(""" + _PRODUCTION_YEAR + """ - 1994 AS INTEGER) AS reference_split, 6 AS current_split, n AS number_of_drifted_columns,
+       round(share, 9) AS share_of_drifted_columns,
+       CASE WHEN NOT share > 0 THEN 'OK' WHEN share >= 0.04 THEN 'CRITICAL' WHEN share >= 0.02 THEN 'WARNING' ELSE 'INFO' END AS severity,
+       CASE WHEN NOT share > 0 THEN 'No data drift detected'
+            ELSE 'Data drift detected in ' || n || ' columns (' || printf('%.1f', share * 100) || '%)' END AS message,
+       CASE WHEN NOT share > 0 THEN 'Continue monitoring'
+            WHEN share >= 0.04 THEN 'SEVERE DRIFT DETECTED (>4%) - Training triggered, immediate investigation recommended.'
+            WHEN share >= 0.02 THEN 'DRIFT DETECTED (≥2%) - Training triggered, monitoring recommended.'
+            ELSE 'MINOR DRIFT (<2%) - Below training threshold, continue monitoring.' END AS recommendation,
+       (SELECT strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') FROM orders) AS run_ts
+FROM s"""

@@ -366,6 +366,8 @@ MODEL_NAME = "obs_model"
 def _runs(spark, root):
     df = _scored_pred(spark, root).withColumn("year", F.year("o_orderdate").cast("int"))
     m = ev.binary_metrics(df, "label", "prediction", "score", group_cols=["year"])
+    # the split that ends in the run's year; a year without one logs none
+    m = m.withColumn("split_id", F.when(F.col("year").between(fx.YEAR_START, fx.YEAR_END), F.col("year") - fx.YEAR_START + 1))
     return rg.runs_from_metrics(m, "year", MODEL_NAME, param_cols=("year",))
 
 
@@ -393,7 +395,7 @@ def q_production_model(spark, root):
     runs, _, events = _registry(spark, root)
     p = rg.production_model(rg.current_state(events), runs)
     f1 = F.col("metrics")["f1_score"]
-    return p.select("version", "run_id",
+    return p.select("version", "run_id", F.col("params")["split_id"].cast("int").alias("split_id"),
                     *[F.round(F.col("metrics")[k], 9).alias(k) for k in
                       ("f1_score", "accuracy", "precision", "recall", "roc_auc")],
                     (f1 < 0.6).alias("f1_alert"))
@@ -412,7 +414,21 @@ def q_registry_archive_all(spark, root):
                         F.col("tags")["f1_score"].alias("tag_f1_score"))
 
 
+def q_production_drift_check(spark, root):
+    """D1 -> D11 -> D8: the newest split against the split of the registry's production model, with the alert's texts."""
+    runs, _, events = _registry(spark, root)
+    enc, model = _encoded(spark, root)
+    train = enc.where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    as_of = fx.scored(spark, root).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    rep = dr.check_against_production(train, _catalog(spark, root), rg.current_state(events), runs, fx.YEAR_END - fx.YEAR_START + 1,
+                                      "year", _drift_cols(model), [], as_of, with_pvalues=False, size_rule=True)
+    return rep.select("reference_split", "current_split", "number_of_drifted_columns",
+                      F.round("share_of_drifted_columns", 9).alias("share_of_drifted_columns"),
+                      "severity", "message", "recommendation", "run_ts")
+
+
 QUERIES.update({
+    "production_drift_check": q_production_drift_check,
     "registry_promotions": q_registry_promotions,
     "production_model": q_production_model,
     "registry_archive_all": q_registry_archive_all,
