@@ -717,3 +717,9 @@ SELECT CAST(""" + _PRODUCTION_YEAR + """ - 1994 AS INTEGER) AS reference_split,
             ELSE 'MINOR DRIFT (<2%) - Below training threshold, continue monitoring.' END AS recommendation,
        (SELECT strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') FROM orders) AS run_ts
 FROM s"""
+
+ORACLES["split_catalog_header"] = with_split() + """,
+t AS (SELECT * FROM split WHERE NOT is_test AND year BETWEEN 1995 AND 2000)
+SELECT count(*) AS total_train_samples, (SELECT count(*) FROM split WHERE is_test) AS test_samples, 42 AS random_state,
+       'cumulative_by_year' AS split_method, (SELECT string_agg(y, ',' ORDER BY y) FROM (SELECT DISTINCT CAST(year AS VARCHAR) AS y FROM t)) AS years_available,
+       6 AS n_features FROM t"""

@@ -546,6 +546,18 @@ def q_split_catalog_append(spark, root):
     return sio.read_catalog(spark, path)
 
 
+def q_split_catalog_header(spark, root):
+    """The catalog's header, written as a JSON table and read back."""
+    split = pp.split_obs(spark, root)
+    train = split.where(~F.col("is_test") & F.col("year").between(fx.YEAR_START, fx.YEAR_END))
+    features = [c for c in split.columns if c not in ("is_test", "year", fx.OBS_LABEL, *fx.OBS_KEY)]
+    header = sio.catalog_header(train, split.where(F.col("is_test")), "year", len(features), fx.SEED)
+    path = scratch_path(spark, "split-header")
+    sio.write_json(header, path, files=1)
+    back = sio.read_json(spark, path, header.schema)
+    return back.withColumn("years_available", F.array_join(F.col("years_available").cast("array<string>"), ","))
+
+
 def q_split_snapshot_fingerprint(spark, root):
     """S12 + S3: immutable snapshot of split 3's training rows and its content fingerprint."""
     split = pp.split_obs(spark, root)
@@ -559,6 +571,7 @@ QUERIES.update({
     "csv_roundtrip": q_csv_roundtrip,
     "params_json_roundtrip": q_params_json_roundtrip,
     "split_catalog_append": q_split_catalog_append,
+    "split_catalog_header": q_split_catalog_header,
     "split_snapshot_fingerprint": q_split_snapshot_fingerprint,
 })
 
