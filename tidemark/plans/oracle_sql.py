@@ -723,3 +723,10 @@ t AS (SELECT * FROM split WHERE NOT is_test AND year BETWEEN 1995 AND 2000)
 SELECT count(*) AS total_train_samples, (SELECT count(*) FROM split WHERE is_test) AS test_samples, 42 AS random_state,
        'cumulative_by_year' AS split_method, (SELECT string_agg(y, ',' ORDER BY y) FROM (SELECT DISTINCT CAST(year AS VARCHAR) AS y FROM t)) AS years_available,
        6 AS n_features FROM t"""
+
+ORACLES["joined_training_rows"] = with_split() + """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, l_quantity, l_extendedprice, discount, tax,
+       CAST(season = 'Summer' AS INTEGER) AS is_summer, CAST(l_linestatus = 'O' AS INTEGER) AS is_open, target FROM split WHERE NOT is_test"""
+ORACLES["drift_result_sink"] = _DRIFT_COLUMNS + """
+SELECT '2000-12-31T00:00:00' AS run_ts, column_name, stattest, round(score, 6) AS drift_score, score >= 0.1 AS drift_detected,
+       count(*) OVER () AS number_of_columns, count(*) FILTER (WHERE score >= 0.1) OVER () AS number_of_drifted_columns FROM sel"""

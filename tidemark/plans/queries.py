@@ -1011,3 +1011,32 @@ def q_stream_scoring(spark, root):
 
 QUERIES["stream_scoring"] = q_stream_scoring
 QUERIES["stream_request_scoring"] = q_stream_request_scoring
+
+
+def q_joined_training_rows(spark, root):
+    """J1 + P8 + P12: features and labels kept as separate tables, joined by row id; booleans as 0/1."""
+    train = pp.split_obs(spark, root).where(~F.col("is_test")).withColumn("row_id", F.concat_ws("-", *fx.OBS_KEY))
+    table = cl.bools_to_int(train.select("row_id", *fx.OBS_NUMERIC, (F.col("season") == "Summer").alias("is_summer"),
+                                         (F.col("l_linestatus") == "O").alias("is_open"), fx.OBS_LABEL))
+    features, label = cl.features_and_label(table, fx.OBS_LABEL)
+    x, y = cut_lineage(table.select(*features), "training-x"), cut_lineage(table.select("row_id", label), "training-y")
+    return cl.join_labels(x, y, "row_id")
+
+
+def q_drift_result_sink(spark, root):
+    """The per-column drift result and its summary appended to their tables and read back."""
+    enc, model = _encoded(spark, root)
+    ref, cur = _ref_cur(enc)
+    per = cut_lineage(dr.column_drift(ref, cur, _drift_cols(model), [], with_pvalues=False, size_rule=True), "drift-columns")
+    path = scratch_path(spark, "drift-result")
+    dr.write_drift_result(per, dr.dataset_summary(per), path, f"{fx.YEAR_END}-12-31T00:00:00")
+    total = spark.read.parquet(f"{path}/summary").select("run_ts", "number_of_columns", "number_of_drifted_columns")
+    return spark.read.parquet(f"{path}/columns").join(F.broadcast(total), "run_ts").select(
+        "run_ts", "column_name", "stattest", F.round("drift_score", 6).alias("drift_score"), "drift_detected",
+        "number_of_columns", "number_of_drifted_columns")
+
+
+QUERIES.update({
+    "joined_training_rows": q_joined_training_rows,
+    "drift_result_sink": q_drift_result_sink,
+})
