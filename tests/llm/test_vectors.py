@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tidemark.llm.ann_partitions import balanced_parts, best_rows, nearest_by_partitions, neighbour_graph
+from tidemark.llm.ann_partitions import (balanced_parts, best_rows, bins_of, fit_index, nearest_by_partitions,
+                                         neighbour_graph)
 from tidemark.llm.impact_topk import impact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, vec string, part string, qb int"
@@ -120,3 +121,42 @@ def test_best_rows_in_small_cells():
     a = best_rows(np.arange(30), x[:30], np.arange(120), x, 9, cells=200)
     b = best_rows(np.arange(30), x[:30], np.arange(120), x, 9)
     assert a.equals(b.combine_chunks()) or a.to_pylist() == b.to_pylist()
+
+
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_several_parts_and_measured_recall_at_every_size(spark, n):
+    x = clustered(n)
+    every = n // 50
+    rows = [(int(i), x[i].tolist()) for i in range(n)]
+    vectors = spark.createDataFrame(rows, "id long, vec array<double>")
+    ann = fit_index(vectors, sample_rows=4096)
+    assert ann.partitions.count > 2 and ann.held.sum() == n
+    assert ann.recall >= 0.95 and 0 < ann.visited <= 1
+    found = by_query(nearest_by_partitions(table(spark, rows), every=every, sample_rows=4096))
+    wide = x.astype(float)
+    assert set(found) == set(range(0, n, every))
+    hits = []
+    for q, v in found.items():
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20].tolist()) & {i for _, i, _ in v}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_two_levels_of_parts(spark):
+    x = clustered(2400)
+    rows = [(int(i), x[i].tolist()) for i in range(2400)] + [(5000 + i, x[20].tolist()) for i in range(400)]
+    ann = fit_index(spark.createDataFrame(rows, "id long, vec array<double>"), sample_rows=900, rows_per_part=60, fanout=8)
+    assert ann.partitions.count > 8 and max(ann.partitions.sizes) > 1 and ann.held.sum() == 2800
+    p = ann.partitions(x[:50].astype(float))
+    assert p.shape == (50, ann.partitions.count) and np.allclose(p.sum(axis=1), 1)
+    found = by_query(nearest_by_partitions(table(spark, rows), every=20, sample_rows=900, rows_per_part=60, fanout=8,
+                                           block_rows=150))
+    expected = brute(rows, 20, 20, dot)
+    assert set(found) == set(expected)
+    assert np.mean([len({i for _, i, _ in found[q]} & {i for _, i, _ in expected[q]}) / 20 for q in expected]) >= 0.9
+
+
+def test_bins_hold_neighbouring_parts():
+    first, count = bins_of(np.array([3, 4, 30, 2, 9, 0, 5]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 5, 5, 6] and count.tolist() == [1, 1, 3, 1, 1, 1, 1]
