@@ -319,24 +319,33 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, judge_rows:
         for b in batches:
             for text, y, half in zip(*(c.to_pylist() for c in b.columns)):
                 length, values = caches[half].scan(text)
-                found = [sorted((s for *_, s in found_in(values[:, k])), reverse=True)[:50] for k in range(len(SETTINGS))]
+                found = [[s for *_, s in found_in(values[:, k])] for k in range(len(SETTINGS))]
                 yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "n": pa.array([length], pa.int64()),
-                                                  "s": pa.array([found], pa.list_(pa.list_(pa.float32())))})
-
-    judged = (sample.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-              .select("text", "y", "half").mapInArrow(judge, "y int, n long, s array<array<float>>").toArrow())
-    y, length = judged.column("y").to_numpy().astype(float), judged.column("n").to_numpy().astype(float)
-    scores = judged.column("s").to_pylist()
-    best = None
-    for k, s in enumerate(SETTINGS):
-        top = np.array([x[k][0] if x[k] else 0.0 for x in scores])
-        model = Model(np.stack([weights(*counts[h], *n[h], *s) for h in (0, 1)]), *extreme_value(top[y == 0], length[y == 0]))
-        x = np.array([model.evidence(m, [(0, 0, v) for v in row[k]]) for m, row in zip(length, scores)]).reshape(-1, 3)
-        coef, loss = logistic(x, y)
-        if best is None or loss < best[0]:
-            model.coef = tuple(coef)
-            best = (loss, model)
-    return best[1]
+                                                  "s": pa.array([found], pa.list_(pa.list_(pa.float64())))})
+
+    # the segments' scores stay in a table; a maximum and three figures a row and setting come to the driver
+    judged = cut_lineage(sample.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+                         .select("text", "y", "half").mapInArrow(judge, "y int, n long, s array<array<double>>"), "toxic-judged")
+    best = judged.select("y", "n", F.transform("s", lambda x: F.coalesce(F.array_max(x), F.lit(0.0))).alias("top")).toArrow()
+    y, length = best.column("y").to_numpy(), best.column("n").to_numpy().astype(float)
+    top = np.array(best.column("top").to_pylist(), float).reshape(-1, len(SETTINGS))
+    models = [Model(np.stack([weights(*counts[h], *n[h], *s) for h in (0, 1)]), *extreme_value(top[y == 0, k], length[y == 0]))
+              for k, s in enumerate(SETTINGS)]
+    laws = [Model(np.empty((2, 0)), m.rate, m.log_k) for m in models]     # the weights are not needed again
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [[v for law, found in zip(laws, row) for v in law.evidence(m, [(0, 0, s) for s in found])]
+                 for m, row in zip(b.column("n").to_pylist(), b.column("s").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"y": b.column("y"), "x": pa.array(x, pa.list_(pa.float64()))})
+
+    seen = judged.mapInArrow(evidence, "y int, x array<double>").toArrow()
+    y = seen.column("y").to_numpy().astype(float)
+    x = np.array(seen.column("x").to_pylist(), float).reshape(-1, len(SETTINGS), 3)
+    fits = [logistic(x[:, k], y) for k in range(len(SETTINGS))]
+    chosen = int(np.argmin([loss for _, loss in fits]))
+    models[chosen].coef = tuple(fits[chosen][0])
+    return models[chosen]
 
 
 def score_texts(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
