@@ -56,6 +56,44 @@ def test_replayed_batches_give_equal_catalog_and_decisions(spark, tmp_path, monk
     assert len(_state(spark, tmp_path / "clean")[1]) == 3
 
 
+def test_incremental_counts_equal_the_whole_table(spark, tmp_path):
+    """Two years in one batch, a year over two batches, late rows of the reference and of other years."""
+    rows = [(y, float(i % (3 + y - 2000)), "abc"[i % (2 + y % 2)], int(i % 3 == 0)) for y in range(2000, 2006) for i in range(40)]
+    late = [(2000, 50.0, "z", 1), (2002, 70.0, "z", 0), (None, 1.0, "a", 1), (2003, None, None, 1)]
+    take = lambda *ys: [r for r in rows if r[0] in ys]
+    batches = [take(2000, 2001), take(2002)[:10], take(2002)[10:] + take(2003), late, take(2004) + late[:1], take(2005)]
+    schema = "year int, x double, c string, target int"
+    fn, arrived, decided = _writer(tmp_path / "t1"), [], {}
+    for i, b in enumerate([*batches, None]):
+        if b is None:
+            fn.flush(spark)
+        else:
+            arrived += b
+            fn(spark.createDataFrame(b, schema), i)
+        known = {r["split_id"]: r for r in spark.read.parquet(f"{tmp_path}/t1/decisions").collect()}
+        new = sorted(set(known) - set(decided))
+        if new:                                            # against all rows that have arrived by now
+            table = spark.createDataFrame(arrived, schema)
+            cat = sio.read_catalog(spark, f"{tmp_path}/t1/catalog")
+            per = dr.drift_by_split(table, cat, "year", ["x"], ["c"], 1, splits=new, size_rule=True)
+            want = {r["split_id"]: r for r in dr.split_decisions(per, 1).collect()}
+            for s in new:
+                for c in ("number_of_drifted_columns", "share_of_drifted_columns", "severity", "retrain", "decision_reason"):
+                    assert known[s][c] == want[s][c]
+            counts = {r["split_id"]: (r["end_year"], r["train_samples"]) for r in cat.collect()}
+            for s in new:
+                assert counts[s][1] == sum(r[0] is not None and r[0] <= counts[s][0] for r in arrived)
+        decided = known
+    assert len(decided) == 6
+    # a running sum holds every row of its years that had arrived
+    held = spark.read.parquet(f"{tmp_path}/t1/upto/num/end_year=2005").agg(F.sum("n")).first()[0]
+    assert held == sum(r[0] is not None and r[1] is not None for r in arrived)
+    # the next batch reads its own counts and the running sum only
+    seen = [r.asDict() for r in spark.read.parquet(f"{tmp_path}/t1/years").selectExpr("year y", "batch_id b").collect()]
+    plan = fn._since(spark, "num", seen, 2005, 2004, 4).select(F.input_file_name().alias("f")).distinct().collect()
+    assert all("end_year=2004" in r["f"] or "batch_id=5" in r["f"] for r in plan)
+
+
 class _State:
     exists, value = False, None
 

@@ -278,66 +278,84 @@ def write_drift_result(per_column: DataFrame, summary: DataFrame, path: str, run
     summary.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(f"{path}/summary")
 
 
+def yearly_values(df: DataFrame, year_col: str, cols, value_type: str) -> DataFrame:
+    """(year, column_name, value, n): additive counts, so those of two batches of rows are summed."""
+    long = df.select(F.col(year_col).alias("year"), *[F.col(c).cast(value_type).alias(c) for c in cols]) \
+        .unpivot(["year"], list(cols), "column_name", "value").where(F.col("value").isNotNull())
+    return long.groupBy("year", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, categorical,
                    reference_split: int = 1, opts: DriftOptions = DriftOptions(),
                    splits=None, size_rule: bool = False) -> DataFrame:
     """D11 for every split of the catalog in one pass (no per-split jobs).
 
-    Values are counted once per (year, column, value); each count row is
-    then credited to the cumulative splits whose year range contains it
-    (membership from the catalog's bounds as a literal array -- the catalog
-    has one row per year), for the current side, and to the reference side
-    when its year lies in the reference split.  Data rows are never copied
-    per split.  The two-sample tests then run with ``split|column`` as the
-    group key.  Returns one row per (split_id, column_name).
+    Values are counted once per (year, column, value) and the tests run on
+    these counts (``drift_from_year_counts``); data rows are never copied
+    per split.  Returns one row per (split_id, column_name).
 
-    ``splits`` (optional split ids) limits the work to those splits, e.g. the
-    ones an incremental job has just created; earlier splits are not redone.
+    ``splits`` (optional split ids) limits the work to those splits.
     ``size_rule``: as in ``column_drift``.
     """
     cat_rows = catalog.select("split_id", "start_year", "end_year").collect()   # one row per split
     ref = [r for r in cat_rows if r["split_id"] == reference_split]
     if not ref:
         raise ValueError(f"reference split {reference_split} not in catalog")
-    r_lo, r_hi = ref[0]["start_year"], ref[0]["end_year"]
     if splits is not None:
         wanted = set(splits)
         cat_rows = [r for r in cat_rows if r["split_id"] in wanted]
         if not cat_rows:
             raise ValueError(f"none of the splits {sorted(wanted)} is in the catalog")
+    in_ref = F.col("year").between(ref[0]["start_year"], ref[0]["end_year"])
+
+    def counts(cols, value_type):
+        by_year = yearly_values(df, year_col, cols, value_type)
+        return by_year, by_year.where(in_ref).drop("year")
+
+    return drift_from_year_counts(cat_rows, {c: "num" for c in numeric} | {c: "cat" for c in categorical},
+                                  counts(numeric, "double") if numeric else None,
+                                  counts(categorical, "string") if categorical else None, opts, size_rule)
+
+
+def drift_from_year_counts(splits, kinds: dict, numeric: tuple | None, categorical: tuple | None,
+                           opts: DriftOptions = DriftOptions(), size_rule: bool = False) -> DataFrame:
+    """Tests of every split of ``splits`` (split_id, start_year, end_year) from value counts alone.
+
+    ``numeric`` and ``categorical``: (counts (year, column_name, value, n),
+    reference counts (column_name, value, n)); rows of either may repeat a
+    key.  A count row is credited to the splits whose year range contains it
+    (the bounds as a literal array: one entry per split), for the current
+    side, and every reference row to the reference side of each split.  The
+    two-sample tests then run with ``split|column`` as the group key.
+    ``kinds``: column name -> "num" or "cat".
+    """
     bounds = F.array(*[F.struct(F.lit(r["split_id"]).alias("s"), F.lit(r["start_year"]).alias("a"),
-                                F.lit(r["end_year"]).alias("b")) for r in cat_rows])
-    n_groups = len(cat_rows)
+                                F.lit(r["end_year"]).alias("b")) for r in splits])
+    every_split = F.array(*[F.lit(r["split_id"]) for r in splits])
+    n_num, n_cat = (len(splits) * sum(k == kind for k in kinds.values()) for kind in ("num", "cat"))
     p_limit = opts.small_sample_limit if size_rule else -1
 
-    def counts(cols, vtype):
-        long = df.select(F.col(year_col).alias("_y"), *[F.col(c).cast(vtype).alias(c) for c in cols]) \
-            .unpivot(["_y"], list(cols), "column_name", "value").where(F.col("value").isNotNull())
-        yc = long.groupBy("_y", "column_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-        member = F.filter(bounds, lambda s: (F.col("_y") >= s["a"]) & (F.col("_y") <= s["b"]))
-        cur = yc.select(F.explode(member).alias("_sp"), "column_name", "value", "_n") \
-            .select(F.col("_sp.s").alias("_split"), "column_name", "value",
-                    F.lit(0).cast("long").alias("n_ref"), F.col("_n").cast("long").alias("n_cur"))
-        in_ref = F.when(F.col("_y").between(r_lo, r_hi), F.array(*[F.lit(r["split_id"]) for r in cat_rows])) \
-            .otherwise(F.array().cast("array<int>"))
-        refs = yc.select(F.explode(in_ref).alias("_split"), "column_name", "value",
-                         F.col("_n").cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n_cur"))
-        both = cur.unionByName(refs)
-        return both.groupBy(F.concat_ws("|", F.col("_split").cast("string"), F.col("column_name")).alias("column_name"),
-                            "value").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    def by_side(by_year, reference):
+        member = F.filter(bounds, lambda s: (F.col("year") >= s["a"]) & (F.col("year") <= s["b"]))
+        cur = by_year.select(F.explode(F.transform(member, lambda s: s["s"])).alias("_split"), "column_name", "value",
+                             F.lit(0).cast("long").alias("n_ref"), F.col("n").cast("long").alias("n_cur"))
+        refs = reference.select(F.explode(every_split).alias("_split"), "column_name", "value",
+                                F.col("n").cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n_cur"))
+        return cur.unionByName(refs).groupBy(
+            F.concat_ws("|", F.col("_split").cast("string"), F.col("column_name")).alias("column_name"), "value") \
+            .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
 
     parts = []
     if numeric:
-        nvc = counts(numeric, "double").cache()
-        nt = numeric_tests(nvc, opts, n_groups * len(numeric))
+        nvc = by_side(*numeric).cache()
+        nt = numeric_tests(nvc, opts, n_num)
         few = _totals(nvc).where(F.col("n_unique") <= opts.few_values).select("column_name")
         ncat = categorical_tests(nvc.join(few, "column_name", "left_semi")
-                                 .withColumn("value", F.col("value").cast("string")), opts, True,
-                                 n_groups * len(numeric), p_limit) \
+                                 .withColumn("value", F.col("value").cast("string")), opts, True, n_num, p_limit) \
             .select("column_name", "jensen_shannon", "chi_pvalue", "z_pvalue")
         parts.append(nt.join(ncat, "column_name", "left").withColumn("kind", F.lit("num")))
     if categorical:
-        ct = categorical_tests(counts(categorical, "string"), opts, True, n_groups * len(categorical), p_limit)
+        ct = categorical_tests(by_side(*categorical), opts, True, n_cat, p_limit)
         parts.append(ct.select("column_name", "n_ref", "n_unique", "jensen_shannon", "chi_pvalue", "z_pvalue",
                                F.lit("cat").alias("kind"), F.lit(None).cast("double").alias("wasserstein_norm"),
                                F.lit(None).cast("double").alias("ks_pvalue")))

@@ -73,7 +73,13 @@ def cumulative_split_summary(train: DataFrame, n_test, year_col: str, label: str
     totals are a window over the per-year rows, i.e. over as many rows as
     there are years.  ``n_test`` is a Column/number: the fixed test size.
     """
-    yc = year_label_counts(train.where(F.col(year_col).between(start_year, end_year)), year_col, label, positive)
+    return summary_of_year_counts(
+        year_label_counts(train.where(F.col(year_col).between(start_year, end_year)), year_col, label, positive),
+        n_test, year_col)
+
+
+def summary_of_year_counts(yc: DataFrame, n_test, year_col: str) -> DataFrame:
+    """``cumulative_split_summary`` from the rows and positives of each year (one row per year)."""
     w = Window.orderBy(year_col).rowsBetween(Window.unboundedPreceding, 0)
     s = (yc.withColumn("split_id", F.row_number().over(Window.orderBy(year_col)).cast("int"))
            .withColumn("start_year", F.min(year_col).over(Window.partitionBy()).cast("int"))
