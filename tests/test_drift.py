@@ -160,3 +160,43 @@ def test_alert_texts(spark):
                    ("Data drift detected in 3 columns (4.0%)", "DRIFT DETECTED (≥2%)"),
                    ("Data drift detected in 1 columns (6.2%)", "SEVERE DRIFT DETECTED (>4%)"),
                    ("Data drift detected in 4 columns (50.0%)", "SEVERE DRIFT DETECTED (>4%)")]
+
+
+def test_exact_ks_pvalues_against_all_orders():
+    """Every order of the pooled rows, for up to 10 rows."""
+    from itertools import combinations
+
+    from tidemark.functions.stats import ks_exact_np
+    for m, n in ((1, 1), (3, 2), (4, 4), (5, 3), (2, 8), (5, 5), (6, 4)):
+        seen = []
+        for mine in combinations(range(m + n), m):
+            x = np.cumsum([i in mine for i in range(m + n)])
+            seen.append(np.max(np.abs(x / m - (np.arange(1, m + n + 1) - x) / n)))
+        seen = np.array(seen)
+        for d in np.unique(np.round(seen, 12)):
+            want = np.mean(seen >= d - 1e-9)
+            assert ks_exact_np(float(d), m, n) == pytest.approx(want, abs=1e-12)
+            assert ks_exact_np(float(d), n, m) == pytest.approx(want, abs=1e-12)
+    assert ks_exact_np(0.0, 7, 9) == 1.0 and ks_exact_np(1.0, 0, 5) == 1.0
+
+
+def test_exact_ks_pvalues_from_tables_and_in_the_limit():
+    from tidemark.functions.stats import ks_exact_np
+    # critical values of the two-sample test for equal sizes: P(D >= c / n) is at most 5 % first at c
+    for n, c in ((5, 5), (8, 6), (10, 7), (15, 8), (20, 9), (25, 10)):
+        assert ks_exact_np(c / n, n, n) <= 0.05 < ks_exact_np((c - 1) / n, n, n)
+    m, n, d = 1000, 9000, 0.045
+    en = m * n / (m + n)
+    limit = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * en * d * d) for k in range(1, 50))
+    d = round(d * 9000) / 9000
+    assert ks_exact_np(d, m, n) == pytest.approx(limit, rel=0.05)
+
+
+def test_numeric_tests_use_the_exact_pvalue_for_small_samples(spark):
+    from tidemark.functions.stats import ks_exact_np
+    u, v = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [3.5, 4.5, 5.5, 6.5, 7.5, 8.5, 9.5]
+    vc = dr.value_counts_by_side(_frame(spark, u, ["a"] * 6), _frame(spark, v, ["a"] * 7), ["x"], "double")
+    r = dr.numeric_tests(vc, n_cols=1).first()
+    assert r["ks_pvalue"] == pytest.approx(ks_exact_np(r["ks_statistic"], 6, 7), abs=1e-12)
+    rough = dr.numeric_tests(vc, dr.DriftOptions(exact_ks_rows=0), n_cols=1).first()
+    assert rough["ks_pvalue"] != pytest.approx(r["ks_pvalue"], abs=1e-3)

@@ -38,6 +38,7 @@ class DriftOptions:
     cat_threshold: float = 0.1          # Jensen-Shannon distance
     p_threshold: float = 0.05           # KS / chi-square / z
     small_sample_limit: int = 1000      # reference rows at or below -> p-value tests
+    exact_ks_rows: int = 10_000         # the small-sample KS p-value is exact up to so many rows of the larger side
     few_values: int = 5                 # numeric with <= this many distinct values -> categorical
     zero_fill: float = 0.0001           # empty category share in Jensen-Shannon
     std_floor: float = 0.001            # Wasserstein normaliser floor
@@ -67,7 +68,8 @@ def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: in
     """Wasserstein (normalised) and KS per numeric column from value counts.
 
     ``n_cols`` (number of tested columns) bounds the per-column tables, so
-    they are broadcast without a counting job.
+    they are broadcast without a counting job.  The KS p-value is exact where
+    it decides (few reference rows) and the other side is not too long.
     """
     # one pass over the value counts: totals and reference mean per column
     stats = vc.groupBy("column_name").agg(
@@ -86,7 +88,8 @@ def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: in
     return agg.select(
         "column_name", "n_ref", "n_cur", "n_unique", "ks_statistic",
         (F.col("wasserstein") / F.greatest(F.col("ref_std"), F.lit(opts.std_floor))).alias("wasserstein_norm"),
-        ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")).alias("ks_pvalue"))
+        ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"),
+                  (F.col("n_ref") <= opts.small_sample_limit) & (F.col("n_cur") <= opts.exact_ks_rows)).alias("ks_pvalue"))
 
 
 def categorical_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), with_pvalues: bool = True,
