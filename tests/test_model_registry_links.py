@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift as dr
@@ -46,3 +47,45 @@ def test_split_of_a_run_is_not_its_version(spark):
     state = rg.current_state(rg.promotion_events(rg.champion_challenger(runs)))
     assert dr.reference_split_id(state, runs) == 3
     assert rg.runs_from_metrics(m.drop("split_id"), "at", "m").first()["params"] == {}
+
+
+def test_folds_are_stratified_to_the_row(spark):
+    rows = [(i, i % 7 == 0) for i in range(200)] + [(500, None)]
+    df = spark.createDataFrame([(k, None if y is None else int(y)) for k, y in rows], "k int, y int")
+    got = ml.stratified_folds(df, "y", ["k"], 3).collect()
+    assert sorted(r["k"] for r in got) == list(range(200))
+    for y in (0, 1):
+        sizes = [sum(r["y"] == y and r["fold"] == f for r in got) for f in range(3)]
+        assert max(sizes) - min(sizes) <= 1
+    again = ml.stratified_folds(df.repartition(5), "y", ["k"], 3).collect()
+    assert {r["k"]: r["fold"] for r in again} == {r["k"]: r["fold"] for r in got}
+
+
+def test_grid_search_equals_the_exhaustive_loop(spark, tmp_path):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    import random
+    r = random.Random(4)
+    rows = [(i, a := r.random(), b := r.random(), int((a - 0.5) * (b - 0.5) + 0.05 * r.gauss(0, 1) > 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y int")
+    grids = {LogisticRegression(labelCol="y", maxIter=10): {"regParam": [0.0, 1.0]},
+             DecisionTreeClassifier(labelCol="y", seed=1): {"maxDepth": [1, 4], "minInstancesPerNode": [2]}}
+    found = ml.grid_search(df, ["a", "b"], "y", ["k"], grids, folds=3)
+    folds = ml.stratified_folds(df.withColumn("y", F.col("y").cast("double")), "y", ["k"], 3)
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(folds).cache()
+    area, best = BinaryClassificationEvaluator(labelCol="y"), {}
+    for name, params, est in ml.candidates_of(grids):
+        scores = [area.evaluate(est.fit(data.where(F.col("fold") != f)).transform(data.where(F.col("fold") == f))) for f in range(3)]
+        best[name, str(params)] = sum(scores) / 3
+    assert {(n, str(p)): pytest.approx(v, abs=1e-9) for n, p, v in found.candidates} == best
+    winner = max(best, key=best.get)
+    assert (found.candidates[0][0], str(found.candidates[0][1])) == winner and winner[0] == "DecisionTreeClassifier"
+    assert type(found.model.stages[-1]).__name__ == "DecisionTreeClassificationModel"
+    table = rg.RegistryTable(spark, str(tmp_path / "registry"))
+    table.log(found.runs(spark, "m"), "place")
+    table.log(found.runs(spark, "m"), "place")
+    logged = table.state()[1].orderBy("version").collect()
+    assert [x["version"] for x in logged] == list(range(1, 9))
+    assert logged[0]["metrics"]["areaUnderROC"] == logged[4]["metrics"]["areaUnderROC"] == found.candidates[0][2]
+    assert table.state()[2].count() == 0                   # nothing is promoted

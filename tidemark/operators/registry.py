@@ -240,11 +240,18 @@ class RegistryTable:
 
     def state(self) -> tuple[int, DataFrame, DataFrame]:
         """(last commit, runs, events) as of that commit."""
-        events = self._table("events", EVENT_SCHEMA)
-        last = events.agg(F.max("commit")).first()[0] or 0
+        # commits are listed first (one may hold no events, or no runs): what is read later holds them whole
+        last, events = self._last(), self._table("events", EVENT_SCHEMA)
         upto = lambda t: t.where(F.col("commit") <= last).drop("commit")
         return last, upto(self._table("runs", RUN_SCHEMA)), upto(events)
 
+    def _last(self) -> int:
+        """Number of the last published commit."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        store = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = store.globStatus(path(f"{self.root}/commits/commit=*")) or []
+        return max((int(f.getPath().getName().split("=")[1]) for f in found), default=0)
+
     def _publish(self, commit: int, runs: DataFrame, events: DataFrame) -> bool:
         """Write aside, then rename; False if the commit exists already."""
         aside = f"{self.root}/aside/{uuid.uuid4().hex}"
@@ -305,6 +312,19 @@ class RegistryTable:
 
         return self.change(make)
 
+    def log(self, runs: DataFrame, order_col: str) -> int:
+        """R1 for several runs of one model (model_name, params, metrics, texts), such as a search's
+        candidates: versions in ``order_col`` order after the model's largest; nothing is promoted."""
+        def make(seq, old, events):
+            name = runs.first()["model_name"]
+            last = old.where(F.col("model_name") == name).agg(F.max("version")).first()[0] or 0
+            place = F.row_number().over(Window.partitionBy("model_name").orderBy(order_col))
+            new = (runs.withColumn("version", (place + last).cast("int"))
+                   .withColumn("run_id", F.format_string("run_%s_%02d", "model_name", "version")))
+            return new, events.limit(0)
+
+        return self.change(make)
+
     def archive_all(self, as_of: F.Column) -> int:
         """R4 on the table."""
         return self.change(lambda seq, runs, events: (

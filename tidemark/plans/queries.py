@@ -654,6 +654,21 @@ def q_gbt_test_metrics(spark, root):
     return m.select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1_score", "roc_auc")
 
 
+def q_model_grid_search(spark, root):
+    """M6 + R1: logistic regressions and decision trees over a parameter grid, cross-validated on
+    stratified folds of the training rows; the candidates' runs as logged in the registry table."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    train = pp.split_obs(spark, root).where(~F.col("is_test"))
+    found = ml.grid_search(train, fx.OBS_NUMERIC, fx.OBS_LABEL, fx.OBS_KEY, {
+        LogisticRegression(labelCol=fx.OBS_LABEL, maxIter=20): {"regParam": [0.0, 0.1]},
+        DecisionTreeClassifier(labelCol=fx.OBS_LABEL, seed=fx.SEED): {"maxDepth": [3, 6]}}, seed=fx.SEED)
+    registry = rg.RegistryTable(spark, scratch_path(spark, "search-registry"))
+    registry.log(found.runs(spark, "search"), "place")
+    return registry.state()[1].select(
+        "model_name", "version", "run_id", F.col("params")["family"].alias("family"),
+        F.col("params")["parameters"].alias("parameters"), F.round(F.col("metrics")["areaUnderROC"], 4).alias("roc_auc"))
+
+
 def _obs_request_json(spark, root, split):
     """The test rows as JSON requests with their date, ``(value)``: year and season are derived when scoring."""
     held_out = split.where(F.col("is_test")).select(*fx.OBS_KEY).distinct()
@@ -726,6 +741,7 @@ QUERIES.update({
     "request_validation": q_request_validation,
     "request_features": q_request_features,
     "gbt_test_metrics": q_gbt_test_metrics,
+    "model_grid_search": q_model_grid_search,
     "simple_scoring": q_simple_scoring,
     "request_scoring": q_request_scoring,
 })
