@@ -658,8 +658,9 @@ def q_model_grid_search(spark, root):
     """M6 + R1: logistic regressions and decision trees over a parameter grid, cross-validated on
     stratified folds of the training rows; the candidates' runs as logged in the registry table."""
     from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
-    train = pp.split_obs(spark, root).where(~F.col("is_test"))
-    found = ml.grid_search(train, fx.OBS_NUMERIC, fx.OBS_LABEL, fx.OBS_KEY, {
+    split, _, model = _fitted(spark, root)
+    train = model.transform(split.where(~F.col("is_test")))
+    found = ml.grid_search(train, _feature_cols(model), fx.OBS_LABEL, fx.OBS_KEY, {
         LogisticRegression(labelCol=fx.OBS_LABEL, maxIter=20): {"regParam": [0.0, 0.1]},
         DecisionTreeClassifier(labelCol=fx.OBS_LABEL, seed=fx.SEED): {"maxDepth": [3, 6]}}, seed=fx.SEED)
     registry = rg.RegistryTable(spark, scratch_path(spark, "search-registry"))
