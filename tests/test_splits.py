@@ -109,3 +109,22 @@ def test_exact_sizes_with_repeated_keys(spark):
     assert s.where("is_test").groupBy("y").count().collect() and s.where("is_test").count() == 200
     assert sp.positional_cut(df, ["k"], 0.8).where("first_part").count() == 800
     assert s.select("k", "y", "v").exceptAll(df).isEmpty() and df.exceptAll(s.select("k", "y", "v")).isEmpty()
+
+
+def test_wide_split_joins_once_and_writes_no_hashes(spark, monkeypatch):
+    """Missing shares, class sizes and the cut read the joined rows from one written table; hashes are never written."""
+    from conftest import SF_SMALL
+    from tidemark.operators import ordered
+    from tidemark.plans import fixtures as fx
+    from tidemark.plans import preprocess as pp
+    seen, written = [], []
+    split, cut = pp.stratified_split, ordered.cut_lineage
+    monkeypatch.setattr(pp, "stratified_split", lambda df, *a, **k: seen.append(df) or split(df, *a, **k))
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df, name="cut": written.append(name) or cut(df, name))
+    out = pp.split_obs_wide(spark, SF_SMALL)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "hashes" not in written
+    o = fx.read_table(spark, SF_SMALL, "orders").join(fx.read_table(spark, SF_SMALL, "customer"), F.expr("o_custkey = c_custkey"))
+    want = fx.obs(spark, SF_SMALL).join(o, F.expr("l_orderkey = o_orderkey")).select(*fx.OBS_KEY, "o_orderpriority", "c_mktsegment")
+    got = out.select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
