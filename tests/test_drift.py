@@ -200,3 +200,23 @@ def test_numeric_tests_use_the_exact_pvalue_for_small_samples(spark):
     assert r["ks_pvalue"] == pytest.approx(ks_exact_np(r["ks_statistic"], 6, 7), abs=1e-12)
     rough = dr.numeric_tests(vc, dr.DriftOptions(exact_ks_rows=0), n_cols=1).first()
     assert rough["ks_pvalue"] != pytest.approx(r["ks_pvalue"], abs=1e-3)
+
+
+def test_all_splits_order_each_value_once_and_agree_with_each_split(spark, monkeypatch):
+    """Numeric values of many splits are one row each, also where a split lacks some of them."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import drift as dr
+    rows = [(y, float((i * i + 7 * y) % 83) + (500.0 if y == 3 and i == 0 else 0.0), float(i % (2 + (y > 1)))) for y in (1, 2, 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "year int, a double, few double")
+    catalog = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, 3)], "split_id int, start_year int, end_year int")
+    fed, prefix = [], dr.ordered_prefix
+    monkeypatch.setattr(dr, "ordered_prefix", lambda vc, *a, **k: fed.append(vc.count()) or prefix(vc, *a, **k))
+    got = {(r["split_id"], r["column_name"]): r for r in dr.drift_by_split(df, catalog, "year", ["a", "few"], [], 1, size_rule=False).collect()}
+    assert fed == [df.select("a").distinct().count() + df.select("few").distinct().count()]
+    for split in (1, 2, 3):
+        want = dr.column_drift(df.where("year = 1"), df.where(F.col("year") <= split), ["a", "few"], [], with_pvalues=False)
+        for w in want.collect():
+            r = got.pop((split, w["column_name"]))
+            assert (r["stattest"], r["drift_detected"]) == (w["stattest"], w["drift_detected"])
+            assert abs(r["drift_score"] - w["drift_score"]) < 1e-12
+    assert not got

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import chi2_sf, ks_pvalue, norm_two_sided
 from tidemark.operators.joins import join_small
 from tidemark.operators.ordered import ordered_prefix
+from tidemark.session import cut_lineage
 
 
 # Distinct values per ordered-prefix window partition at most (on average).
@@ -65,28 +66,43 @@ def _totals(vc: DataFrame) -> DataFrame:
 
 
 def numeric_tests(vc: DataFrame, opts: DriftOptions = DriftOptions(), n_cols: int | None = None) -> DataFrame:
-    """Wasserstein (normalised) and KS per numeric column from value counts.
+    """Wasserstein (normalised) and KS per numeric column from value counts (column_name, value, n_ref, n_cur)."""
+    return numeric_tests_by_side(vc, ["n_cur"], opts, n_cols).drop("side")
 
+
+def numeric_tests_by_side(vc: DataFrame, sides: list, opts: DriftOptions = DriftOptions(), n_cols: int | None = None) -> DataFrame:
+    """Wasserstein and KS of each current side against the reference: one row per column and ``side`` (its place).
+
+    ``vc``: one row per (column_name, value) with ``n_ref`` and a count column for each of ``sides``; the values
+    are ordered once for all sides.  A value that neither the reference nor a side holds changes nothing there.
     ``n_cols`` (number of tested columns) bounds the per-column tables, so
     they are broadcast without a counting job.  The KS p-value is exact where
     it decides (few reference rows) and the other side is not too long.
     """
     # one pass over the value counts: totals and reference mean per column
     stats = vc.groupBy("column_name").agg(
-        F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"), F.count(F.lit(1)).alias("n_unique"),
-        (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"))
-    d = ordered_prefix(join_small(vc, stats, on=["column_name"], bound=n_cols), ["column_name"], "value", ["n_ref", "n_cur"])
+        F.sum("n_ref").alias("tot_ref"), (F.sum(F.col("value") * F.col("n_ref")) / F.sum("n_ref")).alias("_mean"),
+        *[F.sum(c).alias(f"_tot_{i}") for i, c in enumerate(sides)],
+        *[F.count_if(F.col("n_ref") + F.col(c) > 0).alias(f"_unique_{i}") for i, c in enumerate(sides)])
+    d = join_small(ordered_prefix(vc, ["column_name"], "value", ["n_ref", *sides]), stats, on=["column_name"], bound=n_cols)
     fr = F.col("cum_n_ref") / F.col("tot_ref")
-    fc = F.col("cum_n_cur") / F.col("tot_cur")
     gap = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
+    found = []
+    for i, c in enumerate(sides):
+        apart = F.abs(fr - F.when(F.col(f"_unique_{i}") > 0, F.col(f"cum_{c}") / F.col(f"_tot_{i}")))
+        upto = F.col("cum_n_ref") + F.col(f"cum_{c}")
+        outside = (upto == 0) | (upto == F.col("tot_ref") + F.col(f"_tot_{i}"))      # before the first or from the last value on
+        found += [F.sum(F.when(outside, F.lit(0.0)).otherwise(apart * gap)).alias(f"_w_{i}"), F.max(apart).alias(f"_ks_{i}"),
+                  F.first(f"_tot_{i}").alias(f"_n_{i}"), F.first(f"_unique_{i}").alias(f"_u_{i}")]
     agg = d.groupBy("column_name").agg(
-        F.sum(F.abs(fr - fc) * gap).alias("wasserstein"),
-        F.max(F.abs(fr - fc)).alias("ks_statistic"),
         F.sqrt(F.sum(F.col("n_ref") * (F.col("value") - F.col("_mean")) ** 2) / F.sum("n_ref")).alias("ref_std"),
-        F.first("tot_ref").alias("n_ref"), F.first("tot_cur").alias("n_cur"),
-        F.first("n_unique").alias("n_unique"))
+        F.first("tot_ref").alias("n_ref"), *found)
+    each = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"_n_{i}").alias("n_cur"), F.col(f"_u_{i}").alias("n_unique"),
+                              F.col(f"_ks_{i}").alias("ks_statistic"), F.col(f"_w_{i}").alias("wasserstein"))
+                     for i in range(len(sides))])
+    agg = agg.select("column_name", "n_ref", "ref_std", F.inline(each)).where(F.col("n_unique") > 0)
     return agg.select(
-        "column_name", "n_ref", "n_cur", "n_unique", "ks_statistic",
+        "column_name", "side", "n_ref", "n_cur", "n_unique", "ks_statistic",
         (F.col("wasserstein") / F.greatest(F.col("ref_std"), F.lit(opts.std_floor))).alias("wasserstein_norm"),
         ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"),
                   (F.col("n_ref") <= opts.small_sample_limit) & (F.col("n_cur") <= opts.exact_ks_rows)).alias("ks_pvalue"))
@@ -171,7 +187,8 @@ def column_drift(ref: DataFrame, cur: DataFrame, numeric, categorical,
     p_limit = None if with_pvalues else opts.small_sample_limit if size_rule else -1
     parts = []
     if numeric:
-        nvc = value_counts_by_side(ref, cur, numeric, "double").cache()
+        # written: every test and the ranges of the ordered values read them
+        nvc = cut_lineage(value_counts_by_side(ref, cur, numeric, "double"), "value-counts")
         nt = numeric_tests(nvc, opts, len(numeric))
         few = _totals(nvc).where(F.col("n_unique") <= opts.few_values).select("column_name")
         nvc_few = nvc.join(few, on="column_name", how="left_semi")
@@ -309,11 +326,10 @@ def drift_by_split(df: DataFrame, catalog: DataFrame, year_col: str, numeric, ca
         cat_rows = [r for r in cat_rows if r["split_id"] in wanted]
         if not cat_rows:
             raise ValueError(f"none of the splits {sorted(wanted)} is in the catalog")
-    in_ref = F.col("year").between(ref[0]["start_year"], ref[0]["end_year"])
+    years = (ref[0]["start_year"], ref[0]["end_year"])
 
     def counts(cols, value_type):
-        by_year = yearly_values(df, year_col, cols, value_type)
-        return by_year, by_year.where(in_ref).drop("year")
+        return yearly_values(df, year_col, cols, value_type), years
 
     return drift_from_year_counts(cat_rows, {c: "num" for c in numeric} | {c: "cat" for c in categorical},
                                   counts(numeric, "double") if numeric else None,
@@ -326,39 +342,67 @@ def drift_from_year_counts(splits, kinds: dict, numeric: tuple | None, categoric
 
     ``numeric`` and ``categorical``: (counts (year, column_name, value, n),
     reference counts (column_name, value, n)); rows of either may repeat a
-    key.  A count row is credited to the splits whose year range contains it
-    (the bounds as a literal array: one entry per split), for the current
-    side, and every reference row to the reference side of each split.  The
-    two-sample tests then run with ``split|column`` as the group key.
+    key.  In place of reference counts (first year, last year) takes the counts
+    of those years.  A count row is credited to the splits whose year range
+    contains it, for the current side, and every reference row to the reference
+    side of each split.  A numeric value is one row with a count per split, so
+    values are shuffled and ordered once, not once a split; categories and
+    columns of few values are tested with ``split|column`` as the group key.
     ``kinds``: column name -> "num" or "cat".
     """
     bounds = F.array(*[F.struct(F.lit(r["split_id"]).alias("s"), F.lit(r["start_year"]).alias("a"),
                                 F.lit(r["end_year"]).alias("b")) for r in splits])
     every_split = F.array(*[F.lit(r["split_id"]) for r in splits])
-    n_num, n_cat = (len(splits) * sum(k == kind for k in kinds.values()) for kind in ("num", "cat"))
+    n_num, n_cat = (sum(k == kind for k in kinds.values()) for kind in ("num", "cat"))
     p_limit = opts.small_sample_limit if size_rule else -1
+    sides = [f"n_cur_{i}" for i in range(len(splits))]
+    key_of = lambda split: F.concat_ws("|", split.cast("string"), F.col("column_name"))
+    zero = F.lit(0).cast("long")
+
+    def by_value(by_year, reference):
+        n = F.col("n").cast("long")
+        within = lambda a, b: F.when(F.col("year").between(a, b), n).otherwise(zero)
+        own = within(*reference) if isinstance(reference, tuple) else zero
+        rows = by_year.select("column_name", "value", own.alias("n_ref"),
+                              *[within(r["start_year"], r["end_year"]).alias(c) for r, c in zip(splits, sides)])
+        if not isinstance(reference, tuple):
+            rows = rows.unionByName(reference.select("column_name", "value", n.alias("n_ref"), *[zero.alias(c) for c in sides]))
+        return rows.groupBy("column_name", "value").agg(*[F.sum(c).alias(c) for c in ["n_ref", *sides]]) \
+            .where(F.greatest("n_ref", *sides) > 0)
 
     def by_side(by_year, reference):
+        if isinstance(reference, tuple):
+            by_year = cut_lineage(by_year, "yearly-values")
+            reference = by_year.where(F.col("year").between(*reference)).drop("year")
         member = F.filter(bounds, lambda s: (F.col("year") >= s["a"]) & (F.col("year") <= s["b"]))
         cur = by_year.select(F.explode(F.transform(member, lambda s: s["s"])).alias("_split"), "column_name", "value",
                              F.lit(0).cast("long").alias("n_ref"), F.col("n").cast("long").alias("n_cur"))
         refs = reference.select(F.explode(every_split).alias("_split"), "column_name", "value",
                                 F.col("n").cast("long").alias("n_ref"), F.lit(0).cast("long").alias("n_cur"))
         return cur.unionByName(refs).groupBy(
-            F.concat_ws("|", F.col("_split").cast("string"), F.col("column_name")).alias("column_name"), "value") \
+            key_of(F.col("_split")).alias("column_name"), "value") \
             .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
 
     parts = []
     if numeric:
-        nvc = by_side(*numeric).cache()
-        nt = numeric_tests(nvc, opts, n_num)
-        few = _totals(nvc).where(F.col("n_unique") <= opts.few_values).select("column_name")
-        ncat = categorical_tests(nvc.join(few, "column_name", "left_semi")
-                                 .withColumn("value", F.col("value").cast("string")), opts, True, n_num, p_limit) \
+        nvc = cut_lineage(by_value(*numeric), "split-values")
+        split_of = F.element_at(every_split, F.col("side") + 1)
+        nt = numeric_tests_by_side(nvc, sides, opts, n_num).withColumn("column_name", key_of(split_of)).drop("side")
+        # columns of few values: a row per split that holds the value
+        unique = [F.count_if(F.col("n_ref") + F.col(c) > 0) for c in sides]
+        few = nvc.groupBy("column_name").agg(F.array(*[(n > 0) & (n <= opts.few_values) for n in unique]).alias("_few"))
+        few = few.where(F.exists("_few", lambda x: x))
+        each = F.array(*[F.when(F.col("_few")[i] & (F.col("n_ref") + F.col(c) > 0),
+                                F.struct(F.lit(r["split_id"]).alias("_split"), F.col(c).alias("n_cur")))
+                         for i, (r, c) in enumerate(zip(splits, sides))])
+        nvc_few = join_small(nvc, few, on=["column_name"], bound=n_num).select(
+            "column_name", F.col("value").cast("string").alias("value"), "n_ref", F.inline(F.array_compact(each)))
+        nvc_few = nvc_few.withColumn("column_name", key_of(F.col("_split"))).drop("_split")
+        ncat = categorical_tests(nvc_few, opts, True, len(splits) * n_num, p_limit) \
             .select("column_name", "jensen_shannon", "chi_pvalue", "z_pvalue")
         parts.append(nt.join(ncat, "column_name", "left").withColumn("kind", F.lit("num")))
     if categorical:
-        ct = categorical_tests(by_side(*categorical), opts, True, n_cat, p_limit)
+        ct = categorical_tests(by_side(*categorical), opts, True, len(splits) * n_cat, p_limit)
         parts.append(ct.select("column_name", "n_ref", "n_unique", "jensen_shannon", "chi_pvalue", "z_pvalue",
                                F.lit("cat").alias("kind"), F.lit(None).cast("double").alias("wasserstein_norm"),
                                F.lit(None).cast("double").alias("ks_pvalue")))
