@@ -89,3 +89,80 @@ def test_grid_search_equals_the_exhaustive_loop(spark, tmp_path):
     assert [x["version"] for x in logged] == list(range(1, 9))
     assert logged[0]["metrics"]["areaUnderROC"] == logged[4]["metrics"]["areaUnderROC"] == found.candidates[0][2]
     assert table.state()[2].count() == 0                   # nothing is promoted
+
+
+def _rows(spark, n=300):
+    return spark.createDataFrame([(i, float(i % 17), float(i % 5), int(i % 17 > 8)) for i in range(n)],
+                                 "k int, a double, b double, y int")
+
+
+def test_fits_read_vectors_that_were_made_once(spark, monkeypatch):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    made, read = [], []
+    assemble = ml.VectorAssembler.transform
+    monkeypatch.setattr(ml.VectorAssembler, "transform", lambda self, d, *p: made.append(1) or assemble(self, d, *p))
+    for family in (DecisionTreeClassifier, LogisticRegression):
+        fit = family.fit
+        monkeypatch.setattr(family, "fit", lambda self, d, *p, fit=fit: read.append(d) or fit(self, d, *p))
+    found = ml.grid_search(_rows(spark), ["a", "b"], "y", ["k"], {
+        LogisticRegression(labelCol="y", maxIter=5): {"regParam": [0.0, 1.0]}, DecisionTreeClassifier(labelCol="y"): {"maxDepth": [2]}})
+    assert len(made) == 1                                  # before: once for every fit and every scoring
+    assert len(read) == 3 * 3 + 1
+    for d in read:
+        assert d.columns == ["y", "features", "_fold"] and d.inputFiles() and "UDF" not in d._jdf.queryExecution().toString()
+    assert found.model.transform(_rows(spark)).where("prediction <> y").isEmpty()      # the winner takes raw rows
+
+
+def test_all_fold_cuts_come_from_the_same_passes(spark, monkeypatch):
+    from tidemark.operators import ordered
+    calls, cuts = [], ordered.hash_cuts
+    monkeypatch.setattr(ordered, "hash_cuts", lambda *a, **k: calls.append(1) or cuts(*a, **k))
+    assert ml.stratified_folds(_rows(spark), "y", ["k"], 5).groupBy("fold").count().count() == 5
+    assert len(calls) == 1
+
+
+def test_parts_of_a_group_equal_a_full_sort(spark):
+    from tidemark.operators.ordered import cut_parts
+    rows = [(g, h, i) for g in (0, 1) for i, h in enumerate(["aa", "ab", "ab", "ab", "b0", "b0", "c1", "f0"] * (g + 1))]
+    df = spark.createDataFrame(rows, "g int, h string, i int").repartition(3)
+    for cuts in ([(0, [0, 2, 3]), (1, [3, 5, 16])], [(0, [1, 4, 8]), (1, [2, 8, 8])], [(0, []), (1, [])]):
+        got = cut_parts(df, F.col("h"), ["g"], cuts, "part").collect()
+        assert len(got) == len(rows)
+        for g, at in cuts:
+            hashes = sorted(h for x, h, _ in rows if x == g)
+            want = sorted((h, sum(n <= r for n in at)) for r, h in enumerate(hashes))
+            assert sorted((x["h"], x["part"]) for x in got if x["g"] == g) == want
+
+
+def test_areas_are_exact_and_of_one_class_as_in_the_evaluator(spark):
+    import random
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    r = random.Random(3)
+    rows = [(a := r.random(), float(f if f < 2 else a + r.gauss(0, 0.5) > 0.5), f) for f in (0, 1, 2) for _ in range(20 if f < 2 else 2500)]
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(
+        spark.createDataFrame(rows, "a double, y double, _fold int")).cache()
+    model = LogisticRegression(labelCol="y", maxIter=5).fit(data)
+    got = ml._areas(data, "y", "_fold", {(f, i): model for f in (0, 1, 2) for i in (0, 1)})
+    assert sorted(got) == [(f, i) for f in (0, 1, 2) for i in (0, 1)]
+    evaluator = BinaryClassificationEvaluator(labelCol="y")
+    for f in (0, 1):
+        assert got[f, 0] == got[f, 1] == evaluator.evaluate(model.transform(data.where(F.col("_fold") == f)))
+    up, down = [a for a, y, f in rows if f == 2 and y], [a for a, y, f in rows if f == 2 and not y]
+    exact = sum(x > z for x in up for z in down) / (len(up) * len(down))
+    assert got[2, 0] == pytest.approx(exact if model.coefficients[0] > 0 else 1 - exact, abs=1e-12)
+
+
+def test_fits_run_side_by_side_only_where_cores_are_idle(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert ml.fits_at_once(spark.range(100).repartition(2 * cores), 4) == 1
+    assert ml.fits_at_once(spark.range(100).repartition(cores), 4) == 2
+    assert ml.fits_at_once(spark.range(100).coalesce(1), 4) == min(4, 2 * cores)
+    assert ml.fits_at_once(spark.range(100).coalesce(1), 1) == 1
+
+
+def test_a_fold_without_rows_is_refused(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    with pytest.raises(ValueError, match="at fold . is empty"):
+        ml.grid_search(_rows(spark, 2), ["a", "b"], "y", ["k"], {DecisionTreeClassifier(labelCol="y"): {}}, folds=5)
